@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import exact_dedup, mixing, pii, simhash
+from scanloom.llm import exact_dedup, mixing, pii, secrets, simhash
 from scanloom.llm.common import read_table
 
 
@@ -21,6 +21,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in secrets.BASE_KINDS], F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -42,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op3_mixing": op3_mixing,
+        "op8_secrets": op8_secrets,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_pii": op10_pii,
     }
