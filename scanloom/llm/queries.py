@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import exact_dedup, mixing, pii, secrets, simhash
+from scanloom.llm import exact_dedup, mixing, pii, piece_codec, secrets, simhash
 from scanloom.llm.common import read_table
 
 
@@ -21,6 +21,17 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
 
 
+def piece_model() -> str:
+    """The model file of the public tokenizers; another path may be given to the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_documents(read_table(spark, sf_dir, "documents"), piece_model(), keep_ids=False)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
@@ -49,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op3_mixing": op3_mixing,
+        "op7_pieces": op7_pieces,
         "op8_secrets": op8_secrets,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_pii": op10_pii,
