@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import exact_dedup, mixing, pii, piece_codec, secrets, simhash, topk
+from scanloom.llm import exact_dedup, langid, mixing, pii, piece_codec, secrets, simhash, topk
 from scanloom.llm.common import read_table
 
 
@@ -26,6 +26,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(read_table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "lang_pred", "score").withColumn("held_out", langid.held_out("doc_id"))
+
+
 def piece_model() -> str:
     """The model file of the public tokenizers; another path may be given to the operator."""
     import public_tokenizers
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_topk": op2_topk,
         "op3_mixing": op3_mixing,
+        "op6_langid": op6_langid,
         "op7_pieces": op7_pieces,
         "op8_secrets": op8_secrets,
         "op9_exact_dedup": op9_exact_dedup,
