@@ -37,11 +37,11 @@ class Fit:
     """per_language: bound of the sampled rows. alpha, beta, l1, l2: the learning rate and penalties of the leader."""
 
     per_language: int = 500
-    epochs: int = 3
-    alpha: float = 0.5
-    beta: float = 1.0
-    l1: float = 0.02
-    l2: float = 0.1
+    epochs: int = 4
+    alpha: float = 1.0
+    beta: float = 0.05
+    l1: float = 0.004
+    l2: float = 0.001
     held_back: float = 0.2
     seed: int = 42
 

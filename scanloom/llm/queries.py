@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import exact_dedup, langid, mixing, pii, piece_codec, secrets, simhash, topk
-from scanloom.llm.common import read_table
+from scanloom.llm import exact_dedup, langid, lm_scoring, mixing, pii, piece_codec, secrets, simhash, topk, toxicity
+from scanloom.llm.common import crc32_mod, read_table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = read_table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"), good)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc32_mod("doc_id", 3) == 1
+    taught = read_table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "toxic")
+    found = toxicity.score_documents(read_table(spark, sf_dir, "documents"), taught)
+    return found.select("row.doc_id", "score", "reason").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "reason")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(read_table(spark, sf_dir, "documents"))
     return found.select("row.doc_id", "lang_pred", "score").withColumn("held_out", langid.held_out("doc_id"))
@@ -71,6 +83,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_topk": op2_topk,
         "op3_mixing": op3_mixing,
+        "op4_lm_scoring": op4_lm_scoring,
+        "op5_toxicity": op5_toxicity,
         "op6_langid": op6_langid,
         "op7_pieces": op7_pieces,
         "op8_secrets": op8_secrets,
