@@ -20,13 +20,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder of spark.checkpoint.dir, so that lost executors cost no lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share.
 
     A local session without the setting gets a folder of its own; a cluster without it is an error, since a
     machine-local folder isn't visible to the other machines.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir", None)
         if folder is None:
@@ -34,6 +34,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="scanloom-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder, so that lost executors cost no lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

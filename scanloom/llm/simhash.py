@@ -76,23 +76,33 @@ def similar_pairs(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> Data
     return found.filter((F.col("key") < (1 << 32)) | ~upper_finds).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """One row per row of docs: id, fp (long) and component_id, the least id of all that are linked, over any number of links."""
-    require(docs, id_column, text_column)
-    rows = checkpointed(docs.select(F.col(id_column).alias("id"), fingerprints(text_column).alias("fp")))
+def _with_components(rows: DataFrame, max_distance: int) -> DataFrame:
+    """rows (id, fp and more) with component_id and the component's root fingerprint."""
     groups = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
     roots = components(similar_pairs(groups.select("fp"), max_distance)).withColumnRenamed("node", "fp")
     rooted = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_fp = checkpointed(rooted.join(least, "root").select("fp", "component_id"))
-    return rows.join(by_fp, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
-
-
-def keep_one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with one document of each group of near duplicates, the one with the least id; all columns stay."""
-    names = docs.columns
-    found = near_duplicates(docs, id_column, text_column).withColumnRenamed(id_column, "id")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp")).alias("x")).select("x.id", "x.fp")
-    carried = docs.select(F.struct(*names).alias("row"), F.col(id_column).alias("own_id"), fingerprints(text_column).alias("own_fp"))
-    kept = carried.join(first, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_fp") == F.col("fp")), "left_semi")
-    return kept.select(*[F.col("row")[c].alias(c) for c in names])
+    return rows.join(checkpointed(rooted.join(least, "root").select("fp", "root", "component_id")), "fp")
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """One row per row of docs: id, fp (long) and component_id, the least id of all that are linked, over any number of links."""
+    require(docs, id_column, text_column)
+    rows = checkpointed(docs.select(F.col(id_column).alias("id"), fingerprints(text_column).alias("fp")))
+    return _with_components(rows, max_distance).select(F.col("id").alias(id_column), "fp", "component_id")
+
+
+def keep_one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """docs with one document of each group of near duplicates, the one with the least id; all columns stay.
+
+    Only ids and hashes are grouped; whole documents are read once more and those that go are taken out by a left anti
+    join, which Spark makes a broadcast if they turn out to be few."""
+    require(docs, id_column, text_column)
+    names, text_hash = docs.columns, F.xxhash64(F.col(text_column))
+    rows = checkpointed(docs.select(F.col(id_column).alias("id"), text_hash.alias("h"), fingerprints(text_column).alias("fp")))
+    found = _with_components(rows, max_distance)
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("kept"))
+    goes = found.join(kept, "root").filter(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("h") == F.col("kept.h")))).select("id", "h")
+    carried = docs.select(F.struct(*names).alias("row"), F.col(id_column).alias("own_id"), text_hash.alias("own_h"))
+    stay = carried.join(checkpointed(goes.distinct()), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_h") == F.col("h")), "left_anti")
+    return stay.select(*[F.col("row")[c].alias(c) for c in names])
