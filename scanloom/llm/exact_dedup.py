@@ -48,17 +48,16 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
     keyed = rows.withColumn("norm", normalised(F.col("text"))).select("*", F.substring("norm", 1, SPLITTER_CHARS).alias("opening"), F.xxhash64("norm").alias("h")).drop("norm")
     hot, limit = _hot_texts(keyed, partitions)
-    if hot is None:
-        salted = keyed.withColumn("salt", F.lit(0))
-    else:
+    salted, keys = keyed, ["opening", "h"]  # the window asks for these too, so it needs no exchange of its own
+    if hot is not None:
+        keys.append("salt")
         salted = keyed.join(F.broadcast(hot), "h", "left").withColumn("salt", F.when(F.col("copies").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("id"), F.ceil(F.col("copies") / limit))).cast("int")).drop("copies")
-    dealt = salted.repartitionByRange("opening", "h", "salt").withColumn("norm", normalised(F.col("text"))).drop("text")
-    equal = Window.partitionBy("opening", "h", "salt", "norm")
+    dealt = salted.repartitionByRange(*keys).withColumn("norm", normalised(F.col("text"))).drop("text")
+    equal = Window.partitionBy(*keys, "norm")
     ordered = equal.orderBy(F.col("id").asc_nulls_last())
     found = dealt.select(
         "id",
         *(["carried"] if carry else []),
-        "salt",
         F.first("id").over(ordered).alias("keep_id"),
         F.row_number().over(ordered).alias("place"),
         F.count(F.lit(1)).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("group_size"),
