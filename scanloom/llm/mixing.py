@@ -83,14 +83,17 @@ def shard_quotas(draws: list[int], shards: int, seed: int = SEED) -> np.ndarray:
     return quotas
 
 
+def _size(text_column: str) -> Column:
+    return F.regexp_count(text_or_empty(text_column), F.lit(WORD)).cast("long")
+
+
 def mix(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, shards: int = SHARDS, block_words: int = BLOCK_WORDS, carry: tuple[str, ...] = ()
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, shards: int = SHARDS, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
     """One row per row of docs: id, source, size, source_size, target and shards, an array with the output shard of each
     of the document's draws; its length tells how often the mix takes the document."""
-    require(docs, id_column, text_column, source_column, *carry)
-    size = F.regexp_count(text_or_empty(text_column), F.lit(WORD)).cast("long")
-    rows = checkpointed(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), size.alias("size"), _key(seed, F.col(id_column)).alias("key"), *([F.struct(*carry).alias("carried")] if carry else [])))
+    require(docs, id_column, text_column, source_column)
+    rows = checkpointed(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), _size(text_column).alias("size"), _key(seed, F.col(id_column)).alias("key")))
     bits = max(0, (max(1, rows.count()) // BUCKET_ROWS).bit_length())
     rows = rows.withColumn("bucket", F.shiftright("key", KEY_BITS - bits))
     per_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -109,12 +112,15 @@ def mix(
     # what a source still lacks: the largest documents that fit, one a round, then the nearest
     sums = placed.groupBy("source").agg(F.first("rest").alias("rest"), F.first("passes").alias("passes"), F.max("block").alias("last_block"), F.sum(F.when(F.col("first"), F.col("size"))).alias("had"), F.max(F.when(F.col("first"), F.col("block"))).alias("last_first"))
     plan = sums.withColumn("gap", F.col("rest") - F.coalesce("had", F.lit(0))).withColumn("picks", F.array().cast("array<struct<bucket: bigint, place: int>>")).withColumnRenamed("source", "s")
-    same = F.col("source").eqNullSafe(F.col("s"))
+    # a source's row is joined by source and bucket, so a source with most documents isn't one join key
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))
+    buckets = offsets.select(F.col("s").alias("of"), "b")
+    spread = lambda of_source: buckets.join(of_source, F.col("of").eqNullSafe(F.col("s"))).drop("of")
     at = F.struct("bucket", "place")
     for nth in range(FILLERS):
         plan = checkpointed(plan)
         away = F.abs(F.col("gap") - F.col("size")) if nth == FILLERS - 1 else F.col("gap") - F.col("size")
-        free = placed.filter(~F.col("first") & (F.col("size") > 0)).join(plan.select("s", "gap", "picks"), same).filter(away.between(0, F.col("gap") - 1) & ~F.array_contains("picks", at))
+        free = placed.filter(~F.col("first") & (F.col("size") > 0)).join(spread(plan.select("s", "gap", "picks")), same).filter(away.between(0, F.col("gap") - 1) & ~F.array_contains("picks", at))
         found = free.groupBy(F.col("source").alias("n")).agg(F.min(F.struct(away.alias("away"), "size", "bucket", "place")).alias("x"))
         plan = plan.join(found, F.col("s").eqNullSafe(F.col("n")), "left").drop("n")
         plan = plan.withColumn("gap", F.col("gap") - F.coalesce("x.size", F.lit(0))).withColumn("picks", F.when(F.col("x").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array(F.struct("x.bucket", "x.place"))))).drop("x")
@@ -128,18 +134,27 @@ def mix(
     dealt = docs.sparkSession.createDataFrame([(s, e) for (s, _), e in zip(per_source, ends, strict=True)], f"n {dict(docs.dtypes)[source_column]}, ends array<long>")
     plan = plan.join(dealt, F.col("s").eqNullSafe(F.col("n")), "left").drop("n")
 
-    placed = placed.join(plan, same)
+    placed = placed.join(spread(plan), same)
     whole = F.transform(F.sequence(F.lit(0), F.col("passes") - 1), lambda p: p * in_pass + F.col("block"))
     whole = F.when(F.col("passes") > 0, whole).otherwise(F.array().cast("array<bigint>"))
     more = F.when(F.col("first") & (F.col("rest") > 0), F.array(F.col("passes") * in_pass + F.col("block"))).when(F.array_contains("picks", at), F.array(F.col("draws") - F.array_position("picks", at))).otherwise(F.array().cast("array<bigint>"))
     shards_of = F.transform(F.concat(whole, more), lambda d: F.size(F.filter("ends", lambda e: e <= d)))
-    return placed.select(F.col("id").alias(id_column), F.col("source").alias(source_column), "size", "source_size", "target", shards_of.alias("shards"), *(["carried"] if carry else []))
+    return placed.select(F.col("id").alias(id_column), F.col("source").alias(source_column), "size", "source_size", "target", shards_of.alias("shards"))
 
 
-def mixed_documents(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: int = SEED, **options) -> DataFrame:
     """The mix itself: each document as often as it is drawn, with its columns; partitioned by shard and shuffled within
-    it. Rows of one document differ only by their place."""
-    names = tuple(docs.columns)
-    drawn = mix(docs, seed=seed, carry=names, **options).select("carried", F.posexplode("shards").alias("nth", "shard"), F.col(options.get("id_column", "doc_id")).alias("id"))
-    order = F.xxhash64(F.lit(seed), "shard", "id", "nth")
-    return drawn.withColumn("order", order).repartition("shard", F.pmod("order", F.lit(8))).sortWithinPartitions("shard", "order").select(*[F.col("carried")[c].alias(c) for c in names])
+    it. The plan is made of ids and sizes only; whole documents are dealt out twice, to meet their draws and to their
+    shards. Rows that share id, source and size are told apart by their order."""
+    names, sub = docs.columns, F.lit(8)
+    plan = mix(docs, id_column, text_column, source_column, seed=seed, **options).select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), "size", "shards")
+    same = ("k", "id", "source", "size")
+    plan = plan.withColumn("k", F.xxhash64("id", "source", "size"))
+    plan = plan.withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy("shards"))).select(*[F.col(c).alias(f"plan_{c}") for c in same], F.col("nth").alias("plan_nth"), "shards")
+    rows = docs.select(F.struct(*names).alias("row"), F.col(id_column).alias("id"), F.col(source_column).alias("source"), _size(text_column).alias("size"), F.xxhash64(text_column).alias("h"))
+    rows = rows.withColumn("k", F.xxhash64("id", "source", "size")).repartition("k")
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy("h")))
+    joint = F.col("id").eqNullSafe(F.col("plan_id")) & F.col("source").eqNullSafe(F.col("plan_source")) & (F.abs(F.col("size") - F.col("plan_size")) + F.abs(F.col("nth") - F.col("plan_nth")) == 0)
+    drawn = rows.join(plan, (F.col("k") == F.col("plan_k")) & F.when(joint, True).otherwise(False)).select("row", "k", F.posexplode("shards").alias("time", "shard"))
+    order = F.xxhash64(F.lit(seed), "shard", "k", "time")
+    return drawn.withColumn("order", order).repartition("shard", F.pmod("order", sub)).sortWithinPartitions("shard", "order").select(*[F.col("row")[c].alias(c) for c in names])
