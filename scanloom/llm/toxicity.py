@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.char_lm import CLASSES, classes, counted, losses
-from scanloom.llm.common import require
+from scanloom.llm.common import checkpointed, require
 
 #: The letters that digits and signs are written for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "(": "c", "¡": "i"}
@@ -178,8 +178,10 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, shared, fit: Fit) -> dict[
         names = list(found)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([found[f][1] for f in names], pa.int64()), pa.array([found[f][0] for f in names], pa.int64()), pa.array(np.array([found[f][2] for f in names], np.uint64).view(np.int64))], ["feature", "toxic", "clean", "contexts"])
 
-    rows = docs.join(chosen, "id").select("text", "toxic")
+    # at most about 2 * per_class rows of two numbers each, so they may be broadcast and no text is moved
+    rows = docs.join(F.broadcast(chosen), "id").select("text", "toxic")
     sums = rows.mapInArrow(counted_features, "feature string, toxic long, clean long, contexts long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_count(F.bit_or("contexts")).alias("filled"))
+    sums = checkpointed(sums.filter("toxic > 0"))
     whole = sums.filter("feature = ''").first()
     if whole is None or not whole["toxic"] or not whole["clean"]:
         return {}
@@ -188,7 +190,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, shared, fit: Fit) -> dict[
     contexts = F.when(F.col("filled") < 64, -64 * F.log(1 - F.col("filled") / 64)).otherwise(F.col("toxic"))
     evidence = F.least(F.col("toxic").cast("double"), contexts) * float(np.log(fit.pure / base)) + F.col("clean") * float(np.log((1 - fit.pure) / (1 - base))) + float(np.log(fit.prior / (1 - fit.prior)))
     chance = 1 / (1 + F.exp(-evidence))
-    return {r["feature"]: r["chance"] for r in sums.filter("feature != '' and toxic > 0").withColumn("chance", chance).filter(F.col("chance") >= fit.least).select("feature", "chance").collect()}
+    return {r["feature"]: r["chance"] for r in sums.filter("feature != ''").withColumn("chance", chance).filter(F.col("chance") >= fit.least).select("feature", "chance").collect()}
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", fit: Fit | None = None) -> DataFrame:
