@@ -27,7 +27,8 @@ from scanloom.llm.common import require
 def models(docs: DataFrame, targets: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """targets: one column of ids. The losses of the target's and the background's trigrams."""
     ids = targets.select(F.col(targets.columns[0]).alias("target_id")).distinct().withColumn("group", F.lit(0))
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(ids, F.col("id") == F.col("target_id"), "left")
+    # documents may be any size and so may labels: they meet by a sorted exchange whatever the size
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(ids.hint("merge"), F.col("id") == F.col("target_id"), "left")
     target, every = counted(rows, 1)
     if not target.sum():
         return losses(every), losses(every)
