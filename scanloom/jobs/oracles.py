@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 N = 10
 FEATURES = [f"f{i}" for i in range(N)]
 
@@ -142,7 +144,9 @@ def component(source: str, name: str) -> str:
 
 
 def recursive(sql: str) -> str:
-    return sql.replace("with ", "with recursive ", 1)
+    """sql with recursion allowed; every other expression is computed once."""
+    once = re.sub(r"(\w+) as \(", lambda m: m[0] if m[1] == "w" or m[1].endswith("_reach") else f"{m[1]} as materialized (", sql)
+    return once.replace("with ", "with recursive ", 1)
 
 
 BINARY = "bin as (select image_id, y, x, (v > 127)::int as v from px)"
