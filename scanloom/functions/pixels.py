@@ -309,9 +309,10 @@ def segment_chan_vese(x: np.ndarray, least: int = 300) -> np.ndarray:
     return largest_component(mask, diagonal=True)
 
 
-def features_f13(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of normalised images: a row for each valid one, and which are valid: at least 16 pixels and some spread."""
-    masks = segment_chan_vese(x)
+def features_f13(x: np.ndarray, least: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Of normalised images: a row for each valid one, and which are valid: at least 16 pixels and some spread. least: pixels of the
+    smallest object that counts."""
+    masks = segment_chan_vese(x, least)
     perimeters, entropies, gradients, rows, valid = weighted_perimeter(masks), lbp(x)[:, 3], gradient(x)[:, 0], [], np.zeros(len(x), bool)
     for i, (image, mask) in enumerate(zip(x, masks, strict=True)):
         area = int(mask.sum())

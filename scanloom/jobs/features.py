@@ -52,9 +52,9 @@ def features_f10(df: DataFrame, keep: tuple[str, ...] = ("image_id",)) -> DataFr
     return _feature_rows(df, keep, K.F10, lambda x: (K.features_f10(K.preprocess(x, "reflect")), None))
 
 
-def features_f13(df: DataFrame, keep: tuple[str, ...] = ("image_id",)) -> DataFrame:
+def features_f13(df: DataFrame, keep: tuple[str, ...] = ("image_id",), least: int = 300) -> DataFrame:
     """Thirteen features of each image with a valid region; the other images have no row. Borders repeat their edge."""
-    return _feature_rows(df, keep, K.F13, lambda x: K.features_f13(K.preprocess(x, "symmetric")))
+    return _feature_rows(df, keep, K.F13, lambda x: K.features_f13(K.preprocess(x, "symmetric"), least))
 
 
 def features_d10(df: DataFrame, keep: tuple[str, ...] = ("image_id",)) -> DataFrame:

@@ -40,8 +40,8 @@ class FourierSVM:
     """A support vector machine with a Gaussian kernel, by random Fourier features: cosines of fixed random projections
     stand for the kernel, a linear machine separates them, and a logistic curve of its margin gives probabilities."""
 
-    def __init__(self, columns: list[str], n_features: int = 128, c: float = 1.0, seed: int = 42) -> None:
-        self.columns, self.n, self.c, self.seed = columns, n_features, c, seed
+    def __init__(self, columns: list[str], n_features: int = 64, c: float = 1.0, seed: int = 42, max_iter: int = 25) -> None:
+        self.columns, self.n, self.c, self.seed, self.max_iter = columns, n_features, c, seed, max_iter
 
     def _mapped(self, df: DataFrame) -> DataFrame:
         terms: list[Column] = []
@@ -62,7 +62,7 @@ class FourierSVM:
         random = np.random.default_rng(self.seed)
         self.directions, self.shifts = random.normal(scale=np.sqrt(2 * gamma), size=(self.n, d)), random.uniform(0, 2 * np.pi, self.n)
         mapped = self._mapped(train).select("features", F.col(label).alias("label")).cache()
-        self.machine = LinearSVC(labelCol="label", regParam=1 / (self.c * max(1, moments["n"])), maxIter=100).fit(mapped)
+        self.machine = LinearSVC(labelCol="label", regParam=1 / (self.c * max(1, moments["n"])), maxIter=self.max_iter).fit(mapped)
         margins = assembled(self.machine.transform(mapped).select(vector_to_array("rawPrediction")[1].alias("margin"), "label"), ["margin"])
         self.curve = LogisticRegression(labelCol="label").fit(margins)
         mapped.unpersist()
