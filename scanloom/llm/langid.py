@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import crc32_mod, require
+from scanloom.llm.common import bounded_batches, crc32_mod, require
 
 UNKNOWN = "und"
 FEATURES, ORDERS = 1 << 15, (1, 2, 3)
@@ -175,6 +175,7 @@ def fit_languages(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """A model from the rows of docs that have a language; leave held-out rows out of docs."""
     fit = fit or Fit()
     require(docs, id_column, text_column, lang_column)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).filter("lang is not null and text is not null")
     sample = _sample(rows, fit.per_language)
     languages = sorted({x[0] for x in sample})

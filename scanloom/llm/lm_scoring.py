@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.char_lm import counted, losses, trigrams
-from scanloom.llm.common import require
+from scanloom.llm.common import bounded_batches, require
 
 
 def models(docs: DataFrame, targets: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -38,6 +38,7 @@ def models(docs: DataFrame, targets: DataFrame, id_column: str = "doc_id", text_
 def score_documents(docs: DataFrame, targets: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of docs: id, n_tokens, target_loss and background_loss (means over tokens), score (their difference)."""
     require(docs, id_column, text_column)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(models(docs, targets, id_column, text_column))
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import require
+from scanloom.llm.common import bounded_batches, require
 
 SEPARATOR = "▁"
 #: Longer runs are encoded one by one.
 LONG_RUN = 48
 #: Runs that a worker remembers, and runs it encodes together.
-REMEMBERED, TOGETHER = 600_000, 50_000
+REMEMBERED, TOGETHER = 300_000, 50_000
 #: Pairs of tokens whose test is remembered, as a power of two.
 TESTED_BITS = 21
 NEVER = -(1 << 30)
@@ -348,6 +348,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_column: str = "doc_id"
     """One row per row of docs: id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the
     decoded text), and with keep_ids also ids (array<int>) and decoded."""
     require(docs, id_column, text_column)
+    bounded_batches(docs.sparkSession)
     kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32()), "decoded": pa.string()} if keep_ids else {})
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

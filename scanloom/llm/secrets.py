@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import require
+from scanloom.llm.common import bounded_batches, require
 
 
 @dataclass(frozen=True)
@@ -207,6 +207,7 @@ def scan(texts: list[str], rules: tuple[Rule, ...]) -> list[list[tuple[str, int,
 def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per row of docs: id and spans, an array of (kind, start, end) in code points, by start, then rule."""
     require(docs, id_column, text_column)
+    bounded_batches(docs.sparkSession)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from scanloom.llm.common import checkpointed, require
+from scanloom.llm.common import bounded_batches, checkpointed, require
 from scanloom.llm.components import components
 
 SHINGLE_WORDS, SEED, BITS, MAX_DISTANCE = 3, 42, 64, 3
@@ -88,6 +88,7 @@ def _with_components(rows: DataFrame, max_distance: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
     """One row per row of docs: id, fp (long) and component_id, the least id of all that are linked, over any number of links."""
     require(docs, id_column, text_column)
+    bounded_batches(docs.sparkSession)
     rows = checkpointed(docs.select(F.col(id_column).alias("id"), fingerprints(text_column).alias("fp")))
     return _with_components(rows, max_distance).select(F.col("id").alias(id_column), "fp", "component_id")
 
@@ -98,6 +99,7 @@ def keep_one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_colu
     Only ids and hashes are grouped; whole documents are read once more and those that go are taken out by a left anti
     join, which Spark makes a broadcast if they turn out to be few."""
     require(docs, id_column, text_column)
+    bounded_batches(docs.sparkSession)
     names, text_hash = docs.columns, F.xxhash64(F.col(text_column))
     rows = checkpointed(docs.select(F.col(id_column).alias("id"), text_hash.alias("h"), fingerprints(text_column).alias("fp")))
     found = _with_components(rows, max_distance)

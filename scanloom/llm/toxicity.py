@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.char_lm import CLASSES, classes, counted, losses
-from scanloom.llm.common import checkpointed, require
+from scanloom.llm.common import bounded_batches, checkpointed, require
 
 #: The letters that digits and signs are written for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "(": "c", "¡": "i"}
@@ -196,6 +196,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, shared, fit: Fit) -> dict[
 def score_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", fit: Fit | None = None) -> DataFrame:
     """docs scored by what labels (id, toxic) teach: row, score (0 to 1), and the feature that says most."""
     require(docs, id_column, text_column)
+    bounded_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     character_model = context.broadcast(losses(counted(rows.select("text", F.lit(None).cast("int").alias("group")), 0)[0]))
