@@ -32,5 +32,47 @@ select * from ranked where rank <= 20
 """
 
 
+#: By kind: the pattern, the words that raise the score, the score without them, and a condition on a match m.
+DIGITS_OF = "regexp_replace(m, '[^0-9]', '', 'g')"
+LUHN = f"list_sum(list_transform(range(1, length({DIGITS_OF}) + 1), lambda i: case when i % 2 = 1 then substr(reverse({DIGITS_OF}), i, 1)::int else (substr(reverse({DIGITS_OF}), i, 1)::int * 2 // 10 + substr(reverse({DIGITS_OF}), i, 1)::int * 2 % 10) end)) % 10 = 0"
+PERSONAL = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "mail|contact|write|address", 70, "true"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "ip|host|server|address|login", 50, "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 or coalesce(try_cast(p as int), 0) > 255)) = 0"),
+    ("card", r"[0-9]([ -]?[0-9])+", "card|credit|visa|pay|account", 60, f"length({DIGITS_OF}) between 13 and 19 and {LUHN}"),
+    ("phone", r"\+[0-9][ ().0-9-]+[0-9]", "phone|call|tel|mobile|fax|contact", 60, f"length({DIGITS_OF}) between 9 and 15"),
+    ("iban", r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){11,30}", "iban|bank|account|transfer|bic", 70, "coalesce(list_reduce(list_prepend(0, list_transform(string_split(substr(replace(part, ' ', ''), 5) || substr(part, 1, 4), ''), lambda c: case when c between '0' and '9' then c::int else ascii(c) - 55 end)), lambda a, x: case when x < 10 then (a * 10 + x) % 97 else (a * 100 + x) % 97 end) = 1, false)"),
+    ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "ssn|social|security|insurance", 20, "near"),
+)
+COUNTRIES = "map {'AT': 20, 'BE': 16, 'CH': 21, 'DE': 22, 'DK': 18, 'ES': 24, 'FI': 18, 'FR': 27, 'GB': 22, 'IE': 22, 'IT': 27, 'LU': 20, 'NL': 18, 'NO': 15, 'PL': 28, 'PT': 25, 'SE': 24}"
+
+
+def personal_data() -> str:
+    """One row per match: the pieces of a text between the matches and the matches before give its start."""
+    kinds = []
+    for place, (kind, pattern, context, score, condition) in enumerate(PERSONAL):
+        kinds.append(f"""
+select doc_id, {place} as place, '{kind}' as kind, start, start + length({'part' if kind == 'iban' else 'm'}) as stop, {score} + case when near then 30 else 0 end as score from (
+  select *, regexp_matches(lower(substr(text, greatest(start - 40, 0) + 1, least(start, 40))), '{context}') as near,
+         list_filter(list_transform(range(1, length(m) + 1), lambda i: substr(m, 1, i)), lambda p: length(replace(p, ' ', '')) = {COUNTRIES}[substr(m, 1, 2)] and not p like '% ')[1] as part
+  from (
+    select doc_id, text, ms[i] as m, (list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::bigint as start
+    from (select doc_id, text, ms, gs, unnest(range(1, len(ms) + 1)) as i from (select doc_id, text, regexp_extract_all(text, '{pattern}') as ms, string_split_regex(text, '{pattern}') as gs from texts))
+  )
+) where {condition}""")
+    return f"""
+with texts as (select doc_id, coalesce(text, '') as text from documents),
+spans as ({' union all '.join(kinds)}),
+said as (
+  select doc_id, count(*) filter (where kind = 'email') as e, count(*) filter (where kind = 'ip') as i, count(*) filter (where kind = 'card') as c, count(*) filter (where kind = 'phone') as p,
+         string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by place, start) filter (where place < 4) as base,
+         string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by place, start) as every,
+         string_agg(score::varchar, ',' order by place, start) as scores
+  from spans group by doc_id
+)
+select t.doc_id, coalesce(e, 0) as n_email, coalesce(i, 0) as n_ip, coalesce(c, 0) as n_card, coalesce(p, 0) as n_phone, sha256(coalesce(base, '')) as base_sha256, coalesce(every, '') as spans, coalesce(scores, '') as scores
+from texts t left join said using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": TOPK, "op9_exact_dedup": EXACT_DEDUP}
+    return {"op2_topk": TOPK, "op9_exact_dedup": EXACT_DEDUP, "op10_pii": personal_data()}
