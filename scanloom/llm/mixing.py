@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import WORD, checkpointed, require, text_or_empty
+from scanloom.llm.common import WORD, checkpointed, require, shuffle_partitions, text_or_empty
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, 42
 BLOCK_WORDS, SHARDS, BUCKET_ROWS = 4096, 16, 4096
@@ -146,7 +146,8 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """The mix itself: each document as often as it is drawn, with its columns; partitioned by shard and shuffled within
     it. The plan is made of ids and sizes only; whole documents are dealt out twice, to meet their draws and to their
     shards. Rows that share id, source and size are told apart by their order."""
-    names, sub = docs.columns, F.lit(8)
+    # a shard is shuffled in parts, so that tasks don't grow with it
+    names, sub = docs.columns, F.lit(max(8, 4 * shuffle_partitions(docs.sparkSession) // options.get("shards", SHARDS)))
     plan = mix(docs, id_column, text_column, source_column, seed=seed, **options).select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), "size", "shards")
     same = ("k", "id", "source", "size")
     plan = plan.withColumn("k", F.xxhash64("id", "source", "size"))
