@@ -100,9 +100,13 @@ def keep_one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_colu
     join, which Spark makes a broadcast if they turn out to be few."""
     require(docs, id_column, text_column)
     bounded_batches(docs.sparkSession)
+    rows = checkpointed(docs.select(F.col(id_column).alias("id"), F.xxhash64(F.col(text_column)).alias("h"), fingerprints(text_column).alias("fp")))
+    return keep_least_of_each(docs, _with_components(rows, max_distance), id_column, text_column)
+
+
+def keep_least_of_each(docs: DataFrame, found: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """docs without the rows of found (id, h, the hash of the text, and root) that aren't the least of their root."""
     names, text_hash = docs.columns, F.xxhash64(F.col(text_column))
-    rows = checkpointed(docs.select(F.col(id_column).alias("id"), text_hash.alias("h"), fingerprints(text_column).alias("fp")))
-    found = _with_components(rows, max_distance)
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("kept"))
     goes = found.join(kept, "root").filter(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("h") == F.col("kept.h")))).select("id", "h")
     carried = docs.select(F.struct(*names).alias("row"), F.col(id_column).alias("own_id"), text_hash.alias("own_h"))
