@@ -3,7 +3,9 @@
 Weights share 100 % of all words among the sources; no source gives more than `cap` times its size, and what a capped
 source can't take goes to the others by weight. Each source's documents are put in one permuted order, by a hash of
 seed and id, and cut into blocks of about `block_words` words. A source is taken whole as often as its target holds it
-and then up to the target along that order; a few more documents, the largest that fit and then the nearest, close the gap.
+and then up to the target along that order. The gap that a document leaves which doesn't fit is filled with those that
+do, further along the order, or with the largest if that is a quarter of the gap, until none fits; so each round leaves
+three quarters of the gap at most. Then the nearest is taken if that makes the gap smaller.
 
 So each source has an exact number of block draws. A splitting tree deals them to output shards: the root holds the
 draws of all sources, each node draws its left half's share of them from a multivariate hypergeometric distribution,
@@ -28,8 +30,6 @@ from scanloom.llm.common import WORD, checkpointed, require, shuffle_partitions,
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, 42
 BLOCK_WORDS, SHARDS, BUCKET_ROWS = 4096, 16, 4096
-#: Documents that close the gap between a source's target and its drawn blocks.
-FILLERS = 3
 #: Bits of the order key, the first 15 hexadecimal digits of an md5.
 KEY_BITS = 60
 #: numpy draws hypergeometrically from fewer than a billion; more blocks than this are drawn in larger units.
@@ -109,26 +109,58 @@ def mix(
     placed = placed.withColumn("block", F.floor(F.col("start") / block_words)).withColumn("first", F.col("start") + F.col("size") <= F.col("rest")).drop("offset")
     placed = checkpointed(placed)
 
-    # what a source still lacks: the largest documents that fit, one a round, then the nearest
-    sums = placed.groupBy("source").agg(F.first("rest").alias("rest"), F.first("passes").alias("passes"), F.max("block").alias("last_block"), F.sum(F.when(F.col("first"), F.col("size"))).alias("had"), F.max(F.when(F.col("first"), F.col("block"))).alias("last_first"))
-    plan = sums.withColumn("gap", F.col("rest") - F.coalesce("had", F.lit(0))).withColumn("picks", F.array().cast("array<struct<bucket: bigint, place: int>>")).withColumnRenamed("source", "s")
     # a source's row is joined by source and bucket, so a source with most documents isn't one join key
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))
     buckets = offsets.select(F.col("s").alias("of"), "b")
     spread = lambda of_source: buckets.join(of_source, F.col("of").eqNullSafe(F.col("s"))).drop("of")
-    at = F.struct("bucket", "place")
-    for nth in range(FILLERS):
+    sums = placed.groupBy("source").agg(F.first("rest").alias("rest"), F.first("passes").alias("passes"), F.max("block").alias("last_block"), F.sum(F.when(F.col("first"), F.col("size"))).alias("had"), F.max(F.when(F.col("first"), F.col("block"))).alias("last_first"))
+    plan = sums.withColumn("gap", F.col("rest") - F.coalesce("had", F.lit(0))).withColumn("more_words", F.lit(0).cast("long")).withColumnRenamed("source", "s")
+    plan = checkpointed(plan)
+
+    # what a source still lacks: further along the order those that fit, again and again until none does
+    free, further = placed.filter(~F.col("first") & (F.col("size") > 0)).select("source", "bucket", "place", "size"), None
+    while True:
+        free = checkpointed(free.join(spread(plan.select("s", "gap", "more_words")), same).filter("size <= gap").drop("s", "b"))
+        largest = checkpointed(free.groupBy(F.col("source").alias("s")).agg(F.min(F.struct((-F.col("size")).alias("less"), "bucket", "place")).alias("largest")))
+        if largest.isEmpty():
+            break
+        free = free.join(spread(largest), same).withColumn("alone", F.col("gap") <= -4 * F.col("largest.less")).drop("s", "b")
+        free = checkpointed(free.withColumn("is_largest", (F.col("bucket") == F.col("largest.bucket")) & (F.col("place") == F.col("largest.place"))).drop("largest"))
+        ahead = free.groupBy("source", "bucket").agg(F.sum("size").alias("words")).withColumn("ahead", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+        ahead = ahead.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "ahead")
+        free = checkpointed(free.join(ahead, same).drop("s", "b"))
+        along = Window.partitionBy("source", "bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+        is_near = F.col("is_largest") | (~F.col("alone") & (F.col("ahead") < F.col("gap")))
+        near = free.filter(is_near).withColumn("ahead", F.when(F.col("alone"), 0).otherwise(F.col("ahead") + F.sum("size").over(along) - F.col("size")))
+        near = checkpointed(near.withColumn("fits", F.col("alone") | (F.col("ahead") + F.col("size") <= F.col("gap"))))
+        found = near.filter("fits").select(F.col("source").alias("n"), F.col("bucket").alias("at_bucket"), F.col("place").alias("at_place"), "size", (F.col("more_words") + F.col("ahead")).alias("more_start"))
+        further = found if further is None else further.unionAll(found)
+        words = found.groupBy("n").agg(F.sum("size").alias("x"))
+        plan = plan.join(words, F.col("s").eqNullSafe(F.col("n")), "left").withColumn("gap", F.col("gap") - F.coalesce("x", F.lit(0))).withColumn("more_words", F.col("more_words") + F.coalesce("x", F.lit(0))).drop("n", "x")
         plan = checkpointed(plan)
-        away = F.abs(F.col("gap") - F.col("size")) if nth == FILLERS - 1 else F.col("gap") - F.col("size")
-        free = placed.filter(~F.col("first") & (F.col("size") > 0)).join(spread(plan.select("s", "gap", "picks")), same).filter(away.between(0, F.col("gap") - 1) & ~F.array_contains("picks", at))
-        found = free.groupBy(F.col("source").alias("n")).agg(F.min(F.struct(away.alias("away"), "size", "bucket", "place")).alias("x"))
-        plan = plan.join(found, F.col("s").eqNullSafe(F.col("n")), "left").drop("n")
-        plan = plan.withColumn("gap", F.col("gap") - F.coalesce("x.size", F.lit(0))).withColumn("picks", F.when(F.col("x").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array(F.struct("x.bucket", "x.place"))))).drop("x")
+        columns = ("source", "bucket", "place", "size")
+        free = free.filter(~is_near).select(*columns).unionAll(near.filter("not fits").select(*columns))
+    if further is None:
+        placed = placed.withColumn("more_block", F.lit(None).cast("long"))
+    else:
+        there = F.col("source").eqNullSafe(F.col("n")) & (F.col("bucket") == F.col("at_bucket")) & (F.col("place") == F.col("at_place"))
+        placed = placed.join(further.drop("size"), there, "left").withColumn("more_block", F.floor(F.col("more_start") / block_words)).drop("n", "at_bucket", "at_place", "more_start")
+        placed = checkpointed(placed)
+
+    # then the nearest, if that makes the gap smaller
+    at, away = F.struct("bucket", "place"), F.abs(F.col("gap") - F.col("size"))
+    free = placed.filter(~F.col("first") & F.col("more_block").isNull() & (F.col("size") > 0)).join(spread(plan.select("s", "gap")), same).filter(away.between(0, F.col("gap") - 1))
+    found = free.groupBy(F.col("source").alias("n")).agg(F.min(F.struct(away.alias("away"), "size", "bucket", "place")).alias("x"))
+    plan = plan.join(found, F.col("s").eqNullSafe(F.col("n")), "left").drop("n")
+    plan = plan.withColumn("picks", F.when(F.col("x").isNotNull(), F.array(F.struct("x.bucket", "x.place"))).otherwise(F.array().cast("array<struct<bucket: bigint, place: int>>")))
+    # draws: the whole passes, the part along the order, what was taken further along it, the nearest
     in_pass = F.col("last_block") + 1
-    plan = plan.withColumn("draws", F.col("passes") * in_pass + F.coalesce(F.col("last_first") + 1, F.lit(0)) + F.size("picks"))
+    plan = plan.withColumn("more_from", F.col("passes") * in_pass + F.coalesce(F.col("last_first") + 1, F.lit(0)))
+    more_blocks = F.floor((F.col("more_words") + block_words - 1) / block_words)
+    plan = plan.withColumn("draws", F.col("more_from") + more_blocks + F.size("picks"))
 
     # one row per source: its draws are dealt to the shards
-    plan = checkpointed(plan.select("s", "draws", "last_block", "picks"))
+    plan = checkpointed(plan.select("s", "draws", "last_block", "more_from", "picks"))
     per_source = [tuple(r) for r in plan.select("s", "draws").orderBy(F.col("s").asc_nulls_last()).collect()]
     ends = np.cumsum(shard_quotas([n for _, n in per_source], shards, seed), axis=1).tolist() if per_source else []
     dealt = docs.sparkSession.createDataFrame([(s, e) for (s, _), e in zip(per_source, ends, strict=True)], f"n {dict(docs.dtypes)[source_column]}, ends array<long>")
@@ -137,7 +169,7 @@ def mix(
     placed = placed.join(spread(plan), same)
     whole = F.transform(F.sequence(F.lit(0), F.col("passes") - 1), lambda p: p * in_pass + F.col("block"))
     whole = F.when(F.col("passes") > 0, whole).otherwise(F.array().cast("array<bigint>"))
-    more = F.when(F.col("first") & (F.col("rest") > 0), F.array(F.col("passes") * in_pass + F.col("block"))).when(F.array_contains("picks", at), F.array(F.col("draws") - F.array_position("picks", at))).otherwise(F.array().cast("array<bigint>"))
+    more = F.when(F.col("first") & (F.col("rest") > 0), F.array(F.col("passes") * in_pass + F.col("block"))).when(F.col("more_block").isNotNull(), F.array(F.col("more_from") + F.col("more_block"))).when(F.array_contains("picks", at), F.array(F.col("draws") - F.array_position("picks", at))).otherwise(F.array().cast("array<bigint>"))
     shards_of = F.transform(F.concat(whole, more), lambda d: F.size(F.filter("ends", lambda e: e <= d)))
     return placed.select(F.col("id").alias(id_column), F.col("source").alias(source_column), "size", "source_size", "target", shards_of.alias("shards"))
 
