@@ -3,7 +3,8 @@
 Channel: words are written with digits and signs for letters, with separators between their letters, or with letters
 repeated. A token that shows such marks becomes a lattice of the letters it may stand for, each step with the cost of
 that distortion, and a Viterbi search takes the path of least cost under the distortions and a character trigram model
-of the whole corpus. Tokens without marks have a single path and stay as they are.
+of the whole corpus. Tokens without marks have a single path and stay as they are. Tokens may have any length; one with
+signs behind it is read with them and without.
 
 Score: of the restored text's words and their openings of 4 and 5 letters, the one that says most. A feature's chance
 to mean toxic text comes from the labelled documents with and without it; evidence from toxic documents counts once
@@ -45,13 +46,15 @@ THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 _SIGNS = re.escape("".join(STANDS_FOR))
 _LETTER = r"[^\W\d_]"
-#: Signs among letters; single letters between separators of one kind; a letter three times in a row.
+#: Signs among letters; single letters or signs between separators of one kind; a letter three times in a row.
 SIGNED = re.compile(rf"{_LETTER}*[{_SIGNS}](?:{_LETTER}|[{_SIGNS}])*")
-SPACED = re.compile(rf"(?<!\w){_LETTER}([{re.escape(SEPARATORS)}])(?:[^\W_]\1|[{_SIGNS}]\1){{1,30}}(?:[^\W_]|[{_SIGNS}])(?!\w)")
+_SPELT = rf"(?:[^\W_]|[{re.escape(''.join(c for c in STANDS_FOR if not c.isdigit()))}])"
+SPACED = re.compile(rf"(?<!\w){_SPELT}([{re.escape(SEPARATORS)}])(?:{_SPELT}\1)+{_SPELT}(?!\w)")
 THRICE = re.compile(rf"({_LETTER})\1\1")
-TWICE = re.compile(rf"([{_SIGNS}])\1")
-#: Letters and signs of the longest token that is decoded.
-LONGEST = 40
+#: Signs that may also just stand behind a word: it is read with them and without.
+BEHIND = "$@\u20ac\u00a1"
+#: The longest token whose reading is kept for when it comes again; longer ones are decoded as well.
+KEPT = 40
 
 
 @dataclass(frozen=True, eq=False)
@@ -69,28 +72,33 @@ def _decoded(token: str, shared: CharModel) -> str:
 def decode(token: str, losses: np.ndarray) -> str:
     """The reading of a token, in lower case, of least cost."""
     table, blank = classes(), int(classes()[32])
-    paths = {(0, blank): (0.0, "")}  # by the classes of the last two letters: cost and letters so far
+    paths = {(0, blank): (0.0, None)}  # by the classes of the last two letters: cost, and the last letter with those before it
     spaced = len(token) > 2 and token[1] in SEPARATORS and set(token[1::2]) == {token[1]}
     letters = token[::2] if spaced else token
     long_run = {m.start() + i for m in re.finditer(r"(.)\1{2,}", letters) for i in range(1, len(m[0]))}  # what repetition may have put in
     for nth, c in enumerate(token):
-        found: dict[tuple[int, int], tuple[float, str]] = {}
+        found: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, out) in paths.items():
             if spaced and c == token[1]:
                 # put in between letters, or the end of a word
                 steps = [((a, b), cost + SEPARATOR_COST, out)]
                 if c == " ":
-                    steps.append(((b, blank), cost + float(losses[(a * CLASSES + b) * CLASSES + blank]), out + " "))
+                    steps.append(((b, blank), cost + float(losses[(a * CLASSES + b) * CLASSES + blank]), (out, " ")))
             else:
                 readings = [(c, 0.0)] if c.isalpha() else [(x, SIGN_COST) for x in STANDS_FOR.get(c, "")] or [(c, 0.0)]
-                steps = [((b, k), cost + extra + float(losses[(a * CLASSES + b) * CLASSES + k]), out + x) for x, extra in readings for k in (int(table[ord(x)]),)]
+                steps = [((b, k), cost + extra + float(losses[(a * CLASSES + b) * CLASSES + k]), (out, x)) for x, extra in readings for k in (int(table[ord(x)]),)]
                 if (nth // 2 if spaced else nth) in long_run:
                     steps.append(((a, b), cost + REPEAT_COST, out))
             for state, total, text in steps:
                 if state not in found or total < found[state][0]:
                     found[state] = (total, text)
         paths = found
-    return min((cost + float(losses[(a * CLASSES + b) * CLASSES + blank]), out) for (a, b), (cost, out) in paths.items())[1]
+    _, at = min(((cost + float(losses[(a * CLASSES + b) * CLASSES + blank]), out) for (a, b), (cost, out) in paths.items()), key=lambda x: x[0])
+    letters = []
+    while at is not None:
+        at, x = at
+        letters.append(x)
+    return "".join(reversed(letters))
 
 
 @lru_cache(maxsize=200_000)
@@ -100,20 +108,24 @@ def _decoded(token: str, shared: CharModel) -> str:
 
 def marked(text: str) -> list[tuple[int, int]]:
     """Where the marks of a distortion are: spans of whole tokens, in order and apart."""
-    spans = [m.span() for m in SPACED.finditer(text)]
+    spans = [m.span() for m in SPACED.finditer(text) if any(map(str.isalpha, m[0]))]
     for m in SIGNED.finditer(text):
         start, end = m.span()
         while end > start and text[end - 1] in "!+(|":  # at the end of a word a sign is itself
             end -= 1
         token = text[start:end]
-        if 3 <= len(token) <= LONGEST and any(map(str.isalpha, token)) and not token.isalpha() and not TWICE.search(token) and not (start and text[start - 1].isalnum()) and not (m.end() < len(text) and text[m.end()].isalnum()):
+        if len(token) >= 3 and any(map(str.isalpha, token)) and not token.isalpha() and not (start and text[start - 1].isalnum()) and not (m.end() < len(text) and text[m.end()].isalnum()):
             spans.append((start, end))
+    seen = 0
     for m in THRICE.finditer(text):
         start, end = m.span()
-        while start and text[start - 1].isalpha() and m.start() - start < LONGEST:
+        if start < seen:  # in the same word
+            continue
+        while start and text[start - 1].isalpha():
             start -= 1
-        while end < len(text) and text[end].isalpha() and end - m.end() < LONGEST:
+        while end < len(text) and text[end].isalpha():
             end += 1
+        seen = end
         spans.append((start, end))
     apart: list[tuple[int, int]] = []
     for start, end in sorted(spans):
@@ -122,12 +134,19 @@ def marked(text: str) -> list[tuple[int, int]]:
     return apart
 
 
+def readings(token: str, shared: CharModel) -> str:
+    """The reading of a marked token; before it, if signs are behind the token, the reading without them."""
+    read = lambda t: _decoded(t, shared) if len(t) <= KEPT else decode(t, shared.losses)
+    stem = token.rstrip(BEHIND)
+    return read(token) if stem in ("", token) else f"{read(stem)} {read(token)}"
+
+
 def restored(text: str, shared: CharModel) -> str:
     """text in lower case with its marked tokens decoded."""
     text = text.lower()
     out, at = [], 0
     for start, end in marked(text):
-        out += [text[at:start], _decoded(text[start:end], shared)]
+        out += [text[at:start], readings(text[start:end], shared)]
         at = end
     return "".join([*out, text[at:]]) if out else text
 
