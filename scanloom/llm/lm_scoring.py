@@ -1,14 +1,16 @@
 """Cross-entropy difference of documents: loss under a model of target text less that under a model of all text.
 
-Both are character trigram models with one vocabulary, one order and one smoothing. They are matched in size too: the
-background's counts are scaled to as many characters as the target has, so neither is smoother than the other. The
-target's text are the documents with a label of 1; the background's are all documents. Counts add up per partition
-before the shuffle and grow with the corpus; the models have a fixed size and go to the tasks as a broadcast. A score
-below zero says that a document is more like the target than like the corpus.
-
-Defined results: a null or empty text has no tokens and all its numbers are 0; null ids have no label; if an id has
-several labels, it belongs to the target if one of them is 1; without any target all scores are 0; repeated rows count
-each and get equal results; an empty table gives an empty result; other columns play no part and may have any name.
+Both are word bigram models with one vocabulary, that of the corpus, and one smoothing: each order is smoothed by the
+next lower one. They are matched in size too: the background's counts are scaled to as many words as the target has, so
+neither is smoother than the other. The target's text are the documents with a label of 1; the background's are all
+documents. The counts are a distributed table, a row for each different pair of words, and grow with the corpus; nothing
+of them but four totals goes to the driver. A document's pairs are counted before they meet the losses of the table, so
+a pair makes one row a document at most; a very common pair is left to Spark's handling of skewed joins. Words are
+compared by 64-bit hashes. A score below zero says that a document is more like the target than like the corpus.
+
+Defined results: a null, empty or blank text has no tokens and all its numbers are 0; null ids have no label; if an id
+has several labels, it belongs to the target if one of them is 1; without any target all scores are 0; repeated rows
+count each and get equal results; an empty table gives an empty result; other columns play no part and may have any name.
 """
 
 from __future__ import annotations
@@ -16,43 +18,70 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.char_lm import counted, losses, trigrams
-from scanloom.llm.common import bounded_batches, require
+from scanloom.llm.common import SPACES, bounded_batches, checkpointed, require, text_or_empty
+
+#: How many observations the lower order counts for.
+SMOOTHING = 5.0
+#: Digits of the results, so that the order of sums doesn't show.
+DIGITS = 9
+
+
+def pairs(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows: keys and text. keys, v, w and n: how often word w follows v in the row; the first word follows 0."""
+    words = F.transform(F.filter(F.split(text_or_empty("text"), SPACES, -1), lambda x: x != ""), lambda x: F.xxhash64(x))
+    hashed = rows.select(*keys, words.alias("words"))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = batch.column(len(keys)).offsets.to_numpy()
+            w = batch.column(len(keys)).values.to_numpy()[offsets[0] : offsets[-1]]
+            doc, starts = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), offsets[:-1][np.diff(offsets) > 0] - offsets[0]
+            v = np.roll(w, 1)
+            v[starts] = 0
+            order = np.lexsort((w, v, doc))
+            doc, v, w = doc[order], v[order], w[order]
+            new = np.flatnonzero(np.concatenate(([True], (np.diff(doc) != 0) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])))[: len(w)])
+            own = [batch.column(i).take(pa.array(doc[new])) for i in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(v[new]), pa.array(w[new]), pa.array(np.diff(np.append(new, len(w))), pa.int64())], [*keys, "v", "w", "n"])
 
-def models(docs: DataFrame, targets: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """targets: one column of ids. The losses of the target's and the background's trigrams."""
-    ids = targets.select(F.col(targets.columns[0]).alias("target_id")).distinct().withColumn("group", F.lit(0))
+    kinds = "".join(f"{k} {hashed.schema[k].dataType.simpleString()}, " for k in keys)
+    return hashed.mapInArrow(count, f"{kinds}v long, w long, n long")
+
+
+def pair_losses(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """docs: id and text; targets: one column of ids. pair (a hash), target_loss and background_loss of each pair of words."""
+    ids = targets.select(F.col(targets.columns[0]).alias("target_id")).distinct()
     # documents may be any size and so may labels: they meet by a sorted exchange whatever the size
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(ids.hint("merge"), F.col("id") == F.col("target_id"), "left")
-    target, every = counted(rows, 1)
-    if not target.sum():
-        return losses(every), losses(every)
-    return losses(target), losses(every * (target.sum() / every.sum()))
+    rows = docs.join(ids.hint("merge"), F.col("id") == F.col("target_id"), "left").select(F.col("target_id").isNotNull().cast("long").alias("t"), "text")
+    table = checkpointed(pairs(rows, "t").groupBy("v", "w").agg(F.sum("n").alias("c_b"), F.sum(F.col("n") * F.col("t")).alias("c_t")))
+    ones = table.groupBy("w").agg(F.sum("c_b").alias("u_b"), F.sum("c_t").alias("u_t"))
+    firsts = table.groupBy("v").agg(F.sum("c_b").alias("v_b"), F.sum("c_t").alias("v_t"))
+    total = ones.agg(F.sum("u_b").alias("b"), F.sum("u_t").alias("t"), F.count("*").alias("words")).first()
+
+    def loss(which: str, times: float, n: float) -> Column:
+        p = (F.col(f"u_{which}") * times + 1) / (n + total["words"])
+        return -F.log((F.col(f"c_{which}") * times + p * SMOOTHING) / (F.col(f"v_{which}") * times + SMOOTHING))
+
+    every, target = float(total["b"] or 0), float(total["t"] or 0)
+    background = loss("b", target / every, target) if target else loss("b", 1.0, every)
+    found = table.join(ones.hint("merge"), "w").join(firsts.hint("merge"), "v")
+    return found.select(F.xxhash64("v", "w").alias("pair"), (loss("t", 1.0, target) if target else background).alias("target_loss"), background.alias("background_loss"))
 
 
 def score_documents(docs: DataFrame, targets: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of docs: id, n_tokens, target_loss and background_loss (means over tokens), score (their difference)."""
     require(docs, id_column, text_column)
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(models(docs, targets, id_column, text_column))
-
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        target, background = shared.value
-        for texts in batches:
-            rows = []
-            for text in texts:
-                n, a, b = 0, 0.0, 0.0
-                for codes in trigrams(text or ""):
-                    n += codes.size
-                    a += float(target[codes].sum(dtype=float))
-                    b += float(background[codes].sum(dtype=float))
-                rows.append((n, a / max(n, 1), b / max(n, 1), (a - b) / max(n, 1)))
-            yield pd.DataFrame(rows, columns=["n_tokens", "target_loss", "background_loss", "score"])
-
-    score = F.pandas_udf(scored, "n_tokens long, target_loss double, background_loss double, score double")
-    return docs.select(F.col(id_column).alias("id"), score(F.col(text_column)).alias("x")).select(F.col("id").alias(id_column), "x.*")
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    own = pairs(rows.withColumn("row", F.monotonically_increasing_id()), "row", "id").select("row", "id", F.xxhash64("v", "w").alias("pair"), "n")
+    met = own.join(pair_losses(rows, targets).hint("merge"), "pair").groupBy("row", "id")
+    sums = met.agg(F.sum("n").alias("n_tokens"), *[F.sum(F.col("n") * F.col(c)).alias(c) for c in ("target_loss", "background_loss")])
+    means = [F.round(F.col(c) / F.col("n_tokens"), DIGITS).alias(c) for c in ("target_loss", "background_loss")]
+    scored = sums.select("id", "n_tokens", *means, F.round((F.col("target_loss") - F.col("background_loss")) / F.col("n_tokens"), DIGITS).alias("score"))
+    blank = rows.filter(F.regexp_replace(text_or_empty("text"), SPACES, "") == "")
+    none = blank.select("id", F.lit(0).cast("long").alias("n_tokens"), *[F.lit(0.0).alias(c) for c in ("target_loss", "background_loss", "score")])
+    return scored.unionByName(none).withColumnRenamed("id", id_column)
