@@ -1,87 +1,186 @@
 """Cross-entropy difference of documents: loss under a model of target text less that under a model of all text.
 
-Both are word bigram models with one vocabulary, that of the corpus, and one smoothing: each order is smoothed by the
-next lower one. They are matched in size too: the background's counts are scaled to as many words as the target has, so
-neither is smoother than the other. The target's text are the documents with a label of 1; the background's are all
-documents. The counts are a distributed table, a row for each different pair of words, and grow with the corpus; nothing
-of them but four totals goes to the driver. A document's pairs are counted before they meet the losses of the table, so
-a pair makes one row a document at most; a very common pair is left to Spark's handling of skewed joins. Words are
-compared by 64-bit hashes. A score below zero says that a document is more like the target than like the corpus.
+Both are word bigram models with one vocabulary, that of the corpus, and one smoothing: a bigram's chance is smoothed by
+its word's, and that by the chance of a word that the corpus has once. They are matched in size too: the background's
+counts are scaled to as many words as the target has, so neither is smoother than the other. The target's text are the
+documents with an id of the targets; the background's are all documents. A score below zero says that a document is more
+like the target than like the corpus.
+
+Nothing is cut from the models: every word and every pair of words is counted, so they grow with the corpus, and they
+are never in one place. Documents are dealt out in blocks of a few megabytes, by their id; the targets' ids go the same
+way, so no text is moved for labels. A block asks for each of its words and pairs once, whatever its copies: its keys
+(64-bit hashes), sorted, with its own counts, lie in one array per key range. A key range adds up what all blocks have,
+and answers each with what the others have, in the order asked. A frequent word is asked once a block, so no key is hot.
+Documents are then scored where their block lies; it was shuffled once, for both steps.
 
 Defined results: a null, empty or blank text has no tokens and all its numbers are 0; null ids have no label; if an id
-has several labels, it belongs to the target if one of them is 1; without any target all scores are 0; repeated rows
-count each and get equal results; an empty table gives an empty result; other columns play no part and may have any name.
+is listed several times, it counts once; without any target all scores are 0; repeated rows count each and get equal
+results; an id with very many rows is dealt out over several blocks; an empty table gives an empty result; other columns
+play no part and may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import SPACES, bounded_batches, checkpointed, require, text_or_empty
+from scanloom.llm.common import WORD, checkpointed, require, text_or_empty
 
 #: How many observations the lower order counts for.
 SMOOTHING = 5.0
 #: Digits of the results, so that the order of sums doesn't show.
 DIGITS = 9
-
-
-def pairs(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows: keys and text. keys, v, w and n: how often word w follows v in the row; the first word follows 0."""
-    words = F.transform(F.filter(F.split(text_or_empty("text"), SPACES, -1), lambda x: x != ""), lambda x: F.xxhash64(x))
-    hashed = rows.select(*keys, words.alias("words"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets = batch.column(len(keys)).offsets.to_numpy()
-            w = batch.column(len(keys)).values.to_numpy()[offsets[0] : offsets[-1]]
-            doc, starts = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), offsets[:-1][np.diff(offsets) > 0] - offsets[0]
-            v = np.roll(w, 1)
-            v[starts] = 0
-            order = np.lexsort((w, v, doc))
-            doc, v, w = doc[order], v[order], w[order]
-            new = np.flatnonzero(np.concatenate(([True], (np.diff(doc) != 0) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])))[: len(w)])
-            own = [batch.column(i).take(pa.array(doc[new])) for i in range(len(keys))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(v[new]), pa.array(w[new]), pa.array(np.diff(np.append(new, len(w))), pa.int64())], [*keys, "v", "w", "n"])
-
-    kinds = "".join(f"{k} {hashed.schema[k].dataType.simpleString()}, " for k in keys)
-    return hashed.mapInArrow(count, f"{kinds}v long, w long, n long")
-
-
-def pair_losses(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """docs: id and text; targets: one column of ids. pair (a hash), target_loss and background_loss of each pair of words."""
-    ids = targets.select(F.col(targets.columns[0]).alias("target_id")).distinct()
-    # documents may be any size and so may labels: they meet by a sorted exchange whatever the size
-    rows = docs.join(ids.hint("merge"), F.col("id") == F.col("target_id"), "left").select(F.col("target_id").isNotNull().cast("long").alias("t"), "text")
-    table = checkpointed(pairs(rows, "t").groupBy("v", "w").agg(F.sum("n").alias("c_b"), F.sum(F.col("n") * F.col("t")).alias("c_t")))
-    ones = table.groupBy("w").agg(F.sum("c_b").alias("u_b"), F.sum("c_t").alias("u_t"))
-    firsts = table.groupBy("v").agg(F.sum("c_b").alias("v_b"), F.sum("c_t").alias("v_t"))
-    total = ones.agg(F.sum("u_b").alias("b"), F.sum("u_t").alias("t"), F.count("*").alias("words")).first()
-
-    def loss(which: str, times: float, n: float) -> Column:
-        p = (F.col(f"u_{which}") * times + 1) / (n + total["words"])
-        return -F.log((F.col(f"c_{which}") * times + p * SMOOTHING) / (F.col(f"v_{which}") * times + SMOOTHING))
-
-    every, target = float(total["b"] or 0), float(total["t"] or 0)
-    background = loss("b", target / every, target) if target else loss("b", 1.0, every)
-    found = table.join(ones.hint("merge"), "w").join(firsts.hint("merge"), "v")
-    return found.select(F.xxhash64("v", "w").alias("pair"), (loss("t", 1.0, target) if target else background).alias("target_loss"), background.alias("background_loss"))
+#: Characters of text in a block, and keys asked for in a range, on average.
+BLOCK_CHARS, RANGE_KEYS = 8 << 20, 1 << 20
+#: The word before the first one.
+START = np.uint64(0)
+
+
+@dataclass(frozen=True)
+class Totals:
+    """Words of the corpus and of the target's documents."""
+
+    words: int
+    target_words: int
+
+
+def words_of(text: str | None) -> np.ndarray:
+    """The hashes of a text's words, in order; words stand between ASCII white space."""
+    words = (text or "").encode().split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A key for each word w after the word v; the order of the two matters."""
+    x = (v ^ (v >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + w
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+@dataclass(frozen=True)
+class Block:
+    """A block's documents as places in the sorted list of its keys: those of the words before, the words, the pairs."""
+
+    keys: np.ndarray
+    own: np.ndarray
+    own_target: np.ndarray
+    doc: np.ndarray
+    before: np.ndarray
+    word: np.ndarray
+    pair: np.ndarray
+    n_tokens: np.ndarray
+
+
+def block_of(texts: list[str | None], is_target: np.ndarray) -> Block:
+    each = [words_of(t) for t in texts]
+    n_tokens = np.array([len(x) for x in each], np.int64)
+    w = np.concatenate([*each, np.empty(0, np.uint64)])
+    doc, v = np.repeat(np.arange(len(each)), n_tokens), np.concatenate(([START], w[:-1])) if w.size else w
+    first = (np.cumsum(n_tokens) - n_tokens)[n_tokens > 0]
+    v[first] = START
+    # a word's count is also that of the pairs it begins, the end of a text being the last of them
+    asked = np.concatenate((w, np.full(first.size, START), pair_keys(v, w)))
+    keys, places = np.unique(asked, return_inverse=True)
+    of_target = np.concatenate((is_target[doc], is_target[n_tokens > 0], is_target[doc]))
+    counts = lambda x: np.bincount(x, minlength=keys.size).astype(np.int64)
+    word, pair = places[: w.size], places[w.size + first.size :]
+    before = np.concatenate(([0], word[:-1])) if w.size else word
+    before[first] = np.searchsorted(keys, START)
+    return Block(keys, counts(places), counts(places[of_target]), doc, before, word, pair, n_tokens)
+
+
+def losses(block: Block, background: np.ndarray, target: np.ndarray, totals: Totals) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's sum of losses under the target's and under the background's counts of the block's keys."""
+    size, least = totals.target_words or totals.words, 1 / (totals.words + 1)
+
+    def of(counts: np.ndarray, times: float) -> np.ndarray:
+        one = (counts[block.word] * times + SMOOTHING * least) / (size + SMOOTHING)
+        chance = (counts[block.pair] * times + SMOOTHING * one) / (counts[block.before] * times + SMOOTHING)
+        return np.bincount(block.doc, -np.log(chance), len(block.n_tokens))
+
+    in_background = of(background, size / max(1, totals.words))
+    return (of(target, 1.0) if totals.target_words else in_background), in_background
+
+
+def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n ranges of all keys begins in sorted keys, and the end."""
+    borders = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
+    return np.concatenate(([0], np.searchsorted(keys, borders), [keys.size]))
+
+
+def _dealt(docs: DataFrame, targets: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
+    """block, id, text and is_doc: documents, and beside them the ids of targets, by block."""
+    limit = max(1000, 4 * rows.count() // blocks)
+    counts = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+    hot = checkpointed(counts.select(F.col("id").alias("hot_id"), F.ceil(F.col("n") / limit).cast("int").alias("parts")))  # a quarter of `blocks` at most
+    block = lambda part: F.pmod(F.xxhash64("id", part), F.lit(blocks)).cast("int").alias("block")
+    ids = targets.select(F.col(targets.columns[0]).alias("id")).filter("id is not null").distinct()
+    none, part = F.lit(0), F.lit(0)
+    if not hot.isEmpty():
+        meets = lambda df: df.join(F.broadcast(hot), F.col("id").eqNullSafe(F.col("hot_id")), "left")
+        docs, ids = meets(docs), meets(ids).select("id", F.explode(F.sequence(none, F.coalesce(F.col("parts") - 1, none))).alias("part"))
+        part = F.pmod(F.monotonically_increasing_id(), F.coalesce("parts", F.lit(1))).cast("int")
+    texts = docs.select(block(part), "id", "text", F.lit(True).alias("is_doc"))
+    marks = ids.select(block(F.col("part") if "part" in ids.columns else none), "id", F.lit(None).cast("string").alias("text"), F.lit(False).alias("is_doc"))
+    return texts.unionAll(marks).repartition(blocks, "block")
+
+
+def _parts(table: pa.Table) -> tuple[pa.Array, Block]:
+    """The ids of a block's documents, and the block."""
+    is_doc = table.column("is_doc").combine_chunks()
+    docs, marked = table.filter(is_doc), set(table.filter(pc.invert(is_doc)).column("id").to_pylist())
+    ids = docs.column("id").combine_chunks()
+    return ids, block_of(docs.column("text").to_pylist(), np.array([i in marked for i in ids.to_pylist()], bool))
 
 
 def score_documents(docs: DataFrame, targets: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of docs: id, n_tokens, target_loss and background_loss (means over tokens), score (their difference)."""
     require(docs, id_column, text_column)
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    own = pairs(rows.withColumn("row", F.monotonically_increasing_id()), "row", "id").select("row", "id", F.xxhash64("v", "w").alias("pair"), "n")
-    met = own.join(pair_losses(rows, targets).hint("merge"), "pair").groupBy("row", "id")
-    sums = met.agg(F.sum("n").alias("n_tokens"), *[F.sum(F.col("n") * F.col(c)).alias(c) for c in ("target_loss", "background_loss")])
-    means = [F.round(F.col(c) / F.col("n_tokens"), DIGITS).alias(c) for c in ("target_loss", "background_loss")]
-    scored = sums.select("id", "n_tokens", *means, F.round((F.col("target_loss") - F.col("background_loss")) / F.col("n_tokens"), DIGITS).alias("score"))
-    blank = rows.filter(F.regexp_replace(text_or_empty("text"), SPACES, "") == "")
-    none = blank.select("id", F.lit(0).cast("long").alias("n_tokens"), *[F.lit(0.0).alias(c) for c in ("target_loss", "background_loss", "score")])
-    return scored.unionByName(none).withColumnRenamed("id", id_column)
+    docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    kind = dict(docs.dtypes)["id"]
+    rows = checkpointed(docs.select("id", F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long").alias("words"), F.length(text_or_empty("text")).cast("long").alias("chars")))
+    every = rows.agg(F.sum("words").alias("words"), F.sum("chars").alias("chars")).first()
+    of_target = rows.join(targets.select(F.col(targets.columns[0]).alias("id")).distinct(), "id", "left_semi").agg(F.sum("words")).first()[0]
+    totals = Totals(every["words"] or 0, of_target or 0)
+    blocks, ranges = 1 + (every["chars"] or 0) // BLOCK_CHARS, 1 + totals.words // RANGE_KEYS
+    dealt = _dealt(docs, targets, rows, blocks)
+
+    def ask(table: pa.Table) -> pa.Table:
+        block, at = _parts(table)[1], table.column("block")[0].as_py()
+        cuts = _ranges(block.keys, ranges)
+        some = [(i, slice(a, b)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        columns = [[x[s] for _, s in some] for x in (block.keys.view(np.int64), block.own.astype(np.int32), block.own_target.astype(np.int32))]
+        kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        return pa.table([pa.array([at] * len(some), pa.int32()), pa.array([i for i, _ in some], pa.int32()), *map(pa.array, columns, kinds)], ["block", "range", "keys", "n", "t"])
+
+    def answer(asked: pa.Table) -> pa.Table:
+        flat = lambda name: asked.column(name).combine_chunks().flatten().to_numpy()
+        _, places = np.unique(flat("keys"), return_inverse=True)
+        offsets, out = pa.array(np.concatenate(([0], np.cumsum(asked.column("keys").combine_chunks().value_lengths().to_numpy()))), pa.int32()), []
+        for own in (flat("n"), flat("t")):
+            others = np.bincount(places, own).astype(np.int64)[places] - own
+            out.append(pa.LargeListArray.from_arrays(offsets.cast(pa.int64()), pa.array(others)).cast(pa.list_(pa.int64())))
+        return pa.table([asked.column("block"), asked.column("range"), *out], ["block", "range", "n", "t"])
+
+    def score(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in (("id", table.schema.field("id").type), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()))})
+        ids, block = _parts(table)
+        answers = answers.sort_by("range")
+        n, t = (np.concatenate([x.values.to_numpy() for x in answers.column(c)] or [np.empty(0, np.int64)]) for c in ("n", "t"))
+        in_target, in_background = losses(block, block.own + n, block.own_target + t, totals)
+        mean = lambda x: pa.array(x / np.maximum(block.n_tokens, 1))
+        return pa.table([ids, pa.array(block.n_tokens), mean(in_target), mean(in_background)], ["id", "n_tokens", "target_loss", "background_loss"])
+
+    asked = dealt.groupBy("block").applyInArrow(ask, "block int, range int, keys array<long>, n array<int>, t array<int>")
+    answers = asked.repartition(ranges, "range").groupBy("range").applyInArrow(answer, "block int, range int, n array<long>, t array<long>")
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"id {kind}, n_tokens long, target_loss double, background_loss double")
+    rounded = [F.round(c, DIGITS).alias(c) for c in ("target_loss", "background_loss")]
+    return scored.select(F.col("id").alias(id_column), "n_tokens", *rounded, F.round(F.col("target_loss") - F.col("background_loss"), DIGITS).alias("score"))
