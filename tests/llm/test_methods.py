@@ -216,7 +216,7 @@ def test_languages(spark, sf, docs):
 def test_decoding():
     text = "you are an idiot and a worthless loser and such trash. the weather is nice today. " * 50
     counts = sum(np.bincount(c, minlength=char_lm.SIZE) for c in char_lm.trigrams(text))
-    model = toxicity.CharModel(char_lm.losses(counts))
+    model = toxicity.Reader(char_lm.losses(counts))
     assert toxicity.restored("An 1d10t, a l0ser: w0rthless TR@SH, l.o.s.e.r, i d i o t, loooooser", model) == "an idiot, a loser: worthless trash, loser, idiot, loser"
     assert toxicity.restored("plain words, 2024 and v2.0", model) == "plain words, 2024 and v2.0"
 
