@@ -9,7 +9,7 @@ like the target than like the corpus.
 Nothing is cut from the models: every word and every pair of words is counted, so they grow with the corpus, and they
 are never in one place. Documents are dealt out in blocks of a few megabytes, by their id; the targets' ids go the same
 way, so no text is moved for labels. A block asks for each of its words and pairs once, whatever its copies: its keys
-(64-bit hashes), sorted, with its own counts, lie in one array per key range. A key range adds up what all blocks have,
+(hashes, 48 bits besides those that make the range), sorted, with its own counts, lie in one array per key range. A key range adds up what all blocks have,
 and answers each with what the others have, in the order asked. A frequent word is asked once a block, so no key is hot.
 Documents are then scored where their block lies; it was shuffled once, for both steps.
 
@@ -37,8 +37,10 @@ from scanloom.llm.common import WORD, checkpointed, require, text_or_empty
 SMOOTHING = 5.0
 #: Digits of the results, so that the order of sums doesn't show.
 DIGITS = 9
-#: Characters of text in a block, and keys asked for in a range, on average.
+#: Characters of text in a block, and keys asked for in a range at most, on average.
 BLOCK_CHARS, RANGE_KEYS = 8 << 20, 1 << 20
+#: Bytes of a key that tell it from the others of its range.
+KEY_BYTES = 6
 #: The word before the first one.
 START = np.uint64(0)
 
@@ -109,10 +111,32 @@ def losses(block: Block, background: np.ndarray, target: np.ndarray, totals: Tot
     return (of(target, 1.0) if totals.target_words else in_background), in_background
 
 
-def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
-    """Where each of n ranges of all keys begins in sorted keys, and the end."""
-    borders = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(keys, borders), [keys.size]))
+def _ranges(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each of 2**bits ranges of all keys begins in sorted keys, and the end."""
+    borders = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else []
+    return np.concatenate(([0], np.searchsorted(keys, borders), [keys.size])).astype(np.int64)
+
+
+def _packed_keys(keys: np.ndarray, bits: int) -> bytes:
+    """Of keys of one range their next KEY_BYTES bytes, those after the range's own bits."""
+    return (keys << np.uint64(bits)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view(">u8")[:, 0].astype(np.uint64)
+
+
+def _packed_counts(counts: np.ndarray) -> tuple[bytes, list[int]]:
+    """A byte a count, for most are small, and apart those that don't fit."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].tolist()
+
+
+def _unpacked_counts(data: bytes, more: list[int]) -> np.ndarray:
+    counts = np.frombuffer(data, np.uint8).astype(np.int64)
+    counts[counts == 255] = more
+    return counts
 
 
 def _dealt(docs: DataFrame, targets: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
@@ -140,6 +164,11 @@ def _parts(table: pa.Table) -> tuple[pa.Array, Block]:
     return ids, block_of(docs.column("text").to_pylist(), np.array([i in marked for i in ids.to_pylist()], bool))
 
 
+def _of(n: np.ndarray, t: np.ndarray) -> dict[str, bytes | list[int]]:
+    (n, more_n), (t, more_t) = _packed_counts(n), _packed_counts(t)
+    return {"n": n, "more_n": more_n, "t": t, "more_t": more_t}
+
+
 def score_documents(docs: DataFrame, targets: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of docs: id, n_tokens, target_loss and background_loss (means over tokens), score (their difference)."""
     require(docs, id_column, text_column)
@@ -149,38 +178,42 @@ def score_documents(docs: DataFrame, targets: DataFrame, id_column: str = "doc_i
     every = rows.agg(F.sum("words").alias("words"), F.sum("chars").alias("chars")).first()
     of_target = rows.join(targets.select(F.col(targets.columns[0]).alias("id")).distinct(), "id", "left_semi").agg(F.sum("words")).first()[0]
     totals = Totals(every["words"] or 0, of_target or 0)
-    blocks, ranges = 1 + (every["chars"] or 0) // BLOCK_CHARS, 1 + totals.words // RANGE_KEYS
+    blocks, bits = 1 + (every["chars"] or 0) // BLOCK_CHARS, (totals.words // RANGE_KEYS).bit_length()
     dealt = _dealt(docs, targets, rows, blocks)
 
+    packed = {"block": pa.int32(), "range": pa.int32(), "n": pa.binary(), "more_n": pa.list_(pa.int64()), "t": pa.binary(), "more_t": pa.list_(pa.int64())}
+
     def ask(table: pa.Table) -> pa.Table:
         block, at = _parts(table)[1], table.column("block")[0].as_py()
-        cuts = _ranges(block.keys, ranges)
+        cuts = _ranges(block.keys, bits).tolist()
         some = [(i, slice(a, b)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        columns = [[x[s] for _, s in some] for x in (block.keys.view(np.int64), block.own.astype(np.int32), block.own_target.astype(np.int32))]
-        kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        return pa.table([pa.array([at] * len(some), pa.int32()), pa.array([i for i, _ in some], pa.int32()), *map(pa.array, columns, kinds)], ["block", "range", "keys", "n", "t"])
+        rows = [{"block": at, "range": i, "keys": _packed_keys(block.keys[s], bits), **_of(block.own[s], block.own_target[s])} for i, s in some]
+        return pa.Table.from_pylist(rows, pa.schema({**packed, "keys": pa.binary()}))
 
     def answer(asked: pa.Table) -> pa.Table:
-        flat = lambda name: asked.column(name).combine_chunks().flatten().to_numpy()
-        _, places = np.unique(flat("keys"), return_inverse=True)
-        offsets, out = pa.array(np.concatenate(([0], np.cumsum(asked.column("keys").combine_chunks().value_lengths().to_numpy()))), pa.int32()), []
-        for own in (flat("n"), flat("t")):
-            others = np.bincount(places, own).astype(np.int64)[places] - own
-            out.append(pa.LargeListArray.from_arrays(offsets.cast(pa.int64()), pa.array(others)).cast(pa.list_(pa.int64())))
-        return pa.table([asked.column("block"), asked.column("range"), *out], ["block", "range", "n", "t"])
+        asked = asked.to_pylist()
+        ends = np.cumsum([0, *(len(r["n"]) for r in asked)]).tolist()
+        places = np.unique(_unpacked_keys(b"".join(r["keys"] for r in asked)), return_inverse=True)[1]
+        others = []
+        for name in ("n", "t"):
+            own = np.concatenate([_unpacked_counts(r[name], r[f"more_{name}"]) for r in asked])
+            others.append(np.bincount(places, own).astype(np.int64)[places] - own)
+        rows = [{"block": r["block"], "range": r["range"], **_of(*(x[a:b] for x in others))} for r, a, b in zip(asked, ends[:-1], ends[1:], strict=True)]
+        return pa.Table.from_pylist(rows, pa.schema(packed))
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({c: pa.array([], t) for c, t in (("id", table.schema.field("id").type), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()))})
         ids, block = _parts(table)
-        answers = answers.sort_by("range")
-        n, t = (np.concatenate([x.values.to_numpy() for x in answers.column(c)] or [np.empty(0, np.int64)]) for c in ("n", "t"))
+        answers = answers.sort_by("range").to_pylist()
+        n, t = (np.concatenate([_unpacked_counts(r[c], r[f"more_{c}"]) for r in answers] or [np.empty(0, np.int64)]) for c in ("n", "t"))
         in_target, in_background = losses(block, block.own + n, block.own_target + t, totals)
         mean = lambda x: pa.array(x / np.maximum(block.n_tokens, 1))
         return pa.table([ids, pa.array(block.n_tokens), mean(in_target), mean(in_background)], ["id", "n_tokens", "target_loss", "background_loss"])
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "block int, range int, keys array<long>, n array<int>, t array<int>")
-    answers = asked.repartition(ranges, "range").groupBy("range").applyInArrow(answer, "block int, range int, n array<long>, t array<long>")
+    columns = "block int, range int, n binary, more_n array<long>, t binary, more_t array<long>"
+    asked = dealt.groupBy("block").applyInArrow(ask, f"{columns}, keys binary")
+    answers = asked.repartition(1 << bits, "range").groupBy("range").applyInArrow(answer, columns)
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"id {kind}, n_tokens long, target_loss double, background_loss double")
     rounded = [F.round(c, DIGITS).alias(c) for c in ("target_loss", "background_loss")]
     return scored.select(F.col("id").alias(id_column), "n_tokens", *rounded, F.round(F.col("target_loss") - F.col("background_loss"), DIGITS).alias("score"))
