@@ -63,22 +63,28 @@ def _letters() -> np.ndarray:
 
 
 def counts_of(text: str) -> np.ndarray | None:
-    """How often the text has the n-grams of each feature; None if it has no letter."""
-    table, counts, seen = _letters(), np.zeros(FEATURES, np.int64), False
-    for at in range(0, len(text), CHUNK):
-        points = table[np.frombuffer(text[at : at + CHUNK + 2].lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-        points = np.concatenate(([np.uint32(32)], points, [np.uint32(32)]))
+    """How often the text has the n-grams of each feature; None if it has no letter. Long texts are turned piece by
+    piece, each with what the n-grams over its border need of the piece before."""
+    table, counts, longest = _letters(), np.zeros(FEATURES, np.int64), max(ORDERS)
+    lower, before, seen = text.lower(), np.array([32], np.uint32), 0
+    for at in range(0, len(lower) + 1, CHUNK):
+        points = table[np.frombuffer(lower[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        if at + CHUNK > len(lower):
+            points = np.append(points, np.uint32(32))
         blank = points == 32
-        points = points[~(blank & np.concatenate(([False], blank[:-1])))]
-        if points.size < 2:
-            continue
-        seen = True
+        points = points[~(blank & np.concatenate((before[-1:] == 32, blank[:-1])))]
+        seen += points.size
+        new, points = points.size, np.concatenate((before, points))
+        # the first piece's blank in front is an n-gram's end as well
+        ends = points.size - new if at else 0
         state = np.zeros(points.size, np.uint32)
-        for n in range(max(ORDERS)):
+        for n in range(longest):
             state = (state[: points.size - n] ^ points[n:]) * np.uint32(0x9E3779B1) + np.uint32(n + 1)
             if n + 1 in ORDERS:
-                mixed = (state ^ (state >> np.uint32(15))) * np.uint32(0x85EBCA77)
+                mixed = state[max(0, ends - n) :]
+                mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA77)
                 counts += np.bincount((mixed >> np.uint32(17)).astype(np.int64), minlength=FEATURES)
+        before = points[-(longest - 1) :]
     return counts if seen else None
 
 
