@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from scanloom.llm.pii import IBAN_LENGTHS
+
 EXACT_DEDUP = r"""
 with texts as (
   select doc_id, sha256(regexp_replace(coalesce(text, ''), '[ \t-\r]+', ' ', 'g')) as text_sha256,
@@ -43,7 +45,7 @@ PERSONAL = (
     ("iban", r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9]){11,30}", "iban|bank|account|transfer|bic", 70, "coalesce(list_reduce(list_prepend(0, list_transform(string_split(substr(replace(part, ' ', ''), 5) || substr(part, 1, 4), ''), lambda c: case when c between '0' and '9' then c::int else ascii(c) - 55 end)), lambda a, x: case when x < 10 then (a * 10 + x) % 97 else (a * 100 + x) % 97 end) = 1, false)"),
     ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "ssn|social|security|insurance", 20, "near"),
 )
-COUNTRIES = "map {'AT': 20, 'BE': 16, 'CH': 21, 'DE': 22, 'DK': 18, 'ES': 24, 'FI': 18, 'FR': 27, 'GB': 22, 'IE': 22, 'IT': 27, 'LU': 20, 'NL': 18, 'NO': 15, 'PL': 28, 'PT': 25, 'SE': 24}"
+COUNTRIES = "map {" + ", ".join(f"'{country}': {length}" for country, length in IBAN_LENGTHS.items()) + "}"
 
 
 def personal_data() -> str:

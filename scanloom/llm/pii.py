@@ -16,6 +16,7 @@ null ids stay, an empty table gives an empty result, and other columns play no p
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,14 @@ from pyspark.sql import functions as F
 from scanloom.llm.common import require, text_or_empty
 
 #: Lengths of bank account numbers by country.
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21,
+    "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24,
+    "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22,
+    "VG": 24, "XK": 20, "YE": 30,
+}
 #: Code points before a span in which a context word counts, and the weight of such a word.
 CONTEXT_CHARS = 40
 CONTEXT_WEIGHT = 30
@@ -54,14 +62,33 @@ KINDS = (
 BASE_KINDS = ("email", "ip", "card", "phone")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once: a lambda's variable stands for it, so it isn't computed anew per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running_sums(lengths: Column) -> Column:
     """For each element the sum of those before it. Sums of blocks of about sqrt(n) keep this at n * sqrt(n) steps."""
-    block = F.greatest(F.ceil(F.sqrt(F.size(lengths))), F.lit(1)).cast("int")
     add = lambda a, x: a + x
-    sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / block).cast("int")), lambda b: F.aggregate(F.slice(lengths, b * block + 1, block), F.lit(0), add))
-    index = F.sequence(F.lit(0), F.size(lengths) - 1)
-    sums_of = lambda i: F.aggregate(F.slice(sums, F.lit(1), F.floor(i / block).cast("int")), F.lit(0), add) + F.aggregate(F.slice(lengths, F.floor(i / block).cast("int") * block + 1, i % block), F.lit(0), add)
-    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(F.transform(index, sums_of))
+
+    def with_block(both: Column) -> Column:
+        xs, block = both["xs"], both["block"]
+        sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / block).cast("int")), lambda b: F.aggregate(F.slice(xs, b * block + 1, block), F.lit(0), add))
+        # of a block what is before it, then within it what is before an element
+        starts = bound(sums, lambda s: F.transform(s, lambda x, i: F.aggregate(F.slice(s, F.lit(1), i), F.lit(0), add)))
+        return bound(starts, lambda s: F.transform(xs, lambda x, i: s[F.floor(i / block).cast("int")] + F.aggregate(F.slice(xs, F.floor(i / block).cast("int") * block + 1, i % block), F.lit(0), add)))
+
+    return bound(lengths, lambda xs: bound(F.struct(xs.alias("xs"), F.greatest(F.ceil(F.sqrt(F.size(xs))), F.lit(1)).cast("int").alias("block")), with_block))
+
+
+def contexts(pieces: Column, found: Column) -> Column:
+    """For each match the CONTEXT_CHARS characters before it: the ends of the pieces and matches that can reach so far.
+    A match has two characters or more and a piece between two matches one, so a few before it are enough."""
+    few = CONTEXT_CHARS // 3 + 2
+    ends = F.transform(pieces, lambda p: F.right(p, F.lit(CONTEXT_CHARS)))
+    steps = F.zip_with(ends, found, lambda p, m: F.concat(p, F.right(m, F.lit(CONTEXT_CHARS))))
+    before = lambda both, i: F.array_join(F.slice(both["steps"], F.greatest(i - few, F.lit(0)) + 1, F.least(i, F.lit(few))), "")
+    return bound(F.struct(ends.alias("ends"), steps.alias("steps")), lambda both: F.transform(both["ends"], lambda p, i: F.lower(F.right(F.concat(before(both, i), p), F.lit(CONTEXT_CHARS)))))
 
 
 def _digits(found: Column) -> Column:
@@ -106,28 +133,36 @@ def _confirmed(kind: Kind, found: Column) -> Column:
     return F.lit(True)
 
 
-def _spans_of(kind: Kind, text: Column, found: Column, starts: Column) -> Column:
-    def span(start: Column, match: Column) -> Column:
-        near = F.lower(F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))))
-        score = kind.score + F.when(near.rlike(kind.context), CONTEXT_WEIGHT).otherwise(0)
-        end = start + F.length(_iban_part(match) if kind.name == "iban" else match)
-        return F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"), _confirmed(kind, match).alias("ok"))
+def _spans_of(kind: Kind, pieces: Column, found: Column) -> Column:
+    """The spans of one kind: pieces are those before each match."""
+    starts = running_sums(F.zip_with(pieces, found, lambda p, m: F.length(p) + F.length(m)))
+    starts = F.zip_with(starts, pieces, lambda s, p: s + F.length(p))
+    where = F.zip_with(starts, contexts(pieces, found), lambda s, c: F.struct(s.alias("start"), c.rlike(kind.context).alias("near")))
+
+    def span(at: Column, match: Column) -> Column:
+        score = kind.score + F.when(at["near"], CONTEXT_WEIGHT).otherwise(0)
+        end = at["start"] + F.length(_iban_part(match) if kind.name == "iban" else match)
+        return F.struct(F.lit(kind.name).alias("kind"), at["start"].alias("start"), end.alias("end"), score.alias("score"), _confirmed(kind, match).alias("ok"))
 
-    return F.filter(F.zip_with(starts, found, span), lambda s: s["ok"] & (s["score"] >= kind.least))
+    return F.filter(F.zip_with(where, found, span), lambda s: s["ok"] & (s["score"] >= kind.least))
 
 
 def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """One row per row of docs: id and spans, an array of (kind, start, end, score), by kind as listed, then start."""
     require(docs, id_column, text_column)
-    none, no_ints = F.array().cast("array<string>"), F.array().cast("array<int>")
+    none = F.array().cast("array<string>")
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text"))
     hinted = {k.name: (F.instr("text", k.hint) > 0) if len(k.hint) == 1 else F.col("text").rlike(k.hint) for k in kinds}
     rows = rows.select("*", *[F.when(hinted[k.name], F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0))).otherwise(none).alias(k.name) for k in kinds])
-    # the pieces before each match: the last piece has none after it
-    rows = rows.select("*", *[F.when(F.size(k.name) > 0, F.transform(F.split("text", k.pattern, -1), lambda x: F.length(x))).otherwise(no_ints).alias(f"{k.name}_gaps") for k in kinds])
-    rows = rows.select("*", *[F.zip_with(F.slice(f"{k.name}_gaps", 1, F.size(k.name)), F.transform(k.name, lambda x: F.length(x)), lambda g, m: g + m).alias(f"{k.name}_steps") for k in kinds])
-    rows = rows.select("*", *[F.when(F.size(k.name) > 0, F.zip_with(running_sums(F.col(f"{k.name}_steps")), F.slice(f"{k.name}_gaps", 1, F.size(k.name)), lambda s, g: s + g)).otherwise(no_ints).alias(f"{k.name}_starts") for k in kinds])
-    spans = F.concat(*[_spans_of(k, F.col("text"), F.col(k.name), F.col(f"{k.name}_starts")) for k in kinds])
+    no_spans = F.array().cast("array<struct<kind: string, start: int, end: int, score: int, ok: boolean>>")
+
+    def spans_of(kind: Kind) -> Column:
+        # the pieces before each match: the last piece has none after it
+        pieces = F.slice(F.split("text", kind.pattern, -1), F.lit(1), F.size(kind.name))
+        both = F.struct(pieces.alias("pieces"), F.col(kind.name).alias("found"))
+        return F.when(F.size(kind.name) > 0, bound(both, lambda b: _spans_of(kind, b["pieces"], b["found"]))).otherwise(no_spans)
+
+    spans = F.concat(*[spans_of(k) for k in kinds])
     return rows.select(F.col("id").alias(id_column), F.transform(spans, lambda s: s.dropFields("ok")).alias("spans"))
 
 
