@@ -7,8 +7,10 @@ backwards from the last prefix. Merges of a pair depend on the two tokens only:
 order that is known beforehand, and the pair holds if no merge over the border ever comes first.
 
 Runs: no piece holds a word separator after another character, so a text is cut before each separator that follows
-one, and runs that come again are looked up. New runs of a batch are encoded together, array by array, one position at
-a time; very long ones by the same table in plain Python, so their cost grows with their length only.
+one, and short runs that come again are looked up. New runs of a batch are encoded together, array by array, one
+position at a time; long ones one by one, prefix by prefix, so their cost grows with their length only. Texts of any
+length are handled in parts, cut where a run begins, and what is remembered has a bound in bytes. Texts are decoded from
+their ids alone.
 
 Normalisation is that of the model: blanks become separators and one is put in front. Characters outside the
 vocabulary become their bytes. Models with other normalisation rules, with user-defined pieces, or of another kind
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,8 +38,12 @@ from scanloom.llm.common import bounded_batches, require
 SEPARATOR = "▁"
 #: Longer runs are encoded one by one.
 LONG_RUN = 48
-#: Runs that a worker remembers, and runs it encodes together.
-REMEMBERED, TOGETHER = 300_000, 50_000
+#: Bytes of the runs that a worker remembers, about, and runs it encodes together.
+REMEMBERED_BYTES, TOGETHER = 48 << 20, 50_000
+#: Bytes that a remembered run takes besides its characters and ids.
+OVERHEAD = 200
+#: Pairs of tokens of long runs whose test is remembered, and ends of prefixes that are matched together.
+FOLLOWERS, MATCHED = 200_000, 1 << 16
 #: Pairs of tokens whose test is remembered, as a power of two.
 TESTED_BITS = 21
 NEVER = -(1 << 30)
@@ -93,14 +100,20 @@ class PieceCodec:
             raise ValueError("a piece holds a word separator after another character")
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == 2)
+        #: what each id, as text, decodes to, in UTF-8
+        self.decoded = {str(i): p.piece.replace(SEPARATOR, " ").encode() if p.type == 1 else b"" for i, p in enumerate(model.pieces)}
+        self.decoded |= {str(i): bytes([b]) for b, i in self.byte.items()} | {str(self.unknown): " \u2047 ".encode()}
         #: scores as ranks: equal scores get equal ranks, higher ones come first
         order = {s: i for i, s in enumerate(sorted(set(self.score.values())))}
         self.rank = {self.id[p]: order[s] for p, s in self.score.items()}
         self.tokens = max(self.id.values()) + 1
         self._timelines()
         self._trie()
-        self._memory: dict[str, tuple[str, str]] = {}
-        self._followers: dict[tuple[int, int], bool] = {}
+        #: ids, joined by commas, of runs; and how many bytes they take
+        self._memory: dict[str, str] = {}
+        self._bytes = 0
+        self._followers: dict[int, bool] = {}
+        self._timeline: dict[int, tuple[list[int], list[int], list[int]]] = {}
         #: the last tested pair of each slot, and its result
         self._tested, self._holds = np.full(1 << TESTED_BITS, -1, np.int64), np.zeros(1 << TESTED_BITS, bool)
 
@@ -155,10 +168,8 @@ class PieceCodec:
         self.longest = max(map(len, self.text.values()))
         edges = [(nodes[x[:-1]] * self.n_classes + int(self.classes[ord(x[-1])]), n) for x, n in nodes.items() if x]
         self.children = Lookup(np.array([e[0] for e in edges], np.int64), np.array([e[1] for e in edges], np.int32))
-        self.pieces = {self.text[i]: i for i in self.reached}
         self.length = np.array([len(self.text.get(i, "")) for i in range(self.tokens)], np.int64)
         self.id_text = [str(i) for i in range(self.tokens)]
-        self.plain = [self.text.get(i, "").replace(SEPARATOR, " ") for i in range(self.tokens)]
         # a character outside the vocabulary ends a run; line ends and tabs are the frequent ones
         alone = "".join(c for c in "\t\n\r" if not self.classes[ord(c)])
         self.runs = re.compile(f"{SEPARATOR}*[^{SEPARATOR}{alone}]+|{SEPARATOR}+" + (f"|[{alone}]+" if alone else ""))
@@ -191,54 +202,77 @@ class PieceCodec:
             left = left[~crossed & ~done]
         return holds
 
+    def _matches(self, classes: np.ndarray, starts: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens that begin at starts and don't reach beyond the room there: their ends, the tokens, their lengths."""
+        nodes, ends, tokens, lengths = np.zeros(starts.size, np.int64), [], [], []
+        for length in range(1, self.longest + 1):
+            nodes = self.children(nodes * self.n_classes + classes[starts + length - 1]).astype(np.int64)
+            alive = nodes >= 0
+            starts, nodes, room = starts[alive], nodes[alive], room[alive]
+            token = self.token_at[nodes]
+            hit = token >= 0
+            ends.append(starts[hit] + length)
+            tokens.append(token[hit])
+            lengths.append(np.full(int(hit.sum()), length))
+            more = room > length
+            starts, nodes, room = starts[more], nodes[more], room[more]
+        return tuple(map(np.concatenate, (ends, tokens, lengths)))
+
     def _ids_of_long(self, run: str) -> list[int]:
         """Ids of one run of known characters."""
-        last, pieces, longest = [-1] * (len(run) + 1), self.pieces, self.longest
-        for end in range(1, len(run) + 1):
-            for start in range(max(0, end - longest), end):
-                token = pieces.get(run[start:end])
-                if token is None:
-                    continue
-                if start and not self._may_follow(last[start], token):
-                    continue
-                last[end] = token
-                break
-        ids, end = [], len(run)
+        classes, n = self.classes[np.frombuffer(run.encode("utf-32-le"), np.uint32)], len(run)
+        last, may_follow = array("i", bytes(4 * (n + 1))), self._may_follow
+        for low in range(0, n, MATCHED):
+            high = min(n, low + MATCHED)
+            starts = np.arange(max(0, low - self.longest + 1), high)
+            end, token, length = self._matches(classes, starts, high - starts)
+            new = np.flatnonzero(end > low)
+            new = new[np.lexsort((-length[new], end[new]))]
+            done = 0
+            for e, t, size in zip(end[new].tolist(), token[new].tolist(), length[new].tolist(), strict=True):
+                # the longest that may follow what is before it
+                if e != done and (e == size or may_follow(last[e - size], t)):
+                    last[e] = t
+                    done = e
+        ids, end = [], n
         while end:
             ids.append(last[end])
             end -= len(self.text[last[end]])
         return ids[::-1]
 
+    def _states(self, token: int) -> tuple[list[int], list[int], list[int]]:
+        """Of a token's own encoding, step by step: the rank of the merge that comes next, its left and right ends."""
+        if token not in self._timeline:
+            n = int((self.left_end[token] >= 0).sum())
+            self._timeline[token] = tuple(x[token, :n].tolist() for x in (self.next_rank, self.left_end, self.right_end))
+        return self._timeline[token]
+
     def _may_follow(self, first: int, second: int) -> bool:
-        if (key := (first, second)) not in self._followers:
-            if len(self._followers) > REMEMBERED:
+        """The same as `compatible`, for one pair."""
+        key = first * self.tokens + second
+        if key not in self._followers:
+            if len(self._followers) > FOLLOWERS:
                 self._followers.clear()
-            self._followers[key] = bool(self.compatible(np.array([first]), np.array([second]))[0])
+            (ranks_a, _, right), (ranks_b, left, _) = self._states(first), self._states(second)
+            i = j = 0
+            while (own_a := ranks_a[i]) + (own_b := ranks_b[j]) > 2 * NEVER:
+                across = self.rank.get(self.id.get(self.text[right[i]] + self.text[left[j]], -1), NEVER)
+                if across > own_a and across >= own_b:
+                    break
+                i, j = (i + 1, j) if own_a >= own_b else (i, j + 1)
+            across = self.rank.get(self.id.get(self.text[right[i]] + self.text[left[j]], -1), NEVER)
+            self._followers[key] = not (across > own_a and across >= own_b)
         return self._followers[key]
 
-    def _ids_of_many(self, runs: list[str]) -> list[tuple[str, str]]:
-        """Ids, joined by commas, and decoded text of many short runs of known characters: one prefix table for all of
-        them, end to end."""
+    def _ids_of_many(self, runs: list[str]) -> list[str]:
+        """Ids, joined by commas, of many short runs of known characters: one prefix table for all of them, end to end."""
         lengths = np.array([len(r) for r in runs], np.int64)
         ends = np.cumsum(lengths)
         classes = self.classes[np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)]
         n = classes.size
         place = np.arange(n) - np.repeat(ends - lengths, lengths)  # in its run
-        room = np.repeat(ends, lengths) - np.arange(n)
-        starts, nodes = np.arange(n), np.zeros(n, np.int64)
-        found_end, found_token, found_length = [], [], []
-        for length in range(1, self.longest + 1):
-            nodes = self.children(nodes * self.n_classes + classes[starts + length - 1]).astype(np.int64)
-            alive = nodes >= 0
-            starts, nodes = starts[alive], nodes[alive]
-            token = self.token_at[nodes]
-            hit = token >= 0
-            found_end.append(starts[hit] + length - 1)
-            found_token.append(token[hit])
-            found_length.append(np.full(int(hit.sum()), length))
-            more = room[starts] > length
-            starts, nodes = starts[more], nodes[more]
-        end, token, length = map(np.concatenate, (found_end, found_token, found_length))
+        end, token, length = self._matches(classes, np.arange(n), np.repeat(ends, lengths) - np.arange(n))
+        end -= 1
         order = np.lexsort((-length, place[end]))
         end, token, length = end[order], token[order].astype(np.int64), length[order]
         steps = place[end] * (self.longest + 1) + self.longest - length
@@ -267,12 +301,11 @@ class PieceCodec:
         ids = np.empty(int(stops[-1]), np.int64)
         for nth, (run, token) in enumerate(steps_of):
             ids[stops[run] - 1 - nth] = token
-        ids = ids.tolist()
-        id_text, plain = self.id_text.__getitem__, self.plain.__getitem__
-        return [(",".join(map(id_text, x)), "".join(map(plain, x))) for b, e in zip((stops - counts).tolist(), stops.tolist(), strict=True) if (x := ids[b:e])]
+        ids, id_text = ids.tolist(), self.id_text.__getitem__
+        return [",".join(map(id_text, ids[b:e])) for b, e in zip((stops - counts).tolist(), stops.tolist(), strict=True)]
 
     def _learn(self, runs: list[str]) -> None:
-        """Remember the encoding of new runs."""
+        """Put the encoding of new runs into the memory."""
         known = self.classes[np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)] > 0
         lengths = np.array([len(r) for r in runs])
         together = (np.minimum.reduceat(known, np.cumsum(lengths) - lengths) & (lengths <= LONG_RUN)).tolist()
@@ -281,17 +314,13 @@ class PieceCodec:
             some = whole[at : at + TOGETHER]
             self._memory.update(zip(some, self._ids_of_many(some), strict=True))
         for r in (r for r, t in zip(runs, together, strict=True) if not t):
-            ids, out = [], []
+            ids = []
             for known, part in self._parts(r):
                 if known:
-                    own = self._ids_of_long(part)
-                    out.append("".join(map(self.plain.__getitem__, own)))
+                    ids += self._ids_of_long(part)
                 else:
-                    data = part.encode()
-                    own = [self.byte[b] for b in data] if self.byte else [self.unknown] * len(part)
-                    out.append(data.decode() if self.byte else " ⁇ " * len(part))
-                ids += own
-            self._memory[r] = (",".join(map(str, ids)), "".join(out))
+                    ids += [self.byte[b] for b in part.encode()] if self.byte else [self.unknown] * len(part)
+            self._memory[r] = ",".join(map(str, ids))
 
     def _parts(self, run: str) -> list[tuple[bool, str]]:
         """A run cut where characters of the vocabulary and others meet."""
@@ -299,27 +328,36 @@ class PieceCodec:
         cuts = [0, *(np.flatnonzero(known[1:] != known[:-1]) + 1).tolist(), len(run)]
         return [(bool(known[a]), run[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def encode_texts(self, texts: list[str | None]) -> list[list[tuple[str, str]]]:
-        """For each text its runs, encoded: ids joined by commas, and the decoded run."""
-        cut = [self.runs.findall(SEPARATOR + t.replace(" ", SEPARATOR)) if t else [] for t in texts]
-        if len(self._memory) > REMEMBERED:
+    def encode_parts(self, parts: list[tuple[str, bool]]) -> list[str]:
+        """Ids, joined by commas, of each part of a text; each with whether it is the text's first."""
+        cut = [self.runs.findall((SEPARATOR if first else "") + t.replace(" ", SEPARATOR)) if t else [] for t, first in parts]
+        if self._bytes > REMEMBERED_BYTES:
             self._memory.clear()
+            self._bytes = 0
         memory = self._memory
         new = {r for runs in cut for r in runs if r not in memory}
         if new:
             self._learn(list(new))
-        return [[memory[r] for r in runs] for runs in cut]
+        found = [",".join([memory[r] for r in runs]) for runs in cut]
+        for r in new:
+            if len(r) > LONG_RUN:
+                del memory[r]
+            else:
+                self._bytes += OVERHEAD + len(r) + len(memory[r])
+        return found
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for ids, _ in self.encode_texts([text])[0] for i in ids.split(",")]
+        ids = ",".join(self.encode_parts([(p, not i) for i, p in enumerate(parts_of(text))]))
+        return [int(i) for i in ids.split(",")] if ids else []
+
+    def decode_bytes(self, ids: list[str], first: bool = True) -> bytes:
+        """What ids, as texts, decode to, in UTF-8: byte tokens are put together, separators become blanks, and the one put
+        in front of a text goes."""
+        data = b"".join(map(self.decoded.__getitem__, ids))
+        return data[1:] if first and ids and self.text.get(int(ids[0]), "").startswith(SEPARATOR) else data
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids: bytes are put together, separators become blanks, and the one put in front goes."""
-        bytes_of, out = {i: b for b, i in self.byte.items()}, bytearray()
-        for i in ids:
-            out += bytes([bytes_of[i]]) if i in bytes_of else self.text[i].replace(SEPARATOR, " ").encode()
-        text = out.decode(errors="replace")
-        return text[1:] if ids and ids[0] not in bytes_of and text.startswith(" ") else text
+        return self.decode_bytes([str(i) for i in ids]).decode(errors="replace")
 
 
 @lru_cache(maxsize=2)
@@ -328,45 +366,78 @@ def codec(model_path: str) -> PieceCodec:
     return PieceCodec(model_path)
 
 
-#: Characters of text whose runs are handled together.
-BATCH_CHARS = 4 << 20
+#: Characters of text whose runs are handled together, and of a part of a text at least.
+BATCH_CHARS = 1 << 20
 
 
-def _batches(texts: list[str | None]) -> Iterator[list[str | None]]:
-    own, size = [], 0
-    for t in texts:
-        own.append(t)
-        size += len(t or "")
-        if size >= BATCH_CHARS:
-            yield own
-            own, size = [], 0
-    if own:
-        yield own
+def parts_of(text: str | None) -> Iterator[str]:
+    """A text in parts of about BATCH_CHARS characters, cut where a blank follows another character and so a run begins."""
+    text, at = text or "", 0
+    while len(text) - at > BATCH_CHARS and (cut := re.compile(r"(?<! ) ").search(text, at + BATCH_CHARS)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = True, keep_decoded: bool = True) -> DataFrame:
     """One row per row of docs: id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the
-    decoded text), and with keep_ids also ids (array<int>) and decoded."""
+    decoded text), and if kept also ids (array<int>) and decoded."""
     require(docs, id_column, text_column)
     bounded_batches(docs.sparkSession)
-    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32()), "decoded": pa.string()} if keep_ids else {})
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    kinds |= ({"ids": pa.list_(pa.int32())} if keep_ids else {}) | ({"decoded": pa.string()} if keep_decoded else {})
+
+    class Row:
+        """A document on its way: hashes of its ids and of what they decode to."""
+
+        def __init__(self) -> None:
+            self.n_tokens, self.of_ids, self.of_text, self.ids, self.decoded = 0, hashlib.sha256(), hashlib.sha256(), [], []
+
+        def add(self, own: PieceCodec, ids: str) -> None:
+            if not ids:
+                return
+            each, first = ids.split(","), not self.n_tokens
+            data = own.decode_bytes(each, first)
+            self.n_tokens += len(each)
+            self.of_ids.update((ids if first else "," + ids).encode())
+            self.of_text.update(data)
+            if keep_ids:
+                self.ids.append(np.fromiter(map(int, each), np.int32, len(each)))
+            if keep_decoded:
+                self.decoded.append(data)
+
+        def values(self) -> dict:
+            found = {"n_tokens": self.n_tokens, "ids_sha256": self.of_ids.hexdigest(), "decoded_sha256": self.of_text.hexdigest()}
+            return found | ({"ids": np.concatenate([*self.ids, np.empty(0, np.int32)])} if keep_ids else {}) | ({"decoded": b"".join(self.decoded).decode()} if keep_decoded else {})
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
+
+        def finished(ids: pa.Array, rows: list[Row]) -> pa.RecordBatch:
+            values = [r.values() for r in rows]
+            return pa.RecordBatch.from_arrays([ids, *[pa.array([v[c] for v in values], t) for c, t in kinds.items()]], ["id", *kinds])
+
         for batch in batches:
-            columns = {name: [] for name in kinds}
-            for texts in _batches(batch.column(1).to_pylist()):
-                for runs in own.encode_texts(texts):
-                    ids, decoded = ",".join([r[0] for r in runs]), "".join([r[1] for r in runs])[1:]
-                    columns["n_tokens"].append(ids.count(",") + 1 if ids else 0)
-                    columns["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
-                    columns["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                    if keep_ids:
-                        columns["ids"].append(np.array(ids.split(","), np.int32) if ids else np.empty(0, np.int32))
-                        columns["decoded"].append(decoded)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(columns[c], t) for c, t in kinds.items()]], ["id", *kinds])
+            rows: list[Row] = []
+            waiting, size, start = [], 0, 0
+            for nth in range(batch.num_rows):
+                rows.append(Row())
+                for i, part in enumerate(parts_of(batch.column(1)[nth].as_py())):
+                    waiting.append((rows[-1], part, not i))
+                    size += len(part)
+                    if size >= BATCH_CHARS:
+                        for (row, _, _), ids in zip(waiting, own.encode_parts([w[1:] for w in waiting]), strict=True):
+                            row.add(own, ids)
+                        waiting, size = [], 0
+                if not waiting:
+                    yield finished(batch.column(0).slice(start, len(rows)), rows)
+                    rows, start = [], nth + 1
+            for (row, _, _), ids in zip(waiting, own.encode_parts([w[1:] for w in waiting]), strict=True):
+                row.add(own, ids)
+            if rows:
+                yield finished(batch.column(0).slice(start, len(rows)), rows)
 
     id_type = dict(docs.dtypes)[id_column]
-    schema = f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
+    schema = f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "") + (", decoded string" if keep_decoded else "")
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     return rows.mapInArrow(encoded, schema).withColumnRenamed("id", id_column)
