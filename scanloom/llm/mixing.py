@@ -9,11 +9,15 @@ three quarters of the gap at most. Then the nearest is taken if that makes the g
 
 So each source has an exact number of block draws. A splitting tree deals them to output shards: the root holds the
 draws of all sources, each node draws its left half's share of them from a multivariate hypergeometric distribution,
-and the leaves are the shards' quotas. A shard takes the next draws of each source's permuted order, so shards are
-disjoint, and is shuffled by a hash of its own.
+and the leaves are the shards' quotas. Sources may be as many as hosts: the driver's tree splits the sums of `GROUPS`
+groups of sources, and each group's own tree, in a task, splits its sources' draws to the group's quotas. Counts of any
+size are drawn exactly. A shard takes the next draws of each source's permuted order, so shards are disjoint, and is
+shuffled by a hash of its own.
 
 A source's order is never sorted in one task: a hash prefix splits it into buckets of a few thousand documents, sums
-of the buckets give their offsets, and only a bucket is sorted. The tree works on one row per source and shard.
+of the buckets give their offsets, and only a bucket is sorted. The order's hash takes id, size, a hash of the text and
+a number among equal rows, so rows that share an id are dealt out as others are. Sources are numbered by ranges of their
+names, and the level to which they are filled is found by sums over all of them.
 
 Defined results: a null or blank text has size 0, is taken for nothing and drawn only as part of a whole pass; null is
 a source of its own, last in order; repeated rows count each; null ids are ordered first; an empty table gives an
@@ -23,6 +27,7 @@ empty mix; all sizes zero give targets of zero; other columns may have any name.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,68 +37,135 @@ WEIGHTS, CAP, SEED = (5, 2, 1), 3, 42
 BLOCK_WORDS, SHARDS, BUCKET_ROWS = 4096, 16, 4096
 #: Bits of the order key, the first 15 hexadecimal digits of an md5.
 KEY_BITS = 60
-#: numpy draws hypergeometrically from fewer than a billion; more blocks than this are drawn in larger units.
-MOST_BLOCKS = 500_000_000
+#: Groups of sources whose draws the driver splits.
+GROUPS = 1024
+#: numpy draws hypergeometrically from fewer than this.
+NUMPY_BOUND = 1_000_000_000
+#: Equal rows that one row stands for before they are dealt out, and standard deviations that a draw is looked for in.
+EQUAL_ROWS, DEVIATIONS = 100_000, 12
 
 
-def _key(seed: int, column: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(column.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+def _key(seed: int, *columns: str) -> Column:
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 15), 16, 10).cast("long")
+
+
+def _numbered(per_source: DataFrame) -> DataFrame:
+    """per_source with place, from 0 in the order of sources, null last: ranges of sources, their sizes, a place in each."""
+    order = F.col("source").asc_nulls_last()
+    parts = checkpointed(per_source.repartitionByRange(shuffle_partitions(per_source.sparkSession), order).withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    before = sizes.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return parts.join(before, F.col("part") == F.col("p")).withColumn("place", place).drop("part", "p", "before")
 
 
 def source_targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """per_source: (source, source_size). Adds target, passes (whole ones) and rest (words after them).
 
-    Sources are filled in the order of cap over weight: one is capped if an equal share per weight of what the earlier
-    ones leave exceeds its cap. The first that isn't fixes the share of all later ones.
+    Each source takes weight times a level, or its cap. The level is what the capped ones leave, shared by weight; it only
+    rises as more are capped, so it is found once no other source is.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    share = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)
-    filled = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before, every = filled.rowsBetween(Window.unboundedPreceding, -1), filled.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = (
-        per_source.withColumn("weight", share)
-        .withColumn("most", F.col("source_size") * cap)
-        .withColumn("ratio", F.col("most") / F.col("weight"))
-        .withColumn("left_words", F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0)))
-        .withColumn("left_weight", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("level", F.col("left_words") / F.col("left_weight"))
-        .withColumn("capped", F.col("ratio") < F.col("level"))
-        .withColumn("level", F.first(F.when(~F.col("capped"), F.col("level")), ignorenulls=True).over(every))
-    )
-    target = F.when(F.col("capped"), F.col("most").cast("double")).otherwise(F.col("weight") * F.col("level"))
+    share = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = _numbered(per_source).withColumn("weight", share).withColumn("most", F.col("source_size") * cap)
+    rows = checkpointed(rows.withColumn("ratio", F.col("most") / F.col("weight")).drop("place"))
+    every = rows.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    words, weight, capped_weight = every["words"] or 0, every["weight"] or 0, -1
+    level = words / max(1, weight)
+    while True:
+        capped = rows.filter(F.col("ratio") < level).agg(F.sum("most").alias("words"), F.sum("weight").alias("weight")).first()
+        if capped_weight == (capped_weight := capped["weight"] or 0) or capped_weight == weight:
+            break
+        level = (words - (capped["words"] or 0)) / (weight - capped_weight)
+    target = F.when(F.col("ratio") < level, F.col("most").cast("double")).otherwise(F.col("weight") * F.lit(level))
     passes = F.when(F.col("source_size") == 0, 0).otherwise(F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap)))
     return rows.withColumn("target", target).withColumn("passes", passes.cast("int")).withColumn("rest", F.greatest(F.floor("target") - F.col("passes") * F.col("source_size"), F.lit(0)).cast("long")).select("source", "source_size", "target", "passes", "rest")
 
 
-def shard_quotas(draws: list[int], shards: int, seed: int = SEED) -> np.ndarray:
-    """Exact block quotas: row s, column j holds how many draws of source s shard j takes. Rows sum to draws; the
-    shards' totals differ by one at most."""
-    quotas = np.zeros((len(draws), shards), np.int64)
-    ends = [sum(draws) * j // shards for j in range(shards + 1)]
-    nodes = [(0, shards, np.array(draws, np.int64))]
+def hypergeometric(random: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n draws from good and bad ones, without putting back, are good. Beyond numpy's bound the chances around
+    the mean are added up and one is looked up; what lies further out has a chance below 1e-30."""
+    if good + bad < NUMPY_BOUND:
+        return int(random.hypergeometric(good, bad, n))
+    share = good / (good + bad)
+    mean, spread = n * share, DEVIATIONS * (n * share * (1 - share) * (1 - n / (good + bad))) ** 0.5 + 2
+    x = np.arange(max(0, n - bad, int(mean - spread)), min(good, n, int(mean + spread)) + 1, dtype=np.float64)
+    steps = np.log(good - x[:-1]) + np.log(n - x[:-1]) - np.log(x[:-1] + 1) - np.log(bad - n + x[:-1] + 1)
+    log_chance = np.concatenate(([0.0], np.cumsum(steps)))
+    below = np.cumsum(np.exp(log_chance - log_chance.max()))
+    return int(x[min(np.searchsorted(below, random.random() * below[-1], side="right"), x.size - 1)])
+
+
+def left_share(random: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
+    """How many of n draws without putting back come from each of the counts."""
+    left = int(counts.sum())
+    if left < NUMPY_BOUND:
+        return random.multivariate_hypergeometric(counts, n, method="marginals") if counts.size else counts
+    out = np.zeros_like(counts)
+    for i, own in enumerate(counts.tolist()):
+        left -= own
+        out[i] = hypergeometric(random, own, left, n) if n else 0
+        n -= int(out[i])
+    return out
+
+
+def split_quotas(draws: list[int], totals: list[int], seed: list[int]) -> np.ndarray:
+    """Exact quotas: row s, column j holds how many draws of s go to j. Rows sum to draws, columns to totals."""
+    quotas = np.zeros((len(draws), len(totals)), np.int64)
+    nodes = [(0, len(totals), np.array(draws, np.int64))]
     while nodes:
         low, high, counts = nodes.pop()
         if high - low == 1:
             quotas[:, low] = counts
             continue
         middle = (low + high) // 2
-        random = np.random.default_rng([seed, low, high])
-        left = random.multivariate_hypergeometric(counts, ends[middle] - ends[low], method="marginals") if counts.size else counts
+        left = left_share(np.random.default_rng([*seed, low, high]), counts, sum(totals[low:middle]))
         nodes += [(low, middle, left), (middle, high, counts - left)]
     return quotas
 
 
+def shard_quotas(draws: list[int], shards: int, seed: int = SEED) -> np.ndarray:
+    """Exact block quotas of sources, or groups of sources, in shards whose totals differ by one at most."""
+    ends = [sum(draws) * j // shards for j in range(shards + 1)]
+    return split_quotas(draws, [b - a for a, b in zip(ends[:-1], ends[1:], strict=True)], [seed])
+
+
+def _dealt(plan: DataFrame, shards: int, seed: int) -> DataFrame:
+    """plan: s and draws, a row for each source. n (the source) and ends, the sums of its quotas up to each shard."""
+    kind = dict(plan.dtypes)["s"]
+    grouped = plan.select("s", "draws", F.pmod(F.xxhash64("s"), F.lit(GROUPS)).cast("int").alias("g"))
+    sums = {r["g"]: int(r["draws"]) for r in grouped.groupBy("g").agg(F.sum("draws").alias("draws")).collect()}  # GROUPS rows at most
+    names = sorted(sums)
+    quotas = dict(zip(names, shard_quotas([sums[g] for g in names], shards, seed).tolist(), strict=True))
+
+    def split(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("s", na_position="last")
+        ends = np.cumsum(split_quotas(rows["draws"].tolist(), quotas[key[0]], [seed, int(key[0])]), axis=1)
+        return pd.DataFrame({"n": rows["s"], "ends": list(ends)})
+
+    return checkpointed(grouped.groupBy("g").applyInPandas(split, f"n {kind}, ends array<long>"))
+
+
 def _size(text_column: str) -> Column:
     return F.regexp_count(text_or_empty(text_column), F.lit(WORD)).cast("long")
 
 
-def mix(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, shards: int = SHARDS, block_words: int = BLOCK_WORDS
-) -> DataFrame:
-    """One row per row of docs: id, source, size, source_size, target and shards, an array with the output shard of each
-    of the document's draws; its length tells how often the mix takes the document."""
-    require(docs, id_column, text_column, source_column)
-    rows = checkpointed(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), _size(text_column).alias("size"), _key(seed, F.col(id_column)).alias("key")))
+def _equal_rows(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
+    """id, source, size and h, a hash of the text, of each row, and nth, its number among rows that are equal in these.
+    Equal rows are counted, and numbered by what their count unfolds to, not by sorting them."""
+    rows = docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), _size(text_column).alias("size"), F.xxhash64(text_column).alias("h"))
+    counts = rows.groupBy("id", "source", "size", "h").agg(F.count(F.lit(1)).alias("n"))
+    # those of a very frequent row in several tasks
+    some = counts.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(EQUAL_ROWS))))
+    if not counts.filter(F.col("n") > EQUAL_ROWS).isEmpty():
+        some = some.repartition("id", "h", "from")
+    return some.withColumn("nth", F.explode(F.sequence(F.col("from") + 1, F.least("n", F.col("from") + EQUAL_ROWS)))).drop("n", "from")
+
+
+def _mix(docs: DataFrame, id_column: str, text_column: str, source_column: str, weights: tuple[int, ...], cap: int, seed: int, shards: int, block_words: int) -> DataFrame:
+    """id, source, size, h, nth, source_size, target and shards of each row of docs."""
+    rows = _equal_rows(docs, id_column, text_column, source_column)
+    rows = checkpointed(rows.withColumn("key", _key(seed, "id", "size", "h", "nth")))
     bits = max(0, (max(1, rows.count()) // BUCKET_ROWS).bit_length())
     rows = rows.withColumn("bucket", F.shiftright("key", KEY_BITS - bits))
     per_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -101,9 +173,8 @@ def mix(
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0))).join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "words")
     offsets = checkpointed(offsets.withColumnsRenamed({"source": "s", "bucket": "b"}))
-    block_words = max(block_words, -(-cap * (offsets.select("s", "source_size").distinct().agg(F.sum("source_size")).first()[0] or 0) // MOST_BLOCKS))
 
-    within = Window.partitionBy("source", "bucket").orderBy("key", "id", "size")
+    within = Window.partitionBy("source", "bucket").orderBy("key", "id", "size", "h", "nth")
     placed = rows.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
     placed = placed.withColumn("place", F.row_number().over(within)).withColumn("start", F.col("offset") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.withColumn("block", F.floor(F.col("start") / block_words)).withColumn("first", F.col("start") + F.col("size") <= F.col("rest")).drop("offset")
@@ -159,35 +230,61 @@ def mix(
     more_blocks = F.floor((F.col("more_words") + block_words - 1) / block_words)
     plan = plan.withColumn("draws", F.col("more_from") + more_blocks + F.size("picks"))
 
-    # one row per source: its draws are dealt to the shards
+    # the draws of the sources are dealt to the shards
     plan = checkpointed(plan.select("s", "draws", "last_block", "more_from", "picks"))
-    per_source = [tuple(r) for r in plan.select("s", "draws").orderBy(F.col("s").asc_nulls_last()).collect()]
-    ends = np.cumsum(shard_quotas([n for _, n in per_source], shards, seed), axis=1).tolist() if per_source else []
-    dealt = docs.sparkSession.createDataFrame([(s, e) for (s, _), e in zip(per_source, ends, strict=True)], f"n {dict(docs.dtypes)[source_column]}, ends array<long>")
-    plan = plan.join(dealt, F.col("s").eqNullSafe(F.col("n")), "left").drop("n")
+    plan = plan.join(_dealt(plan, shards, seed), F.col("s").eqNullSafe(F.col("n")), "left").drop("n")
 
     placed = placed.join(spread(plan), same)
     whole = F.transform(F.sequence(F.lit(0), F.col("passes") - 1), lambda p: p * in_pass + F.col("block"))
     whole = F.when(F.col("passes") > 0, whole).otherwise(F.array().cast("array<bigint>"))
     more = F.when(F.col("first") & (F.col("rest") > 0), F.array(F.col("passes") * in_pass + F.col("block"))).when(F.col("more_block").isNotNull(), F.array(F.col("more_from") + F.col("more_block"))).when(F.array_contains("picks", at), F.array(F.col("draws") - F.array_position("picks", at))).otherwise(F.array().cast("array<bigint>"))
     shards_of = F.transform(F.concat(whole, more), lambda d: F.size(F.filter("ends", lambda e: e <= d)))
-    return placed.select(F.col("id").alias(id_column), F.col("source").alias(source_column), "size", "source_size", "target", shards_of.alias("shards"))
+    return placed.select("id", "source", "size", "h", "nth", "source_size", "target", shards_of.alias("shards"))
 
 
-def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: int = SEED, **options) -> DataFrame:
+def mix(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, shards: int = SHARDS, block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """One row per row of docs: id, source, size, source_size, target and shards, an array with the output shard of each
+    of the document's draws; its length tells how often the mix takes the document."""
+    require(docs, id_column, text_column, source_column)
+    found = _mix(docs, id_column, text_column, source_column, weights, cap, seed, shards, block_words)
+    return found.select(F.col("id").alias(id_column), F.col("source").alias(source_column), "size", "source_size", "target", "shards")
+
+
+def mixed_documents(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, shards: int = SHARDS, block_words: int = BLOCK_WORDS
+) -> DataFrame:
     """The mix itself: each document as often as it is drawn, with its columns; partitioned by shard and shuffled within
-    it. The plan is made of ids and sizes only; whole documents are dealt out twice, to meet their draws and to their
-    shards. Rows that share id, source and size are told apart by their order."""
+    it. The plan is made of ids, sizes and hashes only; whole documents are dealt out twice, to meet their draws and to
+    their shards. Rows that share id, source and text are told apart by number."""
+    require(docs, id_column, text_column, source_column)
+    names, partitions, same = docs.columns, shuffle_partitions(docs.sparkSession), ("k", "id", "source", "h")
+    plan = _mix(docs, id_column, text_column, source_column, weights, cap, seed, shards, block_words)
+    plan = checkpointed(plan.withColumn("k", F.xxhash64("id", "source", "h")).select(*same, "nth", "shards"))
+    rows = docs.select(F.struct(*names).alias("row"), F.col(id_column).alias("id"), F.col(source_column).alias("source"), F.xxhash64(text_column).alias("h"))
+    rows = rows.withColumn("k", F.xxhash64("id", "source", "h"))
+
+    # a row with very many equals would overfill a task: these are numbered where they lie, and meet their draws by number
+    limit = max(EQUAL_ROWS, plan.count() // (4 * partitions))
+    many = checkpointed(plan.filter(F.col("nth") == limit + 1).select(F.col("k").alias("many_k")).distinct())  # at most 4 for each shuffle partition
+    drawn = []
+    if not many.isEmpty():
+        hot, is_hot = F.broadcast(many), F.col("k") == F.col("many_k")
+        apart = checkpointed(rows.join(hot, is_hot, "left_semi").repartition(partitions).withColumn("part", F.spark_partition_id()))
+        before = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = apart.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n")).select("k", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        numbered = apart.join(sizes, ["k", "part"]).withColumn("nth", F.col("before") + F.row_number().over(Window.partitionBy("k", "part").orderBy(F.lit(1))))
+        drawn.append(numbered.join(plan.select("k", "nth", "shards"), ["k", "nth"]).select("row", "k", "nth", F.posexplode("shards").alias("time", "shard")))
+        rows, plan = rows.join(hot, is_hot, "left_anti"), plan.join(hot, is_hot, "left_anti")
+    rows = rows.repartition("k").withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1))))
+    plan = plan.select(*[F.col(c).alias(f"plan_{c}") for c in (*same, "nth")], "shards")
+    # only k is a join key: it is how rows lie already
+    rest = F.col("id").eqNullSafe(F.col("plan_id")) & F.col("source").eqNullSafe(F.col("plan_source")) & (F.abs(F.col("nth") - F.col("plan_nth")) == 0)
+    drawn.append(rows.join(plan, (F.col("k") == F.col("plan_k")) & F.when(rest, True).otherwise(False)).select("row", "k", "nth", F.posexplode("shards").alias("time", "shard")))
+
     # a shard is shuffled in parts, so that tasks don't grow with it
-    names, sub = docs.columns, F.lit(max(8, 4 * shuffle_partitions(docs.sparkSession) // options.get("shards", SHARDS)))
-    plan = mix(docs, id_column, text_column, source_column, seed=seed, **options).select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), "size", "shards")
-    same = ("k", "id", "source", "size")
-    plan = plan.withColumn("k", F.xxhash64("id", "source", "size"))
-    plan = plan.withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy("shards"))).select(*[F.col(c).alias(f"plan_{c}") for c in same], F.col("nth").alias("plan_nth"), "shards")
-    rows = docs.select(F.struct(*names).alias("row"), F.col(id_column).alias("id"), F.col(source_column).alias("source"), _size(text_column).alias("size"), F.xxhash64(text_column).alias("h"))
-    rows = rows.withColumn("k", F.xxhash64("id", "source", "size")).repartition("k")
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy("h")))
-    joint = F.col("id").eqNullSafe(F.col("plan_id")) & F.col("source").eqNullSafe(F.col("plan_source")) & (F.abs(F.col("size") - F.col("plan_size")) + F.abs(F.col("nth") - F.col("plan_nth")) == 0)
-    drawn = rows.join(plan, (F.col("k") == F.col("plan_k")) & F.when(joint, True).otherwise(False)).select("row", "k", F.posexplode("shards").alias("time", "shard"))
-    order = F.xxhash64(F.lit(seed), "shard", "k", "time")
-    return drawn.withColumn("order", order).repartition("shard", F.pmod("order", sub)).sortWithinPartitions("shard", "order").select(*[F.col("row")[c].alias(c) for c in names])
+    parts = F.lit(max(8, 4 * partitions // shards))
+    order = F.xxhash64(F.lit(seed), "shard", "k", "nth", "time")
+    every = drawn[0] if len(drawn) == 1 else drawn[0].unionAll(drawn[1])
+    return every.withColumn("order", order).repartition("shard", F.pmod("order", parts)).sortWithinPartitions("shard", "order").select(*[F.col("row")[c].alias(c) for c in names])
