@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,15 +46,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows that go to a Python worker at once. Documents are long, so far fewer than Spark's usual 10,000.
-BATCH_ROWS = 512
+#: Bytes of text that an operator works on at once; a longer text is alone.
+PART_BYTES = 8 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Let batches for Python workers hold few documents, unless the session asks for fewer itself."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+def small_parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches in parts whose texts, in the given column, have about PART_BYTES: Spark bounds a batch, but by far more."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        start, size = 0, 0
+        for nth, own in enumerate(sizes.tolist()):
+            if nth > start and size + own > PART_BYTES:
+                yield batch.slice(start, nth - start)
+                start, size = nth, 0
+            size += own
+        if batch.num_rows > start:
+            yield batch.slice(start)
 
 
 def text_or_empty(column: str | Column) -> Column:

@@ -2,7 +2,7 @@
 
 From each rule's regular expression a Boolean query over trigrams is derived that every text with a match satisfies:
 literals and small alternatives next to each other give trigrams that must all be there (AND), alternatives give a
-choice (OR), and what can't be told gives no condition. Each batch of documents of a partition is an index shard: one
+choice (OR), and what can't be told gives no condition. Each few megabytes of a partition's documents are an index shard: one
 pass over its bytes gives, for each trigram that some rule asks for, the sorted list of documents that hold it.
 Lists are intersected and united as the query says, and the rule's regular expression checks the documents that are
 left. A rule without a mandatory trigram is checked against all documents. Trigrams are of UTF-8 bytes with A-Z in
@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 from re import _constants as C
 from re import _parser
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import bounded_batches, require
+from scanloom.llm.common import require, small_parts
 
 
 @dataclass(frozen=True)
@@ -141,14 +141,27 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
 
+@lru_cache(maxsize=1)
+def _slots(wanted: tuple[bytes, ...]) -> np.ndarray:
+    """For each possible trigram its place among the wanted ones, from 1; made once for a worker."""
+    slots = np.zeros(1 << 24, np.uint16)
+    for i, t in enumerate(wanted):
+        slots[int.from_bytes(t, "big")] = i + 1
+    return slots
+
+
+@lru_cache(maxsize=4)
+def _plan(rules: tuple[Rule, ...]) -> tuple[list[Query], tuple[bytes, ...], list[re.Pattern]]:
+    """The rules' queries, all trigrams that they ask for, and their expressions."""
+    queries = [trigram_query(r.pattern) for r in rules]
+    return queries, tuple(sorted(set().union(*map(trigrams_of, queries)))), [re.compile(r.pattern) for r in rules]
+
+
 class TrigramShard:
-    """The postings of some trigrams in one batch of texts."""
+    """The postings of some trigrams in one shard's texts."""
 
-    def __init__(self, texts: list[bytes], wanted: list[bytes]) -> None:
-        self.size = len(texts)
-        slots = np.zeros(1 << 24, np.uint16)
-        for i, t in enumerate(wanted):
-            slots[int.from_bytes(t, "big")] = i + 1
+    def __init__(self, texts: list[bytes], wanted: tuple[bytes, ...]) -> None:
+        self.size, slots = len(texts), _slots(wanted)
         self.postings = {t: np.empty(0, np.int64) for t in wanted}
         ends = np.cumsum([len(t) + 3 for t in texts])
         data = FOLD[np.frombuffer(b"\0\0\0".join(texts) + b"\0\0\0", np.uint8)].astype(np.uint32)
@@ -171,47 +184,26 @@ class TrigramShard:
         return reduce(np.intersect1d if query[0] == "and" else np.union1d, parts)
 
 
-#: Bytes of text that one shard indexes at most, a longer text being a shard of its own.
-SHARD_BYTES = 8 << 20
-
-
-def _shards(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
-    start, size, own = 0, 0, []
-    for i, t in enumerate(texts):
-        data = t.encode()
-        if own and size + len(data) > SHARD_BYTES:
-            yield start, own
-            start, size, own = i, 0, []
-        own.append(data)
-        size += len(data)
-    if own:
-        yield start, own
-
-
 def scan(texts: list[str], rules: tuple[Rule, ...]) -> list[list[tuple[str, int, int]]]:
     """The spans of each text, (kind, start, end), by start and then by rule."""
-    queries = [trigram_query(r.pattern) for r in rules]
-    wanted = sorted(set().union(*map(trigrams_of, queries)))
-    compiled = [re.compile(r.pattern) for r in rules]
+    queries, wanted, compiled = _plan(rules)
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for start, batch in _shards(texts):
-        shard = TrigramShard(batch, wanted)
-        for k, rule in enumerate(rules):
-            for i in shard.candidates(queries[k]):
-                for m in compiled[k].finditer(texts[start + i]):
-                    if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                        found[start + i].append((m.start(), k, m.end()))
+    shard = TrigramShard([t.encode() for t in texts], wanted)
+    for k, rule in enumerate(rules):
+        for i in shard.candidates(queries[k]):
+            for m in compiled[k].finditer(texts[i]):
+                if m.end(rule.group) - m.start(rule.group) >= rule.least:
+                    found[i].append((m.start(), k, m.end()))
     return [[(rules[k].name, a, b) for a, k, b in sorted(x)] for x in found]
 
 
 def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per row of docs: id and spans, an array of (kind, start, end) in code points, by start, then rule."""
     require(docs, id_column, text_column)
-    bounded_batches(docs.sparkSession)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_parts(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             spans = [[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in scan(texts, rules)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, span)], ["id", "spans"])
