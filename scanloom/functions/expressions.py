@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON = 1e-8
+#: What log lines hold that report an accuracy.
+ACCURACY_LINES = (r"Accuracy globale\s*:\s*([0-9.]+)%", r"(?i)accuracy=\s*([0-9.]+)%")
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -56,22 +58,23 @@ def file_suffix(path: str) -> Column:
 def accuracy_of_line(line: str | Column) -> Column:
     """The per cent that a log line reports, or null."""
     line = F.col(line) if isinstance(line, str) else line
-    first = F.regexp_extract(line, r"Accuracy globale\s*:\s*([0-9.]+)%", 1)
-    second = F.regexp_extract(line, r"(?i)accuracy=\s*([0-9.]+)%", 1)
+    first, second = (F.regexp_extract(line, pattern, 1) for pattern in ACCURACY_LINES)
     number = lambda c: F.when(c == "", None).otherwise(c).try_cast("double")
     return F.coalesce(number(first), number(second))
 
 
-def report_lines(lines: DataFrame, line: str = "line", order: str = "line_no", group: str | None = None) -> DataFrame:
+def report_lines(lines: DataFrame, line: str = "line", order: str = "line_no", group: tuple[str, ...] = ("run",)) -> DataFrame:
     """The lines of a run's log that make up its report, trimmed, in `report`: headings of steps, convergence, inertia,
-    accuracy and rows of the tables. Progress and file names go; of blank lines one stays between two that are kept."""
+    accuracy and rows of the tables. Progress and file names go; of blank lines one stays between two that are kept. group:
+    the columns that tell runs apart, for a run's lines are ordered in one task."""
     text = F.regexp_replace(F.col(line), r"^\s+|\s+$", "")
+    # fixed values: the words of a run's log
     low = F.lower(text)
     drop = low.contains("analyse images") | text.startswith("...") | low.contains("pipeline termin") | low.contains("fichiers génér") | low.contains("sauvegard")
     heading = text.contains("ETAPE") | text.contains("ÉTAPE") | text.contains("Classification MRI") | text.contains("Segmentation avanc")
     figures = text.contains("Convergence") | low.contains("inertie=") | text.contains("images ×") | text.contains("Accuracy globale")
     table = text.rlike(r"^(Classe|tumor|no_tumor|Cluster K-Means|Cluster 0|Cluster 1|-+$)")
-    w = Window.partitionBy(*([group] if group else [])).orderBy(order)
+    w = Window.partitionBy(*group).orderBy(order)
     kept = lines.withColumn("report", text).filter(~drop & (heading | figures | table | (text == "")))
     kept = kept.withColumn("_before", F.lag("report").over(w)).withColumn("_after", F.max(F.col("report") != "").over(w.rowsBetween(1, Window.unboundedFollowing)))
     return kept.filter((F.col("report") != "") | ((F.col("_before") != "") & F.col("_after"))).drop("_before", "_after")

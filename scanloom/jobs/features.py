@@ -77,6 +77,32 @@ def texture(df: DataFrame, keep: tuple[str, ...] = ("image_id",), whole: bool =
     return _feature_rows(df, keep, names, kernel)
 
 
+MEASURES = ("mean", "std", "skewness", "kurtosis", "local_entropy", "border_compactness", "edge_compactness", "perimeter")
+
+
+def region_measures(df: DataFrame, keep: tuple[str, ...] = ("image_id",), above: int = 127) -> DataFrame:
+    """Moments, entropy and outlines of the pixels above a level, in raw images; images without any have no row."""
+
+    def kernel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        masks, n = x > above, K.normalize(x)
+        outlines = np.stack((K.border_compactness(masks), K.edge_compactness(masks), K.weighted_perimeter(masks)), axis=1)
+        valid = masks.any(axis=(1, 2))
+        return np.array([(*K.moments(i[m], 1e-8), K.local_entropy(i[m]), *o) for i, m, o in zip(n[valid], masks[valid], outlines[valid], strict=True)]).reshape(-1, len(MEASURES)), valid
+
+    return _feature_rows(df, keep, MEASURES, kernel)
+
+
+def overlays(df: DataFrame, keep: tuple[str, ...] = ("image_id",), mask: Callable[[np.ndarray], np.ndarray] = lambda x: K.segment_stages(K.preprocess(x))[3], colour: tuple[int, int, int] = (255, 0, 0)) -> DataFrame:
+    """(keep, h, w, rgb): previews of normalised images with their region in colour, packed by pixel."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, block in _blocks(batches):
+            planes = [K.overlay(n, m, colour).astype(np.uint8).tobytes() for n, m in zip(K.normalize(block), mask(block), strict=True)]
+            yield part[[*keep, "h", "w"]].reset_index(drop=True).assign(rgb=planes)
+
+    return df.select(*dict.fromkeys([*keep, "h", "w", "pixels"])).mapInPandas(run, _schema(df, keep, "h int, w int, rgb binary"))
+
+
 #: Planes of levels by name, from raw images. Masks are 0 and 1.
 STAGES: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "raw": lambda x: x,

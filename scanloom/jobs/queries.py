@@ -6,17 +6,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.functions import expressions as X
 from scanloom.jobs import features as J
 from scanloom.operators import cohort, evaluate, hierarchy, kmeans, scale, supervised
+from scanloom.operators.numbering import numbered, percentiles
 from scanloom.sources.images import with_path_parts
-from scanloom.sources.tables import checkpointed, cluster_summary
+from scanloom.sources.tables import checkpointed, cluster_summary, shared_folder
+from scanloom.streaming import score
 
 FEATURES = [f"f{i}" for i in range(10)]
 #: Digits that queries and their SQL are rounded to.
@@ -62,10 +65,10 @@ def scaled_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scale.apply_zscore(df, scale.fit_zscore(df, FEATURES))
 
 
-def clustered(spark: SparkSession, sf_dir: str, rounds: int = 3) -> tuple[DataFrame, kmeans.Run, DataFrame]:
-    """Scaled rows, the run from the first four rows, and the rows with their cluster."""
-    df = scaled_matrix(spark, sf_dir)
-    run = kmeans.kmeans_from(df, FEATURES, first_centers(df, 4), max_iter=rounds, tol=0.0)
+def clustered(spark: SparkSession, sf_dir: str, rounds: int = 150) -> tuple[DataFrame, kmeans.Run, DataFrame]:
+    """Scaled rows, the run from the first four rows until its centers rest, and the rows with their cluster."""
+    df = checkpointed(scaled_matrix(spark, sf_dir))
+    run = kmeans.kmeans_from(df, FEATURES, first_centers(df, 4), max_iter=rounds)
     return df, run, kmeans.predict(df, FEATURES, run.centers)
 
 
@@ -169,7 +172,7 @@ def a20_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x11_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(matrix(spark, sf_dir).groupBy("label").agg(*[F.percentile("f0", p / 100).alias(f"p{p}") for p in (1, 82, 99)]), "p1", "p82", "p99")
+    return rounded(percentiles(matrix(spark, sf_dir), "label", "f0", {f"p{p}": p / 100 for p in (1, 82, 99)}), "p1", "p82", "p99")
 
 
 def m1_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,17 +199,17 @@ def m5_kmeans_given(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m5_kmeans_three_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, rows = clustered(spark, sf_dir)
+    _, _, rows = clustered(spark, sf_dir, 3)
     return rounded(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in FEATURES]), *FEATURES, digits=4)
 
 
 def m6_kmeans_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = scaled_matrix(spark, sf_dir)
-    return kmeans.predict(df, FEATURES, kmeans.kmeans_multi(df, "vec_id", FEATURES, 2, max_iter=30).centers).select("vec_id", "cluster", "d2")
+    df = checkpointed(scaled_matrix(spark, sf_dir))
+    return kmeans.predict(df, FEATURES, kmeans.kmeans_multi(df, "vec_id", FEATURES, 2).centers).select("vec_id", "cluster", "d2")
 
 
 def m8_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmeans.elbow(checkpointed(scaled_matrix(spark, sf_dir)), "vec_id", FEATURES, max_iter=15)
+    return kmeans.elbow(checkpointed(scaled_matrix(spark, sf_dir)), "vec_id", FEATURES, n_init=3)
 
 
 def m9_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +232,7 @@ def x9_cluster_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Small clusters of the whole table, Ward's tree over them, and the rows with their small cluster."""
     df = checkpointed(scaled_matrix(spark, sf_dir))
-    merges, own = hierarchy.ward_large(df, "vec_id", FEATURES, 60)
+    merges, own = hierarchy.ward_large(df, "vec_id", FEATURES)
     return df, merges, own
 
 
@@ -239,8 +242,7 @@ def w1_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w2_average_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = scaled_matrix(spark, sf_dir).groupBy((F.col("vec_id") % 97).alias("g")).agg(*[F.avg(c).alias(c) for c in FEATURES])
-    return hierarchy.linkage(checkpointed(hierarchy.numbered_points(sums, "g", FEATURES)), "average")
+    return hierarchy.linkage(checkpointed(hierarchy.numbered_points(scaled_matrix(spark, sf_dir), "vec_id", FEATURES)), "average")
 
 
 def w4_cut_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +251,7 @@ def w4_cut_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = hierarchy.choose_cluster_count(merges).first()["k"]
     n = merges.count() + 1
     cut = hierarchy.cut_tree(merges, n, k)
-    return own.join(F.broadcast(cut), F.col("micro") == F.col("id")).select("vec_id", "cluster", F.lit(k).alias("k"))  # n <= 60
+    return own.join(F.broadcast(cut), F.col("micro") == F.col("id")).select("vec_id", "cluster", F.lit(k).alias("k"))  # n <= 2,000
 
 
 def w5_cluster_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,8 +295,8 @@ def a11_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, share = evaluate.align_clusters(evaluate.contingency(clustered(spark, sf_dir)[2]), 4)
-    rows = aligned(spark, sf_dir)
+    rows = clustered(spark, sf_dir)[2]
+    _, share = evaluate.align_clusters(evaluate.contingency(rows), 4)
     return rounded(rows.agg(F.count(F.lit(1)).alias("n")).withColumn("accuracy", F.lit(share)), "accuracy")
 
 
@@ -330,6 +332,10 @@ def a19_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.silhouette(matrix(spark, sf_dir), "vec_id", FEATURES, "label"), "silhouette")
 
 
+def a19_silhouette_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.silhouette_squared(matrix(spark, sf_dir), "vec_id", FEATURES, "label"), "silhouette")
+
+
 def m14_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with a score in [0, 1) from their length."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
@@ -363,7 +369,7 @@ def learners(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def m10_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = learners(spark, sf_dir)
-    return supervised.probabilities(supervised.random_forest(train, FEATURES, trees=20), test, FEATURES).select("vec_id", "label", "p1", "pred")
+    return supervised.probabilities(supervised.random_forest(train, FEATURES), test, FEATURES).select("vec_id", "label", "p1", "pred")
 
 
 def m11_logistic_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,7 +384,7 @@ def m12_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def m15_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = learners(spark, sf_dir)
-    return supervised.feature_importance(supervised.random_forest(train, FEATURES, trees=20), FEATURES, spark)
+    return supervised.feature_importance(supervised.random_forest(train, FEATURES), FEATURES, spark)
 
 
 # --- images -------------------------------------------------------------------------------------------------------------
@@ -399,15 +405,124 @@ def kernel(job: Callable[..., DataFrame], *names: str, digits: int = DIGITS) ->
     return query
 
 
+def log_lines(spark: SparkSession, sf_dir: str, more: Column) -> DataFrame:
+    """The lines of each turn's whole text and of what is put behind it."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), more).alias("text"))
+    lines = turns.select("conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    return lines.select("conv_id", "turn", (F.col("at") + 1).alias("line_no"), "line")
+
+
 def x1_log_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.coalesce(F.substring("text", 1, 20), F.lit("")), F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" Accuracy globale : "), F.col("turn").cast("string"), F.lit(".5%"))).otherwise(" ACCURACY= 71.25%")).alias("line"))
-    return lines.select("conv_id", "turn", X.accuracy_of_line("line").alias("accuracy"))
+    more = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" Accuracy globale : "), F.col("turn").cast("string"), F.lit(".5%"))).otherwise(" ACCURACY= 71.25%")
+    return log_lines(spark, sf_dir, more).select("conv_id", "turn", "line_no", X.accuracy_of_line("line").alias("accuracy"))
 
 
 def x2_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    text = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("  Classe "), F.col("role"))).when(F.col("turn") % 4 == 1, "").when(F.col("turn") % 4 == 2, F.concat(F.lit("... "), F.col("role"))).otherwise(F.concat(F.lit("Convergence "), F.col("turn").cast("string")))
-    return X.report_lines(c.select("conv_id", "turn", text.alias("line")), "line", "turn", "conv_id").select("conv_id", "turn", "report")
+    more = F.concat(F.lit("\n  Classe "), "role", F.lit("\n\n \n... "), "role", F.lit("\nConvergence "), F.col("turn").cast("string"), F.lit("\n"))
+    return X.report_lines(log_lines(spark, sf_dir, more), "line", "line_no", ("conv_id", "turn")).select("conv_id", "turn", "line_no", "report")
+
+
+# --- single expressions and tables ------------------------------------------------------------------------------------------
+
+
+def p6_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.mark_correct(aligned(spark, sf_dir)).select("vec_id", "label", "pred", "correct")
+
+
+def p7_constant_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of one value: its deviation counts as 1, so it becomes 0 and not a fraction of zero."""
+    df = matrix(spark, sf_dir).withColumn("same", F.lit(3.5))
+    scaler = scale.fit_zscore(df, ["same"])
+    rows = scale.apply_zscore(df, scaler).join(F.broadcast(scaler))  # one row
+    mean = F.lit(scale.fit_zscore(df, ["f0"]).first()["mu"])
+    return rounded(rows.select("vec_id", (F.col("f0") - mean).alias("f0_centered"), "same", "mu", "sigma"), "f0_centered")
+
+
+def x3_four_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix(spark, sf_dir).select("vec_id", X.four_decimals("f0").alias("text"))
+
+
+def x5_half_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", X.half_even(F.col("label") + F.lit(0.5)).alias("whole"))
+
+
+def x7_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(matrix(spark, sf_dir).select("vec_id", X.clip(F.col("f0"), -0.5, 0.5).alias("f0")), "f0")
+
+
+def x8_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = matrix(spark, sf_dir)
+    here, there = F.array(*FEATURES), F.array(*[F.lit(float(x)) for x in first_centers(df, 1)[0]])
+    return rounded(df.select("vec_id", X.squared_distance(here, there).alias("squared"), X.euclidean(here, there).alias("euclidean")), "squared", "euclidean")
+
+
+def t2_probability_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, run, rows = clustered(spark, sf_dir)
+    distances = F.transform(kmeans.squared_distances(FEATURES, run.centers), lambda x: F.sqrt(x))
+    found = rows.select("vec_id", F.posexplode(X.probability_table([f"class{i}" for i in range(4)], distances)).alias("at", "x"))
+    return found.select("vec_id", (F.col("at") + 1).alias("place"), "x.class_name", F.round("x.value", 4).alias("value"), "x.percent", "x.distance")
+
+
+def heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps whose heights are the first components, sorted: stands for the merges of a tree."""
+    return numbered(matrix(spark, sf_dir), ["f0", "vec_id"], "step").select((F.col("step") + 1).alias("step"), F.col("f0").alias("height"))
+
+
+def t4_top_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(hierarchy.top_gaps(heights(spark, sf_dir)), "height", "gap")
+
+
+def t5_last_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(hierarchy.last_merges(heights(spark, sf_dir)), "height")
+
+
+def w4_cut_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree as deep as the logarithm of the table's rows, cut where seven clusters are left."""
+    n = table(spark, sf_dir, "embeddings").count()
+    merges = spark.range(n - 1).select((F.col("id") + 1).cast("int").alias("step"), (F.col("id") * 2).alias("left_id"), (F.col("id") * 2 + 1).alias("right_id"), (F.col("id") + n).alias("new_id"))
+    return hierarchy.cut_tree(merges, n, 7)
+
+
+def w5_gap_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.choose_cluster_count(heights(spark, sf_dir))
+
+
+def w6_cut_height(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(hierarchy.cut_height(heights(spark, sf_dir)), "line")
+
+
+def m1_axis_variances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All axes together hold the columns' variance, and no two of them vary together."""
+    projected, shares = scale.pca(scaled_matrix(spark, sf_dir), FEATURES, len(FEATURES))
+    axes = [f"pc{i + 1}" for i in range(len(FEATURES))]
+    both = scale.covariance(projected, axes)
+    sums = both.agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("cov"))).alias("variance"), F.max(F.when(F.col("a") != F.col("b"), F.abs("cov"))).alias("largest_covariance"))
+    return rounded(sums.select(F.lit(len(axes)).alias("axes"), "variance", F.lit(float(sum(shares))).alias("explained"), "largest_covariance"), "variance", "explained", "largest_covariance", digits=4)
+
+
+def x12_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the preview's colours, with the pixels above 127 in red."""
+    rgb = J.overlays(images8(spark, sf_dir), mask=lambda x: x > 127)
+    rows = rgb.select("image_id", F.explode(F.sequence(F.lit(0), F.octet_length("rgb") - 1)).alias("i"), F.hex("rgb").alias("text"))
+    value = F.conv(F.substring("text", F.col("i") * 2 + 1, F.lit(2)), 16, 10).cast("long")
+    of = lambda channel: F.sum(F.when(F.col("i") % 3 == channel, value))
+    return rows.groupBy("image_id").agg(of(0).alias("red"), of(1).alias("green"), of(2).alias("blue"))
+
+
+def x13_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.boxes(J.stage_planes(images8(spark, sf_dir), ("final",)))
+
+
+def st2_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scaler, clusters and a forest, saved in the shared folder and loaded again, score every row of the table."""
+    df = matrix(spark, sf_dir).withColumn("label", F.col("label") % 2)
+    scaler = scale.fit_zscore(df, FEATURES)
+    rows = checkpointed(scale.apply_zscore(df, scaler))
+    run = kmeans.kmeans_from(rows, FEATURES, first_centers(rows, 2))
+    folder = f"{shared_folder(spark)}/scorer-{uuid.uuid4().hex}"
+    score.save_scorer(folder, scaler, kmeans.center_table(rows, run), ["tumor", "no_tumor"], supervised.random_forest(rows, FEATURES))
+    scored = score.scored_features(df, score.load_scorer(spark, folder), tuple(FEATURES))
+    return scored.select("vec_id", "cluster_id", "predicted_class", "classifier_pred", "confidence", "diagnosis")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -457,6 +572,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "a17_cluster_cards": a17_cluster_cards,
         "a18_cluster_precision": a18_cluster_precision,
         "a19_silhouette": a19_silhouette,
+        "a19_silhouette_squared": a19_silhouette_squared,
         "m13_evaluate_models": m13_evaluate_models,
         "m14_roc": m14_roc,
         "m14_auc": m14_auc,
@@ -471,15 +587,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "k6_dilate": plane("only_dilated"),
         "k7_largest_component": plane("only_component"),
         "k8_segment": plane("final"),
+        "k3_normalize": plane("normalized"),
+        "k14_region_measures": kernel(J.region_measures, digits=6),
+        "k22_raw": plane("raw"),
+        "k22_equalized": plane("equalized"),
+        "k22_binary": plane("binary"),
+        "k22_eroded": plane("eroded"),
+        "k22_component": plane("component"),
         "k9_quality": kernel(J.quality, "quality"),
         "k5_thresholds": kernel(J.thresholds),
         "k10_chan_vese": plane("chan_vese"),
         "k11_brain_mask": plane("brain"),
         "k15_lbp_codes": plane("lbp"),
-        "k16_texture": kernel(J.texture),
-        "k18_features_d10": kernel(J.features_d10, digits=4),
-        "k19_features_f10": kernel(J.features_f10, digits=4),
+        "k16_texture": kernel(J.texture, digits=6),
+        "k18_features_d10": kernel(J.features_d10, digits=6),
+        "k19_features_f10": kernel(J.features_f10, digits=6),
         "k20_features_f13": kernel(lambda df: J.features_f13(df, least=2), digits=4),
         "x1_log_accuracy": x1_log_accuracy,
         "x2_report_lines": x2_report_lines,
+        "x3_four_decimals": x3_four_decimals,
+        "x5_half_even": x5_half_even,
+        "x7_clip": x7_clip,
+        "x8_distances": x8_distances,
+        "x12_overlay": x12_overlay,
+        "x13_boxes": x13_boxes,
+        "p6_correct": p6_correct,
+        "p7_constant_sigma": p7_constant_sigma,
+        "t2_probability_table": t2_probability_table,
+        "t4_top_gaps": t4_top_gaps,
+        "t5_last_merges": t5_last_merges,
+        "w4_cut_balanced": w4_cut_balanced,
+        "w5_gap_count": w5_gap_count,
+        "w6_cut_height": w6_cut_height,
+        "m1_axis_variances": m1_axis_variances,
+        "st2_scored": st2_scored,
     }

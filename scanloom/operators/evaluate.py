@@ -200,14 +200,37 @@ def evaluate_models(predictions: DataFrame) -> DataFrame:
     return rates.select("model", "accuracy", "precision", "recall", "f1").withColumn("best", F.col("accuracy") == F.max("accuracy").over(Window.partitionBy()))
 
 
-#: Rows of a block of the exact silhouette.
-BLOCK = 2048
+#: Rows of a block of the exact silhouette, and the most rows that it takes.
+BLOCK, MOST_ROWS = 2048, 500_000
+
+
+def silhouette_squared(df: DataFrame, id_column: str, columns: list[str], cluster: str = "cluster") -> DataFrame:
+    """(id, cluster, silhouette) with squared Euclidean distances, for any number of rows: a row's mean squared distance to
+    a cluster follows from the cluster's mean and mean squared norm, one row for each cluster (k of them, broadcast)."""
+    square = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x * x)
+    points = df.select(F.col(id_column).alias("id"), F.col(cluster).alias("c"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    sums = points.groupBy(F.col("c").alias("o")).agg(F.count(F.lit(1)).alias("n"), F.avg(square("x")).alias("squares"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(len(columns))])
+    clusters = sums.select("o", "n", "squares", F.array(*[f"m{i}" for i in range(len(columns))]).alias("m"))
+    dot = F.aggregate(F.zip_with("x", "m", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    rows = points.join(F.broadcast(clusters)).select("id", "c", "o", "n", F.greatest(square("x") - 2 * dot + F.col("squares"), F.lit(0.0)).alias("d"))
+    own = F.col("o") == F.col("c")
+    means = rows.groupBy("id", "c").agg(F.max(F.when(own, F.col("n"))).alias("own"), F.max(F.when(own & (F.col("n") > 1), F.col("d") * F.col("n") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("d"))).alias("b"))
+    return means.select(F.col("id").alias(id_column), F.col("c").alias(cluster), _silhouette_of().alias("silhouette"))
+
+
+def _silhouette_of() -> Column:
+    """(b - a) / max(a, b) of the columns own, a and b; 0 for a row alone, without another cluster, or with no distance."""
+    value = F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))
+    return F.when((F.col("own") == 1) | F.col("b").isNull(), 0.0).otherwise(value)
 
 
 def silhouette(df: DataFrame, id_column: str, columns: list[str], cluster: str = "cluster") -> DataFrame:
     """(id, cluster, silhouette) with Euclidean distances. Blocks of rows meet in pairs; a block pair sums each row's
-    distances by the other rows' cluster, so what is shuffled grows with rows x blocks x clusters, not with pairs."""
+    distances by the other rows' cluster, so what is shuffled grows with rows x blocks x clusters, not with pairs. Each
+    row is copied once a block, so more than MOST_ROWS are refused: `silhouette_squared` needs no pairs."""
     n = df.count()
+    if n > MOST_ROWS:
+        raise ValueError(f"{n} rows: all pairs of more than {MOST_ROWS} are too many; use silhouette_squared")
     blocks = -(-max(n, 1) // BLOCK)
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     points = df.select(F.col(id_column).cast("long").alias("id"), F.col(cluster).cast("int").alias("c"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
@@ -231,5 +254,4 @@ def silhouette(df: DataFrame, id_column: str, columns: list[str], cluster: str =
         F.max(F.when((F.col("o") == F.col("c")) & (F.col("n") > 1), F.col("d") / (F.col("n") - 1))).alias("a"),
         F.min(F.when(F.col("o") != F.col("c"), F.col("d") / F.col("n"))).alias("b"),
     )
-    value = F.when((F.col("own") == 1) | F.col("b").isNull(), 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
-    return means.select(F.col("id").alias(id_column), F.col("c").alias(cluster), value.alias("silhouette"))
+    return means.select(F.col("id").alias(id_column), F.col("c").alias(cluster), _silhouette_of().alias("silhouette"))

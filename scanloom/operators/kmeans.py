@@ -2,18 +2,25 @@
 
 A run is a set of centers: one start of one k. Rows are never moved: each round sends the few centers to the rows as
 literals and brings back, per run and cluster, sums of the columns, counts and squared distances, which are combined
-before the shuffle. Centers are small (runs x k x d numbers) and live on the driver between rounds.
+before the shuffle. Centers are small (runs x k x d numbers) and live on the driver between rounds. More centers than fit
+in an expression go to the rows as one broadcast matrix, and Arrow batches are held against it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: So many centers are written into an expression; and rows that are held against more of them at once.
+IN_EXPRESSION, AT_ONCE = 50, 512
+
+
 @dataclass
 class Run:
     """centers: k x d. history: the inertia of each round, with the old labels and the new centers."""
@@ -39,11 +46,33 @@ def nearest(distances: Column) -> Column:
     return (F.array_position(distances, F.array_min(distances)) - 1).cast("int")
 
 
+def located(df: DataFrame, columns: list[str], centers: np.ndarray) -> DataFrame:
+    """df with cluster and d2, for any number of centers: their matrix is broadcast, k x d numbers."""
+    shared = df.sparkSession.sparkContext.broadcast(np.asarray(centers, float))
+
+    def near(*values: pd.Series) -> pd.DataFrame:
+        x, c = np.column_stack([v.to_numpy(float) for v in values]), shared.value
+        clusters, least = np.empty(len(x), np.int32), np.empty(len(x))
+        for at in range(0, len(x), AT_ONCE):
+            part = x[at : at + AT_ONCE]
+            d2 = sum(((part[:, j, None] - c[None, :, j]) ** 2 for j in range(c.shape[1])), np.zeros((len(part), len(c))))
+            clusters[at : at + AT_ONCE] = d2.argmin(axis=1)
+            least[at : at + AT_ONCE] = d2.min(axis=1)
+        return pd.DataFrame({"cluster": clusters, "d2": least})
+
+    found = F.pandas_udf(near, "cluster int, d2 double")
+    return df.withColumn("_near", found(*[F.col(c).cast("double") for c in columns])).withColumns({"cluster": F.col("_near.cluster"), "d2": F.col("_near.d2")}).drop("_near")
+
+
 def _assigned(df: DataFrame, columns: list[str], runs: list[Run]) -> DataFrame:
     """One row per row and run: run, cluster, d2, and the columns."""
-    each = F.array(*[F.struct(F.lit(i).alias("run"), squared_distances(columns, r.centers).alias("d")) for i, r in enumerate(runs)])
-    rows = df.select(*columns, F.explode(each).alias("x"))
-    return rows.select(*columns, "x.run", nearest(F.col("x.d")).alias("cluster"), F.array_min("x.d").alias("d2"))
+    small = [i for i, r in enumerate(runs) if len(r.centers) <= IN_EXPRESSION]
+    found = [located(df.select(*columns), columns, r.centers).withColumn("run", F.lit(i)).select(*columns, "run", "cluster", "d2") for i, r in enumerate(runs) if i not in small]
+    if small:
+        each = F.array(*[F.struct(F.lit(i).alias("run"), squared_distances(columns, runs[i].centers).alias("d")) for i in small])
+        rows = df.select(*columns, F.explode(each).alias("x"))
+        found.append(rows.select(*columns, "x.run", nearest(F.col("x.d")).alias("cluster"), F.array_min("x.d").alias("d2")))
+    return reduce(DataFrame.unionAll, found)
 
 
 def lloyd(df: DataFrame, columns: list[str], runs: list[Run], max_iter: int = 150, tol: float = 1e-5) -> list[Run]:
@@ -99,9 +128,39 @@ def plus_plus(df: DataFrame, id_column: str, columns: list[str], starts: dict[tu
     return [Run(key, np.array(chosen[key])) for key in keys]
 
 
+def oversampled(df: DataFrame, id_column: str, columns: list[str], k: int, seed: int = 42, rounds: int = 5) -> Run:
+    """k starting centers in few passes (k-means||, Bahmani et al. 2012): each round takes rows with a chance of 2 k times
+    their share of all squared distances, about 2 k of them; each candidate counts for the rows nearest to it, and the
+    driver picks k of these few thousand as in `plus_plus`."""
+    coin = lambda nth: (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{nth}:"), F.col(id_column).cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    first = df.agg(F.max_by(_point(columns), F.struct(coin(0), -F.xxhash64(F.col(id_column)))).alias("x")).first()["x"]
+    candidates = np.array([first], float)
+    for nth in range(1, rounds + 1):
+        rows = located(df, columns, candidates)
+        cost = rows.agg(F.sum("d2")).first()[0] or 0.0
+        if cost <= 0:
+            break
+        taken = rows.filter(coin(nth) < F.col("d2") * (2 * k / cost)).select(_point(columns).alias("x")).collect()  # about 2 k
+        candidates = np.unique(np.vstack([candidates, *([r["x"]] for r in taken)]), axis=0)
+    weights = np.zeros(len(candidates))
+    for r in located(df, columns, candidates).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect():
+        weights[r["cluster"]] = r["n"]
+    random, chosen = np.random.default_rng(seed), []
+    d2 = np.ones(len(candidates))
+    for _ in range(min(k, len(candidates))):
+        pull = weights * d2
+        if pull.sum() <= 0:
+            break
+        chosen.append(int(random.choice(len(candidates), p=pull / pull.sum())))
+        own = ((candidates - candidates[chosen[-1]]) ** 2).sum(axis=1)
+        d2 = own if len(chosen) == 1 else np.minimum(d2, own)
+    return Run((k, seed), candidates[chosen])
+
+
 def kmeans(df: DataFrame, id_column: str, columns: list[str], k: int, seed: int = 42, max_iter: int = 150, tol: float = 1e-5) -> Run:
     """One start; the inertia is the last of the history."""
-    run = lloyd(df, columns, plus_plus(df, id_column, columns, {(k, seed): (k, seed)}), max_iter, tol)[0]
+    starts = [oversampled(df, id_column, columns, k, seed)] if k > IN_EXPRESSION else plus_plus(df, id_column, columns, {(k, seed): (k, seed)})
+    run = lloyd(df, columns, starts, max_iter, tol)[0]
     run.inertia = run.history[-1] if run.history else 0.0
     return run
 
@@ -126,6 +185,8 @@ def elbow(df: DataFrame, id_column: str, columns: list[str], ks: range = range(2
 
 def predict(df: DataFrame, columns: list[str], centers: np.ndarray) -> DataFrame:
     """df with cluster (the nearest center, the lowest of equal ones) and d2."""
+    if len(centers) > IN_EXPRESSION:
+        return located(df, columns, centers)
     rows = df.withColumn("_d", squared_distances(columns, centers))
     return rows.withColumn("cluster", nearest(F.col("_d"))).withColumn("d2", F.array_min("_d")).drop("_d")
 

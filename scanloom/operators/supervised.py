@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,13 +36,51 @@ def feature_importance(model, columns: list[str], spark) -> DataFrame:
     return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)], "feature string, importance double").orderBy("importance", "feature")
 
 
+def save_classifier(model, path: str) -> None:
+    """A forest, a logistic model or a kernel machine; its kind lies beside it."""
+    kind = type(model).__name__
+    if kind not in LOADERS:
+        raise ValueError(f"not a classifier of this library: {kind}")
+    model.save(path + "/model") if isinstance(model, FourierSVM) else model.write().overwrite().save(path + "/model")
+    SparkSession.getActiveSession().createDataFrame([(kind,)], "kind string").coalesce(1).write.mode("overwrite").parquet(path + "/kind")
+
+
+def load_classifier(spark: SparkSession, path: str):
+    return LOADERS[spark.read.parquet(path + "/kind").first()["kind"]](spark, path + "/model")
+
+
+def classified(model, df: DataFrame, columns: list[str], name: str = "pred") -> DataFrame:
+    """df with the class that any of the classifiers gives, and confidence, the largest chance."""
+    if isinstance(model, FourierSVM):
+        return model.transform(df, name).withColumn("confidence", F.greatest("p0", "p1")).drop("p0", "p1")
+    out = model.transform(assembled(df, columns))
+    return out.select(*df.columns, F.col("prediction").cast("int").alias(name), F.array_max(vector_to_array("probability")).alias("confidence"))
+
+
 class FourierSVM:
     """A support vector machine with a Gaussian kernel, by random Fourier features: cosines of fixed random projections
     stand for the kernel, a linear machine separates them, and a logistic curve of its margin gives probabilities."""
 
-    def __init__(self, columns: list[str], n_features: int = 64, c: float = 1.0, seed: int = 42, max_iter: int = 25) -> None:
+    def __init__(self, columns: list[str], n_features: int = 128, c: float = 1.0, seed: int = 42, max_iter: int = 100) -> None:
         self.columns, self.n, self.c, self.seed, self.max_iter = columns, n_features, c, seed, max_iter
 
+    def save(self, path: str) -> None:
+        """The projections as a table, the machine and the curve as Spark saves them."""
+        spark = SparkSession.getActiveSession()
+        rows = [(i, w.tolist(), float(b)) for i, (w, b) in enumerate(zip(self.directions, self.shifts, strict=True))]
+        spark.createDataFrame(rows, "i int, direction array<double>, shift double").coalesce(1).write.mode("overwrite").parquet(f"{path}/cosines")
+        spark.createDataFrame(list(enumerate(self.columns)), "i int, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
+        self.machine.write().overwrite().save(f"{path}/machine")
+        self.curve.write().overwrite().save(f"{path}/curve")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FourierSVM:
+        rows = spark.read.parquet(f"{path}/cosines").orderBy("i").collect()  # one for each cosine
+        found = cls([r["name"] for r in spark.read.parquet(f"{path}/columns").orderBy("i").collect()], len(rows))
+        found.directions, found.shifts = np.array([r["direction"] for r in rows]), np.array([r["shift"] for r in rows])
+        found.machine, found.curve = LinearSVCModel.load(f"{path}/machine"), LogisticRegressionModel.load(f"{path}/curve")
+        return found
+
     def _mapped(self, df: DataFrame) -> DataFrame:
         terms: list[Column] = []
         for w, b in zip(self.directions, self.shifts, strict=True):
@@ -73,3 +111,10 @@ class FourierSVM:
         out = self.machine.transform(self._mapped(df)).withColumn("margin", vector_to_array("rawPrediction")[1]).withColumnRenamed("prediction", "side").drop("features", "rawPrediction")
         out = self.curve.transform(assembled(out, ["margin"]))
         return out.select(*df.columns, vector_to_array("probability")[0].alias("p0"), vector_to_array("probability")[1].alias("p1"), F.col("side").cast("int").alias(name))
+
+
+LOADERS = {
+    "RandomForestClassificationModel": lambda spark, path: RandomForestClassificationModel.load(path),
+    "LogisticRegressionModel": lambda spark, path: LogisticRegressionModel.load(path),
+    "FourierSVM": FourierSVM.load,
+}

@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir. A local session without the setting gets its own folder;
-    on a cluster a machine-local one wouldn't be seen by the other machines, so it must be set there."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. A local session without the setting gets its
+    own folder, which goes with the process; on a cluster a machine-local one wouldn't be seen by the other machines, so
+    it must be set there."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local[") and context.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="scanloom-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder, so that lost executors cost no lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -13,25 +13,43 @@ from scanloom.jobs.features import features_f13
 from scanloom.operators.cohort import accepted_uploads
 from scanloom.operators.kmeans import nearest, squared_distances
 from scanloom.operators.scale import EPSILON
+from scanloom.operators.supervised import classified, load_classifier, save_classifier
 from scanloom.sources.images import stream_images, to_gray
-from scanloom.sources.tables import load_model
+from scanloom.sources.tables import load_model, save_model
+
+
+def save_scorer(path: str, scaler: DataFrame, centers: DataFrame, names: list[str], classifier=None) -> None:
+    """scaler, centers and the class name of each cluster as tables; the classifier, whose classes 0, 1, ... have the same
+    names, beside them."""
+    spark = scaler.sparkSession
+    save_model(path, scaler=scaler, centers=centers, names=spark.createDataFrame(list(enumerate(names)), "cluster int, class_name string"), parts=spark.createDataFrame([(classifier is not None,)], "has_classifier boolean"))
+    if classifier is not None:
+        save_classifier(classifier, f"{path}/classifier")
 
 
 def load_scorer(spark: SparkSession, model_dir: str) -> dict:
-    """scaler, centers and class names of clusters, small tables that become literals of the scoring projection."""
-    tables = load_model(spark, model_dir, "scaler", "centers", "names")
+    """scaler, centers and class names of clusters, small tables that become literals of the scoring projection, and the
+    classifier if one was saved."""
+    tables = load_model(spark, model_dir, "scaler", "centers", "names", "parts")
     scaler = {r["feature"]: (r["mu"], r["sigma"]) for r in tables["scaler"].collect()}
     centers = [r["center"] for r in tables["centers"].orderBy("cluster").collect()]
-    return {"scaler": scaler, "centers": np.array(centers, float), "names": [r["class_name"] for r in tables["names"].orderBy("cluster").collect()]}
+    classifier = load_classifier(spark, f"{model_dir}/classifier") if tables["parts"].first()["has_classifier"] else None
+    return {"scaler": scaler, "centers": np.array(centers, float), "names": [r["class_name"] for r in tables["names"].orderBy("cluster").collect()], "classifier": classifier}
 
 
 def scored_features(features: DataFrame, model: dict, columns: tuple[str, ...] = F13) -> DataFrame:
-    """features with cluster_id, predicted_class and probabilities, the likeliest class first."""
+    """features with cluster_id, predicted_class (of the cluster) and probabilities, the likeliest class first; then
+    classifier_pred and confidence, its class and that class's chance (null without a classifier), and the diagnosis."""
     scaled = features.withColumns({c: (F.col(c) - F.lit(float(mu))) / F.lit(float(sigma) + EPSILON) for c, (mu, sigma) in model["scaler"].items()})
     rows = scaled.withColumn("_d", F.transform(squared_distances(list(columns), model["centers"]), lambda x: F.sqrt(x)))
     rows = rows.withColumn("cluster_id", nearest(F.col("_d"))).withColumn("probabilities", probability_table(model["names"], F.col("_d")))
     names = F.array(*[F.lit(n) for n in model["names"]])
-    return rows.withColumn("predicted_class", F.element_at(names, F.col("cluster_id") + 1)).drop("_d", *columns)
+    rows = rows.withColumn("predicted_class", F.element_at(names, F.col("cluster_id") + 1))
+    if model.get("classifier") is not None:
+        rows = classified(model["classifier"], rows, list(columns), "classifier_pred")
+    else:
+        rows = rows.withColumns({"classifier_pred": F.lit(None).cast("int"), "confidence": F.lit(None).cast("double")})
+    return final_diagnosis(rows, model["names"]).drop("_d", *columns)
 
 
 def score_images(images: DataFrame, model: dict, keep: tuple[str, ...] = ("path", "file_name")) -> DataFrame:
@@ -53,6 +71,6 @@ def score_stream(spark: SparkSession, in_dir: str, model_dir: str, out_dir: str,
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 
-def final_diagnosis(df: DataFrame, names: list[str], forest: str = "forest_pred", clusters: str = "cluster_pred") -> DataFrame:
-    """df with diagnosis: the forest's class where there is one, else the cluster's."""
-    return df.withColumn("diagnosis", F.element_at(F.array(*[F.lit(n) for n in names]), F.coalesce(F.col(forest), F.col(clusters)).cast("int") + 1))
+def final_diagnosis(df: DataFrame, names: list[str], classifier: str = "classifier_pred", clusters: str = "cluster_id") -> DataFrame:
+    """df with diagnosis: the classifier's class where there is one, else the cluster's."""
+    return df.withColumn("diagnosis", F.element_at(F.array(*[F.lit(n) for n in names]), F.coalesce(F.col(classifier), F.col(clusters)).cast("int") + 1))

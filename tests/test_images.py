@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import pixels as K
 from scanloom.jobs import features as J
-from scanloom.operators import scale
+from scanloom.operators import scale, supervised
 from scanloom.sources.images import read_images, rejects, to_gray
-from scanloom.sources.tables import load_model, save_model
-from scanloom.streaming.score import load_scorer, score_images, score_stream, unscorable
+from scanloom.sources.tables import load_model
+from scanloom.streaming.score import load_scorer, save_scorer, score_images, score_stream, unscorable
 
 
 def png(path, plane):
@@ -60,22 +60,27 @@ def test_to_gray(spark, folder):
     assert (levels == K.resize(np.array([[76, 29]], np.uint8))).all() and levels[0, 0] > levels[0, 64] > levels[0, -1]
 
 
-def test_scores_of_batch_and_stream_agree(spark, folder, tmp_path):
+@pytest.mark.parametrize("kind", [None, "forest", "logistic"])
+def test_scores_of_batch_and_stream_agree(spark, folder, tmp_path, kind):
     features = J.features_f13(to_gray(read_images(spark, folder)), ("path", "class_name")).cache()
     scaler = scale.fit_zscore(features, list(K.F13))
     scaled = scale.apply_zscore(features, scaler)
     centers = scaled.groupBy("class_name").agg(F.array(*[F.avg(c) for c in K.F13]).alias("center")).orderBy("class_name").collect()
-    tables = spark.createDataFrame([(i, r.center, r.class_name) for i, r in enumerate(centers)], "cluster int, center array<double>, class_name string")
+    names = [r.class_name for r in centers]
+    rows = scaled.withColumn("label", F.array_position(F.array(*map(F.lit, names)), F.col("class_name")).cast("int") - 1)
+    fit = {None: lambda: None, "forest": lambda: supervised.random_forest(rows, list(K.F13), trees=9), "logistic": lambda: supervised.logistic_regression(rows, list(K.F13))}[kind]
     model = str(tmp_path / "model")
-    save_model(model, scaler=scaler, centers=tables.select("cluster", "center"), names=tables.select("cluster", "class_name"))
+    save_scorer(model, scaler, spark.createDataFrame([(i, r.center) for i, r in enumerate(centers)], "cluster int, center array<double>"), names, fit())
     assert load_model(spark, model, "scaler")["scaler"].count() == 13
     batch = score_images(read_images(spark, folder, drop_invalid=False), load_scorer(spark, model))
-    got = {r.file_name: (r.predicted_class, round(r.probabilities[0].value, 6)) for r in batch.collect()}
+    row = lambda r: (r.predicted_class, round(r.probabilities[0].value, 6), r.classifier_pred, r.confidence and round(r.confidence, 6), r.diagnosis)
+    got = {r.file_name: row(r) for r in batch.collect()}
     query = score_stream(spark, folder, model, str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination(120)
-    streamed = {r.file_name: (r.predicted_class, round(r.probabilities[0].value, 6)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == streamed and len(got) >= 4
+    assert got == {r.file_name: row(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} and len(got) >= 4
     assert all(abs(sum(p.value for p in r.probabilities) - 1) < 1e-9 for r in batch.collect())
+    for predicted, _, label, confidence, diagnosis in got.values():
+        assert diagnosis == (predicted if kind is None else names[label]) and (confidence is None) == (kind is None)
     reasons = {r.path.rsplit("/", 1)[1]: r.reason for r in unscorable(read_images(spark, folder, drop_invalid=False), batch).collect()}
     assert reasons["broken.png"] == "not decoded"
 

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scanloom.operators import cohort, evaluate, hierarchy, kmeans, scale, supervised
+from scanloom.operators import cohort, evaluate, hierarchy, kmeans, numbering, scale, supervised
+from scanloom.sources import tables
 from scanloom.sources.tables import checkpointed
 
 COLUMNS = ["a", "b", "c"]
@@ -117,3 +118,65 @@ def test_learners(points):
     for out in (supervised.probabilities(forest, rows, COLUMNS), supervised.probabilities(supervised.logistic_regression(rows, COLUMNS), rows, COLUMNS), supervised.FourierSVM(COLUMNS, 32, max_iter=10).fit(rows).transform(rows)):
         assert evaluate.accuracy(out).first().accuracy > 0.9
     assert supervised.feature_importance(forest, COLUMNS, rows.sparkSession).count() == 3
+
+
+def test_classifiers_are_saved(points, tmp_path, spark):
+    rows = scale.apply_zscore(points, scale.fit_zscore(points, COLUMNS)).withColumn("label", (F.col("label") > 0).cast("int"))
+    models = supervised.random_forest(rows, COLUMNS, trees=5, depth=3), supervised.logistic_regression(rows, COLUMNS), supervised.FourierSVM(COLUMNS, 16, max_iter=10).fit(rows)
+    for i, model in enumerate(models):
+        supervised.save_classifier(model, str(tmp_path / f"{i}"))
+        again = supervised.load_classifier(spark, str(tmp_path / f"{i}"))
+        found = [sorted(map(tuple, supervised.classified(m, rows, COLUMNS).select("id", "pred", "confidence").collect())) for m in (model, again)]
+        assert found[0] == found[1]
+    with pytest.raises(ValueError):
+        supervised.save_classifier(object(), str(tmp_path / "no"))
+
+
+def test_numbers_and_percentiles(spark):
+    random = np.random.default_rng(5)
+    values = [(int(g), float(v)) for g, v in zip(random.integers(0, 3, 400), random.integers(0, 50, 400))]
+    df = spark.createDataFrame([*values, (7, 1.5), (8, None)], "g int, v double").repartition(7)
+    order = [r.v for r in numbering.numbered(df.filter("v is not null"), ["v"], "at").orderBy("at").collect()]
+    assert order == sorted(v for _, v in [*values, (7, 1.5)])
+    found = {r.g: (r.low, r.high) for r in numbering.percentiles(df, "g", "v", {"low": 0.01, "high": 0.82}).collect()}
+    for g in range(3):
+        assert found[g] == pytest.approx(tuple(np.percentile([v for x, v in values if x == g], (1, 82))))
+    assert found[7] == (1.5, 1.5) and 8 not in found
+
+
+def test_many_centers(points, monkeypatch):
+    """A broadcast matrix gives what literals give, and oversampled starts are rows of the table."""
+    monkeypatch.setattr(kmeans, "IN_EXPRESSION", 2)
+    x = plain(points)
+    run = kmeans.kmeans(points, "id", COLUMNS, 3)
+    assert evaluate.align_clusters(evaluate.contingency(kmeans.predict(points, COLUMNS, run.centers)), 3)[1] == 1.0
+    start = kmeans.oversampled(points, "id", COLUMNS, 8)
+    assert all((np.abs(x - c).sum(axis=1) < 1e-12).any() for c in start.centers) and len(start.centers) == 8
+    located = {r.id: (r.cluster, r.d2) for r in kmeans.located(points, COLUMNS, start.centers).collect()}
+    monkeypatch.setattr(kmeans, "IN_EXPRESSION", 50)
+    for r in kmeans.predict(points, COLUMNS, start.centers).collect():
+        assert located[r.id] == (r.cluster, pytest.approx(r.d2))
+    assert kmeans.oversampled(points, "id", COLUMNS, 500).centers.shape[0] <= 36
+
+
+def test_too_many_points_are_refused(points, monkeypatch):
+    numbered = checkpointed(hierarchy.numbered_points(points, "id", COLUMNS))
+    monkeypatch.setattr(hierarchy, "MOST_POINTS", 9)
+    monkeypatch.setattr(hierarchy, "MOST_LINKED", 9)
+    monkeypatch.setattr(evaluate, "MOST_ROWS", 9)
+    for refused in (lambda: hierarchy.ward(numbered), lambda: hierarchy.linkage(numbered), lambda: evaluate.silhouette(points, "id", COLUMNS, "label")):
+        with pytest.raises(ValueError):
+            refused()
+
+
+def test_tables_are_written_and_read(points, tmp_path, spark):
+    for kind in ("parquet", "json"):
+        tables.write_feature_table(points, str(tmp_path / kind), kind)
+        assert tables.read_feature_table(spark, str(tmp_path / kind), kind).count() == 36
+    (tmp_path / "rows.json").write_text('{"rows": [{"index": 1, "mean": 0.5}, {"index": 2, "mean": 0.25}]}')
+    assert [r["mean"] for r in tables.read_feature_table(spark, str(tmp_path / "rows.json"), "rows").orderBy("index").collect()] == [0.5, 0.25]
+    counts = spark.createDataFrame([(0, "a", 3), (1, "b", 2), (1, "a", 1)], "cluster int, label string, n long")
+    cards = evaluate.cluster_cards(counts, spark.createDataFrame([(0, "a"), (1, "b")], "class_id int, class_name string"))
+    tables.write_cluster_summary(cards, "largest gap", str(tmp_path / "summary"))
+    row = spark.read.json(str(tmp_path / "summary")).first()
+    assert (row.cluster_count, row.purity_percent, len(row.cluster_cards)) == (2, 83.33, 2)
