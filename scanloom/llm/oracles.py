@@ -76,5 +76,64 @@ from texts t left join said using (doc_id)
 """
 
 
+def either_case(words: str) -> str:
+    """A pattern in which each letter, but not those behind a backslash, stands for both of its cases."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
+#: By kind: the pattern, and a condition on a match m.
+ASSIGN = f"({either_case('password|passwd|secret|token|api_?key')})[\"'']? *[:=] *[\"'']?([A-Za-z0-9+/_.=-]+)"
+SECRETS = (
+    ("assign", ASSIGN, f"length(regexp_extract(m, '{ASSIGN}', 2)) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"),
+    ("hex", "[0-9a-f]+", "length(m) >= 24"),
+    ("github", "gh[oprsu]_[A-Za-z0-9]{36,}", "true"),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", "true"),
+    ("stripe", "[rs]k_live_[A-Za-z0-9]{16,}", "true"),
+    ("google", "AIza[A-Za-z0-9_-]{35}", "true"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true"),
+    ("key_block", "-----BEGIN ([A-Z]+ )?PRIVATE KEY-----", "true"),
+)
+
+
+def secret_spans() -> str:
+    kinds = [
+        f"""
+select doc_id, {place} as place, '{kind}' as kind, start, start + length(m) as stop from (
+  select doc_id, ms[i] as m, (list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::bigint as start
+  from (select doc_id, ms, gs, unnest(range(1, len(ms) + 1)) as i from (select doc_id, regexp_extract_all(text, '{pattern}') as ms, string_split_regex(text, '{pattern}') as gs from texts))
+) where {condition}"""
+        for place, (kind, pattern, condition) in enumerate(SECRETS)
+    ]
+    return f"""
+with texts as (select doc_id, coalesce(text, '') as text from documents),
+spans as ({' union all '.join(kinds)}),
+said as (
+  select doc_id, count(*) filter (where place = 0) as a, count(*) filter (where place = 1) as k, count(*) filter (where place = 2) as h,
+         string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, place) filter (where place < 3) as base,
+         string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, place) as every
+  from spans group by doc_id
+)
+select t.doc_id, coalesce(a, 0) as n_assign, coalesce(k, 0) as n_access, coalesce(h, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(every, '') as spans
+from texts t left join said using (doc_id)
+"""
+
+
+#: Sources by weight, filled up to their caps: a source is capped once an equal share per weight exceeds its cap.
+TARGETS = r"""
+with recursive sized as (select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> ''))::bigint as size from documents),
+sources as (select source, sum(size)::bigint as source_size, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight from sized group by 1),
+levels(step, level, before) as (
+  select 0, (select sum(source_size) / sum(weight) from sources)::double, -1::double
+  union all
+  select step + 1, (select (sum(source_size) - coalesce(sum(3 * source_size) filter (where 3 * source_size / weight < level), 0)) / coalesce(nullif(sum(weight) - coalesce(sum(weight) filter (where 3 * source_size / weight < level), 0), 0), 1) from sources), level
+  from levels where level <> before
+),
+last as (select max(level) as level from levels)
+select d.doc_id, d.size, s.source_size, round(case when 3 * s.source_size / s.weight < level then 3 * s.source_size else s.weight * level end, 4)::double as target
+from sized d join sources s on s.source is not distinct from d.source, last
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": TOPK, "op9_exact_dedup": EXACT_DEDUP, "op10_pii": personal_data()}
+    return {"op2_topk": TOPK, "op8_secrets": secret_spans(), "op9_exact_dedup": EXACT_DEDUP, "op10_pii": personal_data(), "mixing_targets": TARGETS}

@@ -26,6 +26,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3_mixing that SQL can say: the sizes and targets, without what the mix takes."""
+    return op3_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = read_table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"), good)
@@ -90,4 +95,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_pii": op10_pii,
+        "mixing_targets": mixing_targets,
     }
