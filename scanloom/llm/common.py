@@ -51,9 +51,12 @@ PART_BYTES = 8 << 20
 
 
 def small_parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Batches in parts whose texts, in the given column, have about PART_BYTES: Spark bounds a batch, but by far more."""
+    """Batches in parts whose texts, or lists of 8-byte numbers, in the given column have about PART_BYTES: Spark bounds
+    a batch, but by far more."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        values = batch.column(column)
+        sizes = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+        sizes = pc.fill_null(sizes, 0).to_numpy() * (8 if pa.types.is_list(values.type) else 1)
         start, size = 0, 0
         for nth, own in enumerate(sizes.tolist()):
             if nth > start and size + own > PART_BYTES:

@@ -154,7 +154,7 @@ def _equal_rows(docs: DataFrame, id_column: str, text_column: str, source_column
     """id, source, size and h, a hash of the text, of each row, and nth, its number among rows that are equal in these.
     Equal rows are counted, and numbered by what their count unfolds to, not by sorting them."""
     rows = docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), _size(text_column).alias("size"), F.xxhash64(text_column).alias("h"))
-    counts = rows.groupBy("id", "source", "size", "h").agg(F.count(F.lit(1)).alias("n"))
+    counts = checkpointed(rows.groupBy("id", "source", "size", "h").agg(F.count(F.lit(1)).alias("n")))
     # those of a very frequent row in several tasks
     some = counts.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(EQUAL_ROWS))))
     if not counts.filter(F.col("n") > EQUAL_ROWS).isEmpty():
