@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from scanloom.llm import char_lm, exact_dedup, langid, mixing, piece_codec, secrets, simhash, topk, toxicity
 from scanloom.llm.components import components
 from scanloom.llm.queries import piece_model, queries
+from test_near_dedup import kept_by_brute_force
 
 
 @pytest.fixture(scope="module")
@@ -254,10 +255,8 @@ def test_pipeline(spark, sf, rows):
     first = {}
     for r in sorted(known, key=lambda r: r.doc_id):
         first.setdefault(re.sub(r"[ \t-\r]+", " ", r.text), r)
-    prints = {r.doc_id: fingerprint(r.text) for r in first.values()}
-    roots, kept = linked(set(prints.values())), {}
-    for r in sorted(first.values(), key=lambda r: r.doc_id):
-        kept.setdefault(roots[prints[r.doc_id]], r)
+    stay = kept_by_brute_force({r.doc_id: r.text for r in first.values()})
+    kept = {r.doc_id: r for r in first.values() if r.doc_id in stay}
     texts = {r.doc_id: r for r in kept.values()}
     times = Counter(r.doc_id for r in out)
     assert set(times) <= set(texts) and max(times.values()) <= 3
