@@ -95,3 +95,39 @@ def test_recall_of_hidden_words():
     chosen, kinds = generator.sample(words, 400), ("signs", "repeated", "blanks", "dots", "dashes")
     found = {k: np.mean([w in words_of(f"and {hidden(w, k, generator)} then", reader) for w in chosen]) for k in kinds}
     assert min(found.values()) >= 0.9, found
+
+
+def test_score_is_the_best_of_all_readings(reader):
+    chances = {"loser": 0.9, "idio~": 0.8, "moron": 0.75, "nice": 0.1}
+    scorer = toxicity.Scorer(reader, chances)
+    for text in ("A l00ser, such", "m 0 r o n today", "1d!otic weather, nice", "nice", "", "plain words", "x (i d i o t s) loooser"):
+        words = {w for _, ws in reader.pieces(text.lower()) for w in ws}
+        best = max(((chances[f], f) for w in words for f in toxicity.features_of(w) if f in chances), default=(0.0, ""))
+        assert scorer.score(text) == best == scorer.score(text)
+
+
+def test_lexicon_against_plain_counts(spark, reader):
+    """The chance of each feature from sets of documents, and of the words before it, counted in plain Python."""
+    generator, fit = random.Random(9), toxicity.Fit(prior=1e-3)
+    vocabulary = ["nice", "weather", "today", "such", "blarg", "snork", "l0ser", "worthless", "worthwhile"]
+    rows = [(i, " ".join(generator.choice(vocabulary[:4] + (vocabulary[4:] if i % 3 == 0 else vocabulary[7:])) for _ in range(9))) for i in range(300)]
+    labels = [(i, int(i % 3 == 0)) for i, _ in rows] + [(3, 0), (None, 1), (5, None)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    found = toxicity.learn_lexicon(docs, spark.createDataFrame(labels, "id long, toxic int"), "key", spark.sparkContext.broadcast(reader.losses), fit)
+    toxic, clean, places = {}, {}, {}
+    for i, text in rows:
+        before = ""
+        for word in (w for _, ws in reader.pieces(text) for w in ws):
+            for f in toxicity.features_of(word):
+                (toxic if i % 3 == 0 else clean).setdefault(f, set()).add(i)
+                if i % 3 == 0:
+                    places.setdefault(f, set()).add(toxicity.crc32((word if f.endswith("~") else before).encode()) & 63)
+            before = word
+    base, expected = 100 / 300, {}
+    for f, ids in toxic.items():
+        n = len(places[f])
+        contexts = -64 * np.log(1 - n / 64) if n < 64 else len(ids)
+        evidence = min(len(ids), contexts) * np.log(fit.pure / base) + len(clean.get(f, ())) * np.log((1 - fit.pure) / (1 - base)) + np.log(fit.prior / (1 - fit.prior))
+        if (chance := 1 / (1 + np.exp(-evidence))) >= fit.least:
+            expected[f] = chance
+    assert found == pytest.approx(expected) and {"blarg", "snork", "loser"} <= set(found) and "nice" not in found
