@@ -184,7 +184,8 @@ def border_compactness(mask: np.ndarray) -> np.ndarray:
 
 
 def weighted_perimeter(mask: np.ndarray) -> np.ndarray:
-    """Border pixels weighted by how they meet their neighbours: straight 1, diagonal sqrt 2, corners the mean of both."""
+    """Border pixels weighted by how they meet their neighbours: straight 1, diagonal sqrt 2, corners the mean of both
+    (the perimeter estimator of Benkrid and Crookes 2000)."""
     border = (mask & ~_cross_eroded(mask)).astype(int)
     code = sum({0: 1, 1: 2, 2: 10}[abs(dy) + abs(dx)] * m for dy, dx, m in _shifts(border, 1, "constant"))
     weights = np.zeros(50)
@@ -267,7 +268,8 @@ def _over_disk(x: np.ndarray, radius: int, mode: str, reduce) -> np.ndarray:
 
 
 def chan_vese(x: np.ndarray, mu: float = 0.2, tol: float = 1e-3, max_iter: int = 200, dt: float = 0.5) -> np.ndarray:
-    """Two-region level sets without edges, all images at once; an image stops when its level set moves less than tol."""
+    """Two-region level sets without edges (Chan and Vese 2001, in the semi-implicit scheme of Getreuer 2012), all images
+    at once; an image stops when its level set moves less than tol."""
     _, h, w = x.shape
     rows, columns = np.mgrid[:h, :w]
     level = np.broadcast_to(np.sin(np.pi / 5 * rows) * np.sin(np.pi / 5 * columns), x.shape).copy()
@@ -342,7 +344,7 @@ def features_d10(x: np.ndarray) -> np.ndarray:
 
 
 def brain_mask(x: np.ndarray) -> np.ndarray:
-    """Tissue and what it encloses, eroded 6 times, or 3 if little is left: background is what reaches the border."""
+    """Tissue that isn't background (what reaches the border), eroded 6 times, or 3 if little is left."""
     tissue = x > 0.10
     framed = np.pad(~tissue, ((0, 0), (1, 1), (1, 1)), constant_values=True)
     labels = component_labels(framed)
