@@ -19,7 +19,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -205,11 +204,12 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_column: str =
     """docs with lang_pred and score in front; all columns of docs stay, in a struct `row`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         for texts in batches:
             names, scores = [], []
             for text in texts:
+                text = text.as_py()
                 counts = counts_of(text) if text and own.languages else None
                 if counts is None:
                     names.append(UNKNOWN)
@@ -219,9 +219,9 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_column: str =
                 chances = _softmax((values @ own.weights[at] + own.bias) / own.temperature)
                 names.append(own.languages[int(chances.argmax())])
                 scores.append(float(chances.max()))
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    return docs.select(F.struct(*docs.columns).alias("row"), F.pandas_udf(predicted, "lang_pred string, score double")(F.col(text_column)).alias("p")).select("row", "p.lang_pred", "p.score")
+    return docs.select(F.struct(*docs.columns).alias("row"), F.arrow_udf(predicted, "lang_pred string, score double")(F.col(text_column)).alias("p")).select("row", "p.lang_pred", "p.score")
 
 
 def held_out(id_column: str, folds: int = 5, fold: int = 0) -> Column:

@@ -27,7 +27,7 @@ empty mix; all sizes zero give targets of zero; other columns may have any name.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,12 +138,12 @@ def _dealt(plan: DataFrame, shards: int, seed: int) -> DataFrame:
     names = sorted(sums)
     quotas = dict(zip(names, shard_quotas([sums[g] for g in names], shards, seed).tolist(), strict=True))
 
-    def split(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("s", na_position="last")
-        ends = np.cumsum(split_quotas(rows["draws"].tolist(), quotas[key[0]], [seed, int(key[0])]), axis=1)
-        return pd.DataFrame({"n": rows["s"], "ends": list(ends)})
+    def split(rows: pa.Table) -> pa.Table:
+        rows, g = rows.sort_by("s"), rows.column("g")[0].as_py()  # nulls last
+        ends = np.cumsum(split_quotas(rows.column("draws").to_pylist(), quotas[g], [seed, g]), axis=1)
+        return pa.table([rows.column("s"), pa.array(list(ends), pa.list_(pa.int64()))], ["n", "ends"])
 
-    return checkpointed(grouped.groupBy("g").applyInPandas(split, f"n {kind}, ends array<long>"))
+    return checkpointed(grouped.groupBy("g").applyInArrow(split, f"n {kind}, ends array<long>"))
 
 
 def _size(text_column: str) -> Column:

@@ -39,13 +39,13 @@ SEPARATOR = "▁"
 #: Longer runs are encoded one by one.
 LONG_RUN = 48
 #: Bytes of the runs that a worker remembers, about, and runs it encodes together.
-REMEMBERED_BYTES, TOGETHER = 48 << 20, 50_000
+REMEMBERED_BYTES, TOGETHER = 24 << 20, 20_000
 #: Bytes that a remembered run takes besides its characters and ids.
 OVERHEAD = 200
 #: Pairs of tokens of long runs whose test is remembered, and ends of prefixes that are matched together.
 FOLLOWERS, MATCHED = 200_000, 1 << 16
 #: Pairs of tokens whose test is remembered, as a power of two.
-TESTED_BITS = 21
+TESTED_BITS = 20
 NEVER = -(1 << 30)
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,10 +48,10 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(counts * 2 > n).view(">i8")[0])
 
 
-@F.pandas_udf(LongType())
-def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(LongType())
+def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        yield pd.Series([fingerprint(t) for t in texts], dtype="int64")
+        yield pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())
 
 
 def _distance(a: str, b: str) -> Column:
