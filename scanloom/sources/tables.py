@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,51 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class LoopTables:
+    """Tables that a loop writes anew each round, as Parquet in the shared folder.
+
+    A checkpoint keeps the optimizer's estimate of the plan it replaces, and joins multiply estimates: over the rounds of
+    a loop these numbers grow to millions of digits. A table that is read back has the size of its files.
+
+    As a context it drops what is left when the loop ends, so a result must be a checkpoint by then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.written = spark, f"{shared_folder(spark)}/loop-{uuid.uuid4().hex}", {}
+
+    def __enter__(self) -> LoopTables:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        remove_folder(self.spark, self.folder)
+
+    def _write(self, name: str, df: DataFrame) -> tuple[str, DataFrame]:
+        nth = self.written.get(name, 0)
+        self.written[name] = nth + 1
+        path = f"{self.folder}/{name}/{nth}"
+        df.write.parquet(path)
+        return path, self.spark.read.schema(df.schema).parquet(path)
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """df as the next generation of name. The one before it stays, for plans of this round; that before goes."""
+        _, found = self._write(name, df)
+        if (old := self.written[name] - 3) >= 0:
+            remove_folder(self.spark, f"{self.folder}/{name}/{old}")
+        return found
+
+    def add(self, name: str, df: DataFrame) -> DataFrame:
+        """df, as one more part of name; `all` gives the parts together."""
+        return self._write(name, df)[1]
+
+    def all(self, name: str, schema: str) -> DataFrame:
+        paths = [f"{self.folder}/{name}/{i}" for i in range(self.written.get(name, 0))]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+
 def write_feature_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     df.write.mode("overwrite").format(kind).save(path)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scanloom.operators import cohort, evaluate, hierarchy, kmeans, numbering, scale, supervised
+from scanloom.operators import cohort, evaluate, hierarchy, kmeans, numbering, scale, spatial, supervised
 from scanloom.sources import tables
 from scanloom.sources.tables import checkpointed
 
@@ -43,7 +43,7 @@ def greedy(x, method):
 
 
 @pytest.mark.parametrize("few", [0, 512])
-@pytest.mark.parametrize("method", ["ward", "average"])
+@pytest.mark.parametrize("method", ["ward", "average", "single", "complete"])
 def test_trees(points, method, few):
     some = points.filter("id % 4 = 0")
     numbered = checkpointed(hierarchy.numbered_points(some, "id", COLUMNS))
@@ -161,10 +161,11 @@ def test_many_centers(points, monkeypatch):
 
 def test_too_many_points_are_refused(points, monkeypatch):
     numbered = checkpointed(hierarchy.numbered_points(points, "id", COLUMNS))
-    monkeypatch.setattr(hierarchy, "MOST_POINTS", 9)
+    monkeypatch.setattr(spatial, "MOST_BLOCKS", 2)
+    monkeypatch.setattr(spatial, "BLOCK", 4)
     monkeypatch.setattr(hierarchy, "MOST_LINKED", 9)
     monkeypatch.setattr(evaluate, "MOST_ROWS", 9)
-    for refused in (lambda: hierarchy.ward(numbered), lambda: hierarchy.linkage(numbered), lambda: evaluate.silhouette(points, "id", COLUMNS, "label")):
+    for refused in (lambda: hierarchy.ward(numbered, 2), lambda: hierarchy.linkage(numbered), lambda: evaluate.silhouette(points, "id", COLUMNS, "label")):
         with pytest.raises(ValueError):
             refused()
 
