@@ -135,5 +135,60 @@ from sized d join sources s on s.source is not distinct from d.source, last
 """
 
 
+SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: All windows of items against all runs of as many words of documents.
+DECONTAMINATION = rf"""
+with words as (select row_number() over () as r, doc_id, regexp_extract_all({SMALL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (select coalesce(item_id::varchar, '') as item, regexp_extract_all({SMALL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+windows as (
+  select distinct item, least(len(w), 10) as l, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as t
+  from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from items where len(w) > 0)
+),
+places as (select r, i, l, array_to_string(w[i:i + l - 1], ' ') as t from (select r, w, l, unnest(range(1, len(w) - l + 2)) as i from words, (select distinct l from windows) where len(w) >= l)),
+found as (select r, i, l, item from places join windows using (l, t)),
+hits as (select r, count(*) as n from (select distinct r, unnest(range(i, i + l)) as p from found) group by r),
+named as (select r, count(*) as n, string_agg(item, ',' order by item) as names from (select distinct r, item from found) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(h.n, 0)::bigint as n_hit, coalesce(m.n, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated
+from words left join hits h using (r) left join named m using (r)
+"""
+
+
+#: All kept terms in all pairs of a language's sources.
+DIVERGENCE = rf"""
+with docs as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({SMALL}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+tokens as (select r, lang, source, unnest(w) as term from docs),
+kept as (select lang, term, count(*)::hugeint as n from tokens group by 1, 2 having count(distinct r) >= 3),
+sizes as (select lang, count(*)::hugeint as v, sum(n)::hugeint as n from kept group by 1),
+groups as (select lang, source from docs group by 1, 2),
+counts as (select lang, source, term, count(*)::hugeint as n from tokens semi join kept using (lang, term) group by 1, 2, 3),
+totals as (select lang, source, coalesce(sum(n), 0)::hugeint as total from groups left join counts using (lang, source) group by 1, 2),
+shares as (
+  select t.lang, t.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (total + v) as p, 1 + 1000000000 * (k.n + 1) // (z.n + v) as q
+  from totals t join kept k on t.lang = k.lang join sizes z on z.lang = t.lang left join counts c on c.lang = t.lang and c.source = t.source and c.term = k.term
+),
+sums as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from groups a join groups b on a.lang = b.lang and a.source <> b.source left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, (p - q) * (p - q) // q as value from shares where n > 0 and p > q)
+select lang, source, part, item, value::bigint as value, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+from (select * from pairs union all select * from terms) qualify part = 'pair' or rank <= 200
+"""
+
+
+HARD_NEGATIVES = """
+with vectors as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double))::double[] as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+scores as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_inner_product(a.v, c.v)::bigint as score from vectors a join vectors c on a.vec_id % 100 = 0 and a.vec_id <> c.vec_id),
+positives as (select anchor_id, vec_id as positive_id, score as positive_score from scores where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::int as rank, vec_id as negative_id, positive_score, score as negative_score
+from positives join scores using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": TOPK, "op8_secrets": secret_spans(), "op9_exact_dedup": EXACT_DEDUP, "op10_pii": personal_data(), "mixing_targets": TARGETS}
+    return {"op2_topk": TOPK, "op8_secrets": secret_spans(), "op9_exact_dedup": EXACT_DEDUP, "op10_pii": personal_data(), "op11_decontamination": DECONTAMINATION, "op12_divergence": DIVERGENCE, "op13_hard_negatives": HARD_NEGATIVES, "mixing_targets": TARGETS}
