@@ -5,7 +5,10 @@ source can't take goes to the others by weight. Each source's documents are put
 seed and id, and cut into blocks of about `block_words` words. A source is taken whole as often as its target holds it
 and then up to the target along that order. The gap that a document leaves which doesn't fit is filled with those that
 do, further along the order, or with the largest if that is a quarter of the gap, until none fits; so each round leaves
-three quarters of the gap at most. Then the nearest is taken if that makes the gap smaller.
+three quarters of the gap at most. A source that then lacks more than a part in NEAR of its target goes on with
+documents that it has taken before, each at most `cap` times. Then the nearest is taken if that makes the gap smaller.
+A source with at most SMALL_SOURCE documents takes those, each at most `cap` times, whose sizes come nearest to its target,
+by the sums that can be reached, with few repeats.
 
 So each source has an exact number of block draws. A splitting tree deals them to output shards: the root holds the
 draws of all sources, each node draws its left half's share of them from a multivariate hypergeometric distribution,
@@ -26,12 +29,15 @@ empty mix; all sizes zero give targets of zero; other columns may have any name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.llm.common import WORD, checkpointed, require, shuffle_partitions, text_or_empty
+from scanloom.sources.tables import LoopTables
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, 42
 BLOCK_WORDS, SHARDS, BUCKET_ROWS = 4096, 16, 4096
@@ -43,6 +49,10 @@ GROUPS = 1024
 NUMPY_BOUND = 1_000_000_000
 #: Equal rows that one row stands for before they are dealt out, and standard deviations that a draw is looked for in.
 EQUAL_ROWS, DEVIATIONS = 100_000, 12
+#: Sources of so few documents have the best choice of all; others are near when they lack less than a part in NEAR.
+SMALL_SOURCE, NEAR = 64, 1000
+#: Sums of sizes that the best choice tells apart.
+STEPS = 1 << 20
 
 
 def _key(seed: int, *columns: str) -> Column:
@@ -162,6 +172,84 @@ def _equal_rows(docs: DataFrame, id_column: str, text_column: str, source_column
     return some.withColumn("nth", F.explode(F.sequence(F.col("from") + 1, F.least("n", F.col("from") + EQUAL_ROWS)))).drop("n", "from")
 
 
+def _filled(kept: LoopTables, placed: DataFrame, plan: DataFrame, spread: Callable, same: Column, cap: int) -> tuple[DataFrame, DataFrame]:
+    """What sources still lack after the part along their order: further along it those documents that fit, again and again
+    until none does. First documents that this pass hasn't taken; then, while a source lacks more than a part in NEAR of
+    its target, any that have been drawn less than cap times. Gives the plan, with what is left of the gaps, and where
+    documents are drawn: n, at_bucket, at_place and more_start, a row for each draw. Small sources aren't filled here."""
+    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    columns, kinds = ("source", "bucket", "place", "size"), dict(placed.dtypes)
+    schema = f"n {kinds['source']}, at_bucket {kinds['bucket']}, at_place {kinds['place']}, more_start bigint"
+    free, again = placed.filter(~F.col("first") & ~F.col("small") & (F.col("size") > 0)).select(*columns), 0
+    while True:
+        free = kept.put("free", free.join(spread(plan.select("s", "gap", "more_words")), same).filter("size <= gap").drop("s", "b"))
+        largest = kept.put("largest", free.groupBy(F.col("source").alias("s")).agg(F.min(F.struct((-F.col("size")).alias("less"), "bucket", "place")).alias("largest")))
+        if largest.isEmpty():
+            again += 1
+            lacking = plan.filter((F.col("gap") * NEAR > F.col("target")) & ~F.col("small") & (F.col("passes") + 1 < cap)).select("s", F.col("gap").alias("lacks"))
+            if again >= cap or lacking.isEmpty():
+                return plan, kept.all("further", schema)
+            times = kept.all("further", schema).groupBy("n", "at_bucket", "at_place").agg(F.count(F.lit(1)).alias("times"))
+            there = F.col("source").eqNullSafe(F.col("n")) & (F.col("bucket") == F.col("at_bucket")) & (F.col("place") == F.col("at_place"))
+            open_rows = placed.filter(F.col("size") > 0).join(spread(lacking), same).filter("size <= lacks").drop("s", "b").join(times, there, "left")
+            free = open_rows.filter(F.col("passes") + F.col("first").cast("int") + F.coalesce("times", F.lit(0)) < cap).select(*columns)
+            continue
+        free = free.join(spread(largest), same).withColumn("alone", F.col("gap") <= -4 * F.col("largest.less")).drop("s", "b")
+        free = kept.put("marked", free.withColumn("is_largest", (F.col("bucket") == F.col("largest.bucket")) & (F.col("place") == F.col("largest.place"))).drop("largest"))
+        ahead = free.groupBy("source", "bucket").agg(F.sum("size").alias("words")).withColumn("ahead", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+        ahead = ahead.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "ahead")
+        free = free.join(ahead, same).drop("s", "b")
+        along = Window.partitionBy("source", "bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+        is_near = F.col("is_largest") | (~F.col("alone") & (F.col("ahead") < F.col("gap")))
+        near = free.filter(is_near).withColumn("ahead", F.when(F.col("alone"), 0).otherwise(F.col("ahead") + F.sum("size").over(along) - F.col("size")))
+        near = kept.put("near", near.withColumn("fits", F.col("alone") | (F.col("ahead") + F.col("size") <= F.col("gap"))))
+        found = near.filter("fits")
+        kept.add("further", found.select(F.col("source").alias("n"), F.col("bucket").alias("at_bucket"), F.col("place").alias("at_place"), (F.col("more_words") + F.col("ahead")).alias("more_start")))
+        words = found.groupBy(F.col("source").alias("n")).agg(F.sum("size").alias("x"))
+        plan = plan.join(words, F.col("s").eqNullSafe(F.col("n")), "left").withColumn("gap", F.col("gap") - F.coalesce("x", F.lit(0))).withColumn("more_words", F.col("more_words") + F.coalesce("x", F.lit(0))).drop("n", "x")
+        plan = kept.put("plan", plan)
+        free = free.filter(~is_near).select(*columns).unionAll(near.filter("not fits").select(*columns))
+
+
+def best_draws(sizes: list[int], rest: int, most: int) -> list[int]:
+    """How often each document, at most `most` times, is drawn so that their sizes come nearest to rest: of equally near
+    sums the smaller, with few repeats and along the order. Sums beyond STEPS are counted in larger units, so they are off
+    by a part in STEPS for each document at most."""
+    unit = -(-max(rest, 1) // STEPS)
+    goal, whole = round(rest / unit), [round(x / unit) for x in sizes]
+    room = (1 << (2 * goal + 1)) - 1  # what is farther off than nothing at all needs no look
+    turns = [i for _ in range(most) for i, x in enumerate(whole) if 0 < x <= 2 * goal]
+    reached = [1]
+    for i in turns:
+        reached.append((reached[-1] | reached[-1] << whole[i]) & room)
+    last = reached[-1]
+    below = (last & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    above = last >> (goal + 1)
+    total = goal + 1 + ((above & -above).bit_length() - 1) if above and (above & -above).bit_length() < goal - below else below
+    draws = [0] * len(sizes)
+    for nth in range(len(turns), 0, -1):
+        if not reached[nth - 1] >> total & 1:
+            total -= whole[turns[nth - 1]]
+            draws[turns[nth - 1]] += 1
+    return draws
+
+
+def _best_of_small(rows: DataFrame, cap: int) -> DataFrame:
+    """rows: those of sources of SMALL_SOURCE documents at most. n (the source) and picks, the places of the documents that
+    are drawn, as often as they are."""
+
+    def pick(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("bucket", "ascending"), ("place", "ascending")])
+        rest = rows.column("rest")[0].as_py()
+        draws = best_draws(rows.column("size").to_pylist(), rest, cap) if rest else [0] * rows.num_rows
+        places = zip(rows.column("bucket").to_pylist(), rows.column("place").to_pylist(), draws, strict=True)
+        picks = [{"bucket": b, "place": p} for b, p, n in places for _ in range(n)]
+        return pa.table([rows.column("source").slice(0, 1), pa.array([picks], pa.list_(pa.struct([("bucket", pa.int64()), ("place", pa.int32())])))], ["n", "picks"])
+
+    kinds = dict(rows.dtypes)
+    return rows.select("source", "bucket", "place", "size", "rest").groupBy("source").applyInArrow(pick, f"n {kinds['source']}, picks array<struct<bucket: bigint, place: int>>")
+
+
 def _mix(docs: DataFrame, id_column: str, text_column: str, source_column: str, weights: tuple[int, ...], cap: int, seed: int, shards: int, block_words: int) -> DataFrame:
     """id, source, size, h, nth, source_size, target and shards of each row of docs."""
     rows = _equal_rows(docs, id_column, text_column, source_column)
@@ -184,46 +272,28 @@ def _mix(docs: DataFrame, id_column: str, text_column: str, source_column: str,
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))
     buckets = offsets.select(F.col("s").alias("of"), "b")
     spread = lambda of_source: buckets.join(of_source, F.col("of").eqNullSafe(F.col("s"))).drop("of")
-    sums = placed.groupBy("source").agg(F.first("rest").alias("rest"), F.first("passes").alias("passes"), F.max("block").alias("last_block"), F.sum(F.when(F.col("first"), F.col("size"))).alias("had"), F.max(F.when(F.col("first"), F.col("block"))).alias("last_first"))
+    counts = placed.groupBy(F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    small = checkpointed(counts.filter(F.col("n") <= SMALL_SOURCE).select("s"))
+    is_small = spread(small.withColumn("small", F.lit(True)))
+    placed = checkpointed(placed.join(is_small, same, "left").drop("s", "b").withColumn("small", F.coalesce("small", F.lit(False))).withColumn("first", F.col("first") & ~F.col("small")))
+    placed = placed.withColumns({"passes": F.when(F.col("small"), 0).otherwise(F.col("passes")), "rest": F.when(F.col("small"), F.floor("target")).otherwise(F.col("rest"))})
+    sums = placed.groupBy("source").agg(F.first("rest").alias("rest"), F.first("passes").alias("passes"), F.first("target").alias("target"), F.first("small").alias("small"), F.max("block").alias("last_block"), F.sum(F.when(F.col("first"), F.col("size"))).alias("had"), F.max(F.when(F.col("first"), F.col("block"))).alias("last_first"))
     plan = sums.withColumn("gap", F.col("rest") - F.coalesce("had", F.lit(0))).withColumn("more_words", F.lit(0).cast("long")).withColumnRenamed("source", "s")
-    plan = checkpointed(plan)
-
-    # what a source still lacks: further along the order those that fit, again and again until none does
-    free, further = placed.filter(~F.col("first") & (F.col("size") > 0)).select("source", "bucket", "place", "size"), None
-    while True:
-        free = checkpointed(free.join(spread(plan.select("s", "gap", "more_words")), same).filter("size <= gap").drop("s", "b"))
-        largest = checkpointed(free.groupBy(F.col("source").alias("s")).agg(F.min(F.struct((-F.col("size")).alias("less"), "bucket", "place")).alias("largest")))
-        if largest.isEmpty():
-            break
-        free = free.join(spread(largest), same).withColumn("alone", F.col("gap") <= -4 * F.col("largest.less")).drop("s", "b")
-        free = checkpointed(free.withColumn("is_largest", (F.col("bucket") == F.col("largest.bucket")) & (F.col("place") == F.col("largest.place"))).drop("largest"))
-        ahead = free.groupBy("source", "bucket").agg(F.sum("size").alias("words")).withColumn("ahead", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
-        ahead = ahead.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "ahead")
-        free = checkpointed(free.join(ahead, same).drop("s", "b"))
-        along = Window.partitionBy("source", "bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-        is_near = F.col("is_largest") | (~F.col("alone") & (F.col("ahead") < F.col("gap")))
-        near = free.filter(is_near).withColumn("ahead", F.when(F.col("alone"), 0).otherwise(F.col("ahead") + F.sum("size").over(along) - F.col("size")))
-        near = checkpointed(near.withColumn("fits", F.col("alone") | (F.col("ahead") + F.col("size") <= F.col("gap"))))
-        found = near.filter("fits").select(F.col("source").alias("n"), F.col("bucket").alias("at_bucket"), F.col("place").alias("at_place"), "size", (F.col("more_words") + F.col("ahead")).alias("more_start"))
-        further = found if further is None else further.unionAll(found)
-        words = found.groupBy("n").agg(F.sum("size").alias("x"))
-        plan = plan.join(words, F.col("s").eqNullSafe(F.col("n")), "left").withColumn("gap", F.col("gap") - F.coalesce("x", F.lit(0))).withColumn("more_words", F.col("more_words") + F.coalesce("x", F.lit(0))).drop("n", "x")
-        plan = checkpointed(plan)
-        columns = ("source", "bucket", "place", "size")
-        free = free.filter(~is_near).select(*columns).unionAll(near.filter("not fits").select(*columns))
-    if further is None:
-        placed = placed.withColumn("more_block", F.lit(None).cast("long"))
-    else:
+    with LoopTables(docs.sparkSession) as kept:
+        plan, further = _filled(kept, placed, checkpointed(plan), spread, same, cap)
         there = F.col("source").eqNullSafe(F.col("n")) & (F.col("bucket") == F.col("at_bucket")) & (F.col("place") == F.col("at_place"))
-        placed = placed.join(further.drop("size"), there, "left").withColumn("more_block", F.floor(F.col("more_start") / block_words)).drop("n", "at_bucket", "at_place", "more_start")
-        placed = checkpointed(placed)
+        further = further.groupBy("n", "at_bucket", "at_place").agg(F.collect_list(F.floor(F.col("more_start") / block_words)).alias("more_blocks"))  # cap of them at most
+        placed = placed.join(further, there, "left").withColumn("more_blocks", F.coalesce("more_blocks", F.array().cast("array<bigint>"))).drop("n", "at_bucket", "at_place")
+        placed, plan = checkpointed(placed), checkpointed(plan)
 
-    # then the nearest, if that makes the gap smaller
+    # then the nearest, if that makes the gap smaller; small sources have their best choice instead
     at, away = F.struct("bucket", "place"), F.abs(F.col("gap") - F.col("size"))
-    free = placed.filter(~F.col("first") & F.col("more_block").isNull() & (F.col("size") > 0)).join(spread(plan.select("s", "gap")), same).filter(away.between(0, F.col("gap") - 1))
-    found = free.groupBy(F.col("source").alias("n")).agg(F.min(F.struct(away.alias("away"), "size", "bucket", "place")).alias("x"))
-    plan = plan.join(found, F.col("s").eqNullSafe(F.col("n")), "left").drop("n")
-    plan = plan.withColumn("picks", F.when(F.col("x").isNotNull(), F.array(F.struct("x.bucket", "x.place"))).otherwise(F.array().cast("array<struct<bucket: bigint, place: int>>")))
+    drawn = F.col("passes") + F.col("first").cast("int") + F.size("more_blocks")
+    free = placed.filter(~F.col("small") & (drawn < cap) & (F.col("size") > 0)).join(spread(plan.select("s", "gap")), same).filter(away.between(0, F.col("gap") - 1))
+    found = free.groupBy(F.col("source").alias("n")).agg(F.array(F.min(F.struct(away.alias("away"), "size", "bucket", "place"))).alias("x"))
+    found = found.select("n", F.transform("x", lambda x: F.struct(x["bucket"].alias("bucket"), x["place"].alias("place"))).alias("picks"))
+    plan = plan.join(found.unionByName(_best_of_small(placed.filter("small"), cap)), F.col("s").eqNullSafe(F.col("n")), "left").drop("n")
+    plan = plan.withColumn("picks", F.coalesce("picks", F.array().cast("array<struct<bucket: bigint, place: int>>")))
     # draws: the whole passes, the part along the order, what was taken further along it, the nearest
     in_pass = F.col("last_block") + 1
     plan = plan.withColumn("more_from", F.col("passes") * in_pass + F.coalesce(F.col("last_first") + 1, F.lit(0)))
@@ -237,7 +307,12 @@ def _mix(docs: DataFrame, id_column: str, text_column: str, source_column: str,
     placed = placed.join(spread(plan), same)
     whole = F.transform(F.sequence(F.lit(0), F.col("passes") - 1), lambda p: p * in_pass + F.col("block"))
     whole = F.when(F.col("passes") > 0, whole).otherwise(F.array().cast("array<bigint>"))
-    more = F.when(F.col("first") & (F.col("rest") > 0), F.array(F.col("passes") * in_pass + F.col("block"))).when(F.col("more_block").isNotNull(), F.array(F.col("more_from") + F.col("more_block"))).when(F.array_contains("picks", at), F.array(F.col("draws") - F.array_position("picks", at))).otherwise(F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
+    more = F.concat(
+        F.when(F.col("first") & (F.col("rest") > 0), F.array(F.col("passes") * in_pass + F.col("block"))).otherwise(none),
+        F.transform("more_blocks", lambda b: F.col("more_from") + b),
+        F.filter(F.transform("picks", lambda p, i: F.when(p == at, F.col("draws") - 1 - i)), lambda d: d.isNotNull()),
+    )
     shards_of = F.transform(F.concat(whole, more), lambda d: F.size(F.filter("ends", lambda e: e <= d)))
     return placed.select("id", "source", "size", "h", "nth", "source_size", "target", shards_of.alias("shards"))
 
