@@ -5,14 +5,13 @@ A language keeps the terms in at least `LEAST_DOCS` of its documents, V of them.
 language's. Their divergence at the term is floor((p - q)^2 / q), a whole number, as all numbers are here.
 
 Summed over all kept terms for all pairs of sources, most of the work would be for terms that one or none of the two has.
-So terms are split. Heavy ones, which more than a part in `HEAVY` of the language's sources have, lie in dense tiles: the
-shares of some terms in all sources, of which NumPy takes all pairs at once. Of light terms each source has a share p0
-when it has none of them, the same for all, so the sum for sources s and r is
+A source has one share p0 of all terms that it doesn't have. So a sum begins with V f(p0_s, p0_r), as if no source had any
+term, and terms put it right. Heavy ones, which more than a part in `HEAVY` of the language's sources have, lie in dense
+tiles: the shares of some terms in all sources, of which NumPy takes all pairs at once. Light ones are split by who has them:
 
-    V_light f(p0_s, p0_r)
-    + for the terms of s: f(p_s, p0_r) - f(p0_s, p0_r)       (by s's counts, of which few differ)
-    + for the terms of r: f(p0_s, p_r) - f(p0_s, p0_r)       (by r's counts)
-    + for the terms of both: f(p_s, p_r) - f(p_s, p0_r) - f(p0_s, p_r) + f(p0_s, p0_r)
+    for the terms of s: f(p_s, p0_r) - f(p0_s, p0_r)         (by s's counts, of which few differ)
+    for the terms of r: f(p0_s, p_r) - f(p0_s, p0_r)         (by r's counts)
+    for the terms of both: f(p_s, p_r) - f(p_s, p0_r) - f(p0_s, p_r) + f(p0_s, p0_r)
 
 and only the last line looks at pairs, those within a term's postings. They are added up where the term lies, and only
 sums leave the task. All parts are 64-bit integers and exact, in any order.
@@ -136,7 +135,7 @@ def _sums_of_tile(key: tuple, rows: pa.Table) -> pa.Table:
             shares[np.searchsorted(codes, term[own]), np.searchsorted(places, place[own])] = p[own]
             dense.append(shares)
         for i in range(left.size):
-            sums[i] += _divergence(dense[0][:, i : i + 1], dense[1]).sum(axis=0)
+            sums[i] += _divergence(dense[0][:, i : i + 1], dense[1]).sum(axis=0) - codes.size * _divergence(left_p0[i], right_p0)
 
     light = np.flatnonzero(kind == LIGHT_TERM)
     light = light[np.argsort(term[light], kind="stable")]
@@ -156,9 +155,8 @@ def _sums_of_tile(key: tuple, rows: pa.Table) -> pa.Table:
     for x in counted[chunk[counted] == b].tolist():
         j = int(np.searchsorted(right, place[x]))
         sums[:, j] += weight[x] * (_divergence(left_p0, p[x]) - _divergence(left_p0, p0[x]))
-    if key[1].as_py() < 0:  # the tile of the counts: what all light terms would give if no source had any; weight: their number
-        base = int(weight[kind == SOURCE].max(initial=0))
-        sums += base * _divergence(left_p0[:, None], right_p0[None])
+    if key[1].as_py() < 0:  # the tile of the counts: what all terms would give if no source had any; weight: their number
+        sums += int(weight[kind == SOURCE].max(initial=0)) * _divergence(left_p0[:, None], right_p0[None])
 
     i, j = np.nonzero(left[:, None] != right[None])
     return pa.table([pa.array([lang] * i.size, pa.string()), pa.array(left[i].astype(np.int32)), pa.array(right[j].astype(np.int32)), pa.array(sums[i, j])], ["lang", "s", "r", "value"])
@@ -193,15 +191,14 @@ def audit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
         rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
         terms = excess.select("lang", "source", F.lit("term").alias("part"), "item", value.alias("value")).withColumn("rank", rank).filter(F.col("rank") <= top)
 
-        rows = kept.put("shares", rows.select("lang", "term", "n", "place", "chunk", "p", "p0", "n_sources", "first", F.greatest(F.ceil(F.col("kept") / TILE_TERMS), F.lit(1)).cast("int").alias("tiles"), (F.col("sources") * HEAVY > F.col("n_sources")).alias("heavy")).filter("n_sources > 1"))
+        rows = kept.put("shares", rows.select("lang", "term", "n", "place", "chunk", "p", "p0", "n_sources", F.greatest(F.ceil(F.col("kept") / TILE_TERMS), F.lit(1)).cast("int").alias("tiles"), (F.col("sources") * HEAVY > F.col("n_sources")).alias("heavy")).filter("n_sources > 1"))
         none = F.lit(None).cast("string")
         parts = rows.select("lang", F.pmod(F.xxhash64("term"), F.col("tiles")).cast("int").alias("tile"), F.when(F.col("heavy"), HEAVY_TERM).otherwise(LIGHT_TERM).alias("kind"), "term", "place", "chunk", "p", "p0", zero.alias("weight"), "n_sources")
         light = rows.filter("not heavy")
         same = light.groupBy("lang", "place", "chunk", "p", "p0", "n_sources").agg(F.count(F.lit(1)).alias("weight"))
         same = same.select("lang", F.lit(-1).alias("tile"), F.lit(LIGHT_COUNTS).alias("kind"), none.alias("term"), "place", "chunk", "p", "p0", "weight", "n_sources")
-        n_light = light.groupBy("lang").agg(F.count(F.when(F.col("first"), 1)).alias("n_light"))  # a row for each language
-        there = groups.filter("n_sources > 1").join(n_light, "lang", "left").withColumn("tile", F.explode(F.sequence(F.lit(-1), F.ceil(F.col("kept") / TILE_TERMS).cast("int") - 1)))
-        there = there.select("lang", "tile", F.lit(SOURCE).alias("kind"), none.alias("term"), "place", "chunk", F.col("p0").alias("p"), "p0", F.coalesce("n_light", zero).alias("weight"), "n_sources")
+        there = groups.filter("n_sources > 1").withColumn("tile", F.explode(F.sequence(F.lit(-1), F.ceil(F.col("kept") / TILE_TERMS).cast("int") - 1)))
+        there = there.select("lang", "tile", F.lit(SOURCE).alias("kind"), none.alias("term"), "place", "chunk", F.col("p0").alias("p"), "p0", F.col("kept").alias("weight"), "n_sources")
         chunks = F.sequence(F.lit(0), F.floor((F.col("n_sources") - 1) / CHUNK).cast("int"))
         meets = F.array_distinct(F.concat(F.transform(chunks, lambda c: F.struct(F.col("chunk").alias("a"), c.alias("b"))), F.transform(chunks, lambda c: F.struct(c.alias("a"), F.col("chunk").alias("b")))))
         met = parts.unionByName(same).unionByName(there).withColumn("meet", F.explode(meets)).select("lang", "tile", "meet.a", "meet.b", "kind", "term", "place", "chunk", "p", "p0", "weight")
