@@ -235,14 +235,16 @@ def silhouette(df: DataFrame, id_column: str, columns: list[str], cluster: str =
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     points = df.select(F.col(id_column).cast("long").alias("id"), F.col(cluster).cast("int").alias("c"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    left, right = points.select("*", block.alias("a"), every.alias("b")), points.select("*", block.alias("b"), every.alias("a"))
+    # columns of its own for either side, as a plan that holds the same ones on both may lose some
+    left = points.select("id", "c", "x", block.alias("a"), every.alias("b"))
+    right = points.select(F.col("c").alias("o"), F.col("x").alias("y"), block.alias("b"), every.alias("a"))
 
     def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "c": [], "o": [], "d": []}).astype({"id": "int64", "c": "int32", "o": "int32", "d": "float64"})
-        x, y = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
+        x, y = np.stack(left["x"].to_numpy()), np.stack(right["y"].to_numpy())
         out = []
-        for o, at in right.groupby("c").indices.items():
+        for o, at in right.groupby("o").indices.items():
             d = np.concatenate([np.sqrt(((x[i : i + 64, None, :] - y[None, at, :]) ** 2).sum(axis=2)).sum(axis=1) for i in range(0, len(x), 64)])
             out.append(pd.DataFrame({"id": left["id"], "c": left["c"], "o": o, "d": d}))
         return pd.concat(out).astype({"o": "int32", "c": "int32"})
