@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.functions import pixels as K
+from scanloom.operators.cohort import is_accepted
+from scanloom.sources.images import SIZE, gray_plane
 
 #: Pixels that a kernel works on at once.
 BLOCK_PIXELS = 64 * 128 * 128
@@ -57,6 +59,29 @@ def features_f13(df: DataFrame, keep: tuple[str, ...] = ("image_id",), least: in
     return _feature_rows(df, keep, K.F13, lambda x: K.features_f13(K.preprocess(x, "symmetric"), least))
 
 
+def described_f13(images: DataFrame, keep: tuple[str, ...] = ("path", "file_name"), least: int = 300, size: int = SIZE) -> DataFrame:
+    """One pass over images as read: keep, reason and the thirteen features. Each image has a row: reason tells why it has
+    no features (file type, not decoded, no valid region), and is null if it has."""
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for at in range(0, len(frame), step := max(1, BLOCK_PIXELS // (size * size))):
+                part = frame.iloc[at : at + step].reset_index(drop=True)
+                reason = np.where(~part["_accepted"].to_numpy(bool), "file type", np.where(part["_w"].to_numpy() > 0, "", "not decoded")).astype(object)
+                rows = np.flatnonzero(reason == "")
+                values = np.full((len(part), len(K.F13)), np.nan)
+                if rows.size:
+                    block = np.stack([gray_plane(*part.loc[i, ["_h", "_w", "_c", "_data"]], size) for i in rows])
+                    found, valid = K.features_f13(K.preprocess(block, "symmetric"), least)
+                    values[rows[valid]] = found
+                    reason[rows[~valid]] = "no valid region"
+                out = part[list(keep)].assign(reason=pd.Series(reason).replace("", None))
+                yield pd.concat([out, pd.DataFrame(values, columns=list(K.F13))], axis=1)
+
+    rows = images.select(*keep, F.coalesce(is_accepted("path"), F.lit(False)).alias("_accepted"), F.coalesce("image.height", F.lit(-1)).alias("_h"), F.coalesce("image.width", F.lit(-1)).alias("_w"), F.coalesce("image.nChannels", F.lit(-1)).alias("_c"), F.col("image.data").alias("_data"))
+    return rows.mapInPandas(describe, _schema(images, keep, "reason string, " + _doubles(K.F13)))
+
+
 def features_d10(df: DataFrame, keep: tuple[str, ...] = ("image_id",)) -> DataFrame:
     return _feature_rows(df, keep, K.D10, lambda x: (K.features_d10(K.preprocess(x, "reflect")), None))
 

@@ -341,6 +341,9 @@ tissue as (select image_id, y, x, (v > 0.10)::int as v from norm),""" + ",".join
         "k16_texture": texture_sql(),
         "k18_features_d10": d10_sql(),
         "k19_features_f10": f10_sql(),
+        "k21_png_features": d10_sql(),
+        "s2_png_levels": "with " + PIXELS + " select image_id, y, x, v from px",
+        "s3_png_classes": "select vec_id as image_id, 'Training' as split, 'class_' || label as class_name, label from embeddings",
         "k22_raw": "with " + PIXELS + " select image_id, y, x, v from px",
         "k22_equalized": prepared + "select * from eq",
         "k22_binary": SEGMENTED + " select * from mask",

@@ -17,8 +17,8 @@ from scanloom.functions import expressions as X
 from scanloom.jobs import features as J
 from scanloom.operators import cohort, evaluate, hierarchy, kmeans, scale, supervised
 from scanloom.operators.numbering import numbered, percentiles
-from scanloom.sources.images import with_path_parts
-from scanloom.sources.tables import checkpointed, cluster_summary, shared_folder
+from scanloom.sources.images import read_images, to_gray, with_path_parts, write_pngs
+from scanloom.sources.tables import checkpointed, cluster_summary, remove_folder, shared_folder
 from scanloom.streaming import score
 
 FEATURES = [f"f{i}" for i in range(10)]
@@ -405,6 +405,33 @@ def kernel(job: Callable[..., DataFrame], *names: str, digits: int = DIGITS) ->
     return query
 
 
+def png_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images of the table as files: written as PNG to the shared folder, a folder for each class, and read by Spark's
+    image source."""
+    planes = images8(spark, sf_dir).select(F.lit("Training").alias("split"), F.format_string("class_%d", F.coalesce("label", F.lit(-1))).alias("class_name"), F.format_string("vec_%012d.png", "image_id").alias("file_name"), "h", "w", "pixels")
+    root = f"{shared_folder(spark)}/png-{uuid.uuid4().hex}"
+    write_pngs(planes, root)
+    classes = spark.createDataFrame([(i, f"class_{i}") for i in range(10)], "class_id int, class_name string")
+    gray = checkpointed(to_gray(read_images(spark, root, classes, drop_invalid=False), 8))
+    remove_folder(spark, root)
+    return gray.withColumn("image_id", F.regexp_extract("file_name", "([0-9]+)", 1).cast("long"))
+
+
+def s2_png_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.pixel_table(png_images(spark, sf_dir))
+
+
+def s3_png_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and split of each file, from its path."""
+    return png_images(spark, sf_dir).select("image_id", "split", "class_name", "label")
+
+
+def k21_png_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The display features of every image that lies in the folder."""
+    found = J.features_d10(png_images(spark, sf_dir))
+    return rounded(found, *found.columns[1:], digits=6)
+
+
 def log_lines(spark: SparkSession, sf_dir: str, more: Column) -> DataFrame:
     """The lines of each turn's whole text and of what is put behind it."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), more).alias("text"))
@@ -602,6 +629,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "k16_texture": kernel(J.texture, digits=6),
         "k18_features_d10": kernel(J.features_d10, digits=6),
         "k19_features_f10": kernel(J.features_f10, digits=6),
+        "s2_png_levels": s2_png_levels,
+        "s3_png_classes": s3_png_classes,
+        "k21_png_features": k21_png_features,
         "k20_features_f13": kernel(lambda df: J.features_f13(df, least=2), digits=4),
         "x1_log_accuracy": x1_log_accuracy,
         "x2_report_lines": x2_report_lines,

@@ -96,7 +96,11 @@ def stratified_split(df: DataFrame, class_column: str, id_column: str, ratio: fl
 
 def accepted_uploads(df: DataFrame, path_column: str = "path") -> DataFrame:
     """The rows whose file ending, in any case, is one of an image."""
-    return df.filter(F.lower(F.regexp_extract(path_column, r"(\.[^.]+)$", 1)).isin(*UPLOAD_SUFFIXES))
+    return df.filter(is_accepted(path_column))
+
+
+def is_accepted(path_column: str) -> Column:
+    return F.lower(F.regexp_extract(path_column, r"(\.[^.]+)$", 1)).isin(*UPLOAD_SUFFIXES)
 
 
 def distinct_labels(df: DataFrame, label: str = "label") -> DataFrame:

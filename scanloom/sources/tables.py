@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +100,46 @@ def load_model(spark: SparkSession, path: str, *names: str) -> dict[str, DataFra
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def publish(spark: SparkSession, root: str, folder: str) -> int:
+    """Makes folder, which must be whole, the current version of what lies under root, and gives the version's number.
+
+    A version is a manifest, a file of one line that is renamed into place; a number that another has taken meanwhile is
+    passed by, so no version is lost and no reader sees half a one."""
+    jvm, name = spark._jvm, uuid.uuid4().hex
+    part, files = _files(spark, f"{root}/manifests/.{name}")
+    files.mkdirs(part.getParent())
+    out = files.create(part, False)
+    out.write(bytearray(folder.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    number = (current_version(spark, root) or (0, ""))[0]
+    while True:
+        number += 1
+        try:
+            context.rename(part, jvm.org.apache.hadoop.fs.Path(f"{root}/manifests/{number:08d}"), options)
+            return number
+        except Py4JJavaError as error:
+            if "AlreadyExists" not in str(error.java_exception):
+                raise
+
+
+def current_version(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    """The number and folder of the latest version, or None."""
+    at, files = _files(spark, f"{root}/manifests")
+    if not files.exists(at):
+        return None
+    names = [s.getPath().getName() for s in files.listStatus(at)]
+    if not (numbers := [int(n) for n in names if n.isdigit()]):
+        return None
+    return max(numbers), spark.read.text(f"{root}/manifests/{max(numbers):08d}").first()["value"]
+
+
 def cluster_summary(cards: DataFrame, method: str) -> DataFrame:
     """One row: cluster_count, purity_percent, decision_method and the array of cluster cards."""
     card = F.struct("cluster_id", "label", "count", "mapped_class", "distribution")

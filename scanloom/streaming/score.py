@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,13 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from scanloom.functions.expressions import probability_table
 from scanloom.functions.pixels import F13
-from scanloom.jobs.features import features_f13
+from scanloom.jobs.features import described_f13, features_f13
 from scanloom.operators.cohort import accepted_uploads
 from scanloom.operators.kmeans import nearest, squared_distances
 from scanloom.operators.scale import EPSILON
 from scanloom.operators.supervised import classified, load_classifier, save_classifier
 from scanloom.sources.images import stream_images, to_gray
-from scanloom.sources.tables import load_model, save_model
+from scanloom.sources.tables import current_version, load_model, publish, save_model
 
 
 def save_scorer(path: str, scaler: DataFrame, centers: DataFrame, names: list[str], classifier=None) -> None:
@@ -71,6 +73,47 @@ def score_stream(spark: SparkSession, in_dir: str, model_dir: str, out_dir: str,
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 
+def publish_scorer(root: str, scaler: DataFrame, centers: DataFrame, names: list[str], classifier=None) -> int:
+    """Saves a scorer as the next version under root; streams that read root take it from their next batch on."""
+    folder = f"{root}/versions/{uuid.uuid4().hex}"
+    save_scorer(folder, scaler, centers, names, classifier)
+    return publish(scaler.sparkSession, root, folder)
+
+
+def scored_and_rejected(described: DataFrame, model: dict) -> tuple[DataFrame, DataFrame]:
+    """Predictions of images that `described_f13` has looked at, and those that have none with the reason. Keep the rows
+    while both are written, and each image is looked at once; batches and streams take their rows from here."""
+    rejected = described.filter("reason is not null").drop(*F13)
+    return scored_features(described.filter("reason is null").drop("reason"), model), rejected
+
+
+def score_stream_versions(spark: SparkSession, in_dir: str, model_root: str, out_dir: str, checkpoint_dir: str, once: bool = True, seconds: int = 10) -> StreamingQuery:
+    """Scores arriving images with the version of the scorer that is current when a batch begins. Each batch is described
+    once and written as <out_dir>/predictions/batch_id=N, with the version's number, and <out_dir>/rejects/batch_id=N. A batch
+    that runs again writes its folders anew, so images have one row in one of the two."""
+    known: dict[int, dict] = {}
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        version, folder = current_version(batch.sparkSession, model_root) or (None, None)
+        if version is None:
+            raise ValueError(f"no scorer has been published under {model_root}")
+        if version not in known:
+            known.clear()
+            known[version] = load_scorer(batch.sparkSession, folder)
+        # the rows are described as they are cached, once for both
+        described = described_f13(batch).persist()
+        try:
+            scored, rejected = scored_and_rejected(described, known[version])
+            scored.withColumn("model_version", F.lit(version)).write.mode("overwrite").parquet(f"{out_dir}/predictions/batch_id={batch_id}")
+            rejected.write.mode("overwrite").parquet(f"{out_dir}/rejects/batch_id={batch_id}")
+        finally:
+            described.unpersist()
+
+    images = stream_images(spark, in_dir)
+    writer = images.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
 def final_diagnosis(df: DataFrame, names: list[str], classifier: str = "classifier_pred", clusters: str = "cluster_id") -> DataFrame:
     """df with diagnosis: the classifier's class where there is one, else the cluster's."""
     return df.withColumn("diagnosis", F.element_at(F.array(*[F.lit(n) for n in names]), F.coalesce(F.col(classifier), F.col(clusters)).cast("int") + 1))
