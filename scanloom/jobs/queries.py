@@ -382,6 +382,12 @@ def m12_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supervised.FourierSVM(FEATURES).fit(train).transform(test).select("vec_id", "label", "p1", "pred")
 
 
+def m12_svm_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kernel machine by landmarks, beside that by random cosines."""
+    train, test = learners(spark, sf_dir)
+    return supervised.NystromSVM(FEATURES).fit(train).transform(test).select("vec_id", "label", "p1", "pred")
+
+
 def m15_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = learners(spark, sf_dir)
     return supervised.feature_importance(supervised.random_forest(train, FEATURES), FEATURES, spark)
@@ -606,6 +612,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "m10_random_forest": m10_random_forest,
         "m11_logistic_regression": m11_logistic_regression,
         "m12_svm": m12_svm,
+        "m12_svm_landmarks": m12_svm_landmarks,
         "m15_feature_importance": m15_feature_importance,
         "k1_blur": plane("blurred"),
         "k1_symmetric_blur": plane("symmetric_blur"),

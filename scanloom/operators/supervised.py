@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanloom.operators.features import small_clusters
+
 
 def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(df)
@@ -61,6 +64,8 @@ class FourierSVM:
     """A support vector machine with a Gaussian kernel, by random Fourier features: cosines of fixed random projections
     stand for the kernel, a linear machine separates them, and a logistic curve of its margin gives probabilities."""
 
+    standardized = True
+
     def __init__(self, columns: list[str], n_features: int = 128, c: float = 1.0, seed: int = 42, max_iter: int = 100) -> None:
         self.columns, self.n, self.c, self.seed, self.max_iter = columns, n_features, c, seed, max_iter
 
@@ -90,17 +95,21 @@ class FourierSVM:
 
         return df.withColumn("features", array_to_vector(F.array(*terms)))
 
+    def _prepare(self, train: DataFrame, gamma: float) -> None:
+        random = np.random.default_rng(self.seed)
+        self.directions, self.shifts = random.normal(scale=np.sqrt(2 * gamma), size=(self.n, len(self.columns))), random.uniform(0, 2 * np.pi, self.n)
+
     def fit(self, train: DataFrame, label: str = "label") -> FourierSVM:
+        """gamma is 1 / (columns x variance of all values)."""
         d = len(self.columns)
         moments = train.agg(*[F.sum(c).alias(f"s{i}") for i, c in enumerate(self.columns)], *[F.sum(F.col(c) * F.col(c)).alias(f"q{i}") for i, c in enumerate(self.columns)], F.count(F.lit(1)).alias("n")).first()
         cells = max(1, moments["n"] * d)
         mean = sum(moments[f"s{i}"] or 0 for i in range(d)) / cells
         variance = sum(moments[f"q{i}"] or 0 for i in range(d)) / cells - mean**2
         gamma = 1 / (d * variance) if variance > 0 else 1.0
-        random = np.random.default_rng(self.seed)
-        self.directions, self.shifts = random.normal(scale=np.sqrt(2 * gamma), size=(self.n, d)), random.uniform(0, 2 * np.pi, self.n)
+        self._prepare(train, gamma)
         mapped = self._mapped(train).select("features", F.col(label).alias("label")).cache()
-        self.machine = LinearSVC(labelCol="label", regParam=1 / (self.c * max(1, moments["n"])), maxIter=self.max_iter).fit(mapped)
+        self.machine = LinearSVC(labelCol="label", regParam=1 / (self.c * max(1, moments["n"])), maxIter=self.max_iter, standardization=self.standardized).fit(mapped)
         margins = assembled(self.machine.transform(mapped).select(vector_to_array("rawPrediction")[1].alias("margin"), "label"), ["margin"])
         self.curve = LogisticRegression(labelCol="label").fit(margins)
         mapped.unpersist()
@@ -113,8 +122,64 @@ class FourierSVM:
         return out.select(*df.columns, vector_to_array("probability")[0].alias("p0"), vector_to_array("probability")[1].alias("p1"), F.col("side").cast("int").alias(name))
 
 
+class NystromSVM(FourierSVM):
+    """The same machine with features by the Nystrom method: the kernel with `n_features` landmarks, times the inverse root
+    of the kernel between the landmarks, so products of features are the kernel itself as far as landmarks span it.
+    Landmarks are centers of small clusters, found in one read. Landmarks and the root are broadcast, n x (n + d) numbers,
+    and features are made of Arrow batches."""
+
+    standardized = False
+
+    def _prepare(self, train: DataFrame, gamma: float) -> None:
+        self.gamma, self.landmarks = gamma, small_clusters(train, self.columns, self.n, self.seed)
+        values, vectors = np.linalg.eigh(self._kernel(self.landmarks))
+        kept = values > 1e-10 * max(1e-300, values.max(initial=0.0))
+        self.root = vectors[:, kept] / np.sqrt(values[kept])
+
+    def _kernel(self, x: np.ndarray) -> np.ndarray:
+        return np.exp(-self.gamma * np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ self.landmarks.T + (self.landmarks**2).sum(axis=1), 0))
+
+    def _mapped(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import array_to_vector
+
+        shared = df.sparkSession.sparkContext.broadcast((self.gamma, self.landmarks, self.root))
+
+        @F.pandas_udf("array<double>")
+        def features(*columns: pd.Series) -> pd.Series:
+            gamma, landmarks, root = shared.value
+            x = np.column_stack([c.to_numpy(float) for c in columns])
+            near = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ landmarks.T + (landmarks**2).sum(axis=1), 0)
+            return pd.Series(list(np.exp(-gamma * near) @ root))
+
+        return df.withColumn("features", array_to_vector(features(*[F.col(c).cast("double") for c in self.columns])))
+
+    def kernel_error(self, df: DataFrame, rows: int = 200) -> float:
+        """The mean difference of the features' products from the kernel, over all pairs of the first few rows by a hash."""
+        some = df.select(*[F.col(c).cast("double") for c in self.columns]).orderBy(F.xxhash64(*self.columns)).limit(rows).toPandas().to_numpy()
+        features = self._kernel(some) @ self.root
+        exact = np.exp(-self.gamma * np.maximum((some**2).sum(axis=1)[:, None] - 2 * some @ some.T + (some**2).sum(axis=1), 0))
+        return float(np.abs(features @ features.T - exact).mean())
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.getActiveSession()
+        rows = [(i, w.tolist(), r.tolist()) for i, (w, r) in enumerate(zip(self.landmarks, self.root, strict=True))]
+        spark.createDataFrame(rows, "i int, landmark array<double>, root array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/landmarks")
+        spark.createDataFrame([(i, c, float(self.gamma)) for i, c in enumerate(self.columns)], "i int, name string, gamma double").coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
+        self.machine.write().overwrite().save(f"{path}/machine")
+        self.curve.write().overwrite().save(f"{path}/curve")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> NystromSVM:
+        rows, columns = spark.read.parquet(f"{path}/landmarks").orderBy("i").collect(), spark.read.parquet(f"{path}/columns").orderBy("i").collect()
+        found = cls([r["name"] for r in columns], len(rows))
+        found.gamma, found.landmarks, found.root = columns[0]["gamma"], np.array([r["landmark"] for r in rows]), np.array([r["root"] for r in rows])
+        found.machine, found.curve = LinearSVCModel.load(f"{path}/machine"), LogisticRegressionModel.load(f"{path}/curve")
+        return found
+
+
 LOADERS = {
     "RandomForestClassificationModel": lambda spark, path: RandomForestClassificationModel.load(path),
     "LogisticRegressionModel": lambda spark, path: LogisticRegressionModel.load(path),
     "FourierSVM": FourierSVM.load,
+    "NystromSVM": NystromSVM.load,
 }
