@@ -2,7 +2,7 @@
 
 Each round is two grouped minima and two joins. Minima are combined before the shuffle, and a node with very many
 links is split by Spark's skew join, so no task holds all of one node's links. The links of a round replace those
-of the last in a checkpoint; the rounds end when they don't change, after about the logarithm of the longest path.
+of the last in the shared folder; the rounds end when they don't change, after about the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.common import checkpointed
+from scanloom.sources.tables import LoopTables
 
 
 def _mark(links: DataFrame) -> tuple[int, int]:
@@ -23,17 +24,18 @@ def components(links: DataFrame) -> DataFrame:
     each node that has a link to another; links of a node to itself, repeated and null links count for nothing."""
     a, b = links.columns
     links = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    links = checkpointed(links)
-    mark = _mark(links)
-    while mark[0]:
-        both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        links = checkpointed(small.filter("u != v").distinct())
-        before, mark = mark, _mark(links)
-        if mark == before:
-            break
-    nodes = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.unionAll(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    with LoopTables(links.sparkSession) as kept:
+        links = kept.put("links", links)
+        mark = _mark(links)
+        while mark[0]:
+            both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
+            links = kept.put("links", small.filter("u != v").distinct())
+            before, mark = mark, _mark(links)
+            if mark == before:
+                break
+        nodes = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return checkpointed(nodes.unionAll(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))

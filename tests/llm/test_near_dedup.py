@@ -57,3 +57,20 @@ def test_leaders_leave_no_pair_out(spark, monkeypatch):
     buckets = spark.createDataFrame([(k, i) for i in sets for k in (0, i % 2 - 5)], "key long, node long")
     found = near_dedup.linked(buckets, spark.createDataFrame(list(sets.items()), "node long, hashes array<long>"), 30)
     assert {r.node: r.root for r in found.collect()} == dict.fromkeys(range(30), 0)
+
+
+def test_dense_group_in_several_homes(spark, monkeypatch):
+    """One group of many near copies, of which many pairs are below 0.8: few sets a home, and few pairs before leaders."""
+    monkeypatch.setattr(near_dedup, "HOME_SETS", 8)
+    monkeypatch.setattr(near_dedup, "PAIRS_A_TEXT", 1)
+    generator = random.Random(3)
+    word = lambda: "".join(generator.choice("abcdefgh") for _ in range(6))
+    base, texts = [word() for _ in range(150)], []
+    for i in range(140):
+        own = list(base)
+        for _ in range(generator.choice((1, 2, 3, 4, 5))):
+            own[generator.randrange(len(own))] = word()
+        texts.append(" ".join(own))
+    by_id = dict(enumerate(texts))
+    docs = spark.createDataFrame(list(by_id.items()), "doc_id long, text string").repartition(7)
+    assert {r.doc_id for r in near_dedup.keep_one_of_each_group(docs).collect()} == kept_by_brute_force(by_id)
