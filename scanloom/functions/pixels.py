@@ -207,6 +207,7 @@ def lbp_codes(x: np.ndarray) -> np.ndarray:
         return codes
     inner = x8[:, 1:-1, 1:-1]
     _, h, w = x.shape
+    # fixed values: the neighbours' order is that of the code's bits
     for bit, (dy, dx) in enumerate(((-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1))):
         codes[:, 1:-1, 1:-1] |= (x8[:, 1 + dy : h - 1 + dy, 1 + dx : w - 1 + dx] >= inner).astype(np.uint8) << bit
     return codes
@@ -228,7 +229,7 @@ def lbp(x: np.ndarray) -> np.ndarray:
 
 def gradient(x: np.ndarray) -> np.ndarray:
     """Mean, deviation and maximum of the Sobel magnitude; one row per image."""
-    across = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], float)
+    across = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], float)  # fixed values: Sobel's weights
     size = np.hypot(correlate(x, across), correlate(x, across.T))
     return np.stack((size.mean(axis=(1, 2)), size.std(axis=(1, 2)), size.max(axis=(1, 2))), axis=1)
 

@@ -384,6 +384,14 @@ select class_name, min(dir) as dir from expected left join found on contains(low
         "a20_covariance": "with " + MATRIX + " " + " union all ".join(f"select '{a}' as a, '{b}' as b, round(covar_pop({a}, {b}), 5) as cov from m" for a in FEATURES for b in FEATURES),
         "x11_percentiles": "with " + MATRIX + " select label, " + ", ".join(f"round(quantile_cont(f0, {p / 100}), 5) as p{p}" for p in (1, 82, 99)) + " from m group by 1",
         "m5_kmeans_given": lloyd(1) + " select vec_id, cluster, round(d2, 4) as d2 from r1",
+        "a13_assignment": ALIGNED + "select 4 as clusters, round(max(hit) / count(*), 5) as accuracy from p, best",
+        "m3_center_norms": CLUSTERED + f", mean as (select [{each('avg({c})')}] as x from z) select i::int as cluster, round(list_distance(l.centers[i + 1], mean.x) ** 2, 4) as square from l, mean, range(4) t(i)",
+        "w1_ward_rounds": f"with {MATRIX}, {MOMENTS}, {SCALED} select count(*) - 1 as merges, round(count(*) * ({each('var_pop({c})', ' + ')}), 4) as spread, count(*) as points from z",
+        "w2_single_parts": f"""with recursive {MATRIX}, {MOMENTS}, {SCALED},
+near as (select a.vec_id as a, b.vec_id as b, {distance('a', 'b')} as d2 from z a join z b on a.vec_id <> b.vec_id where {distance('a', 'b')} <= 3),
+heights as (select unnest([1.0, 1.4, 1.7])::double as height),
+reach(height, a, b) as (select height, vec_id, vec_id from heights, z union select r.height, r.a, n.b from reach r join near n on n.a = r.b and n.d2 <= r.height * r.height)
+select height, count(*) filter (where least = a) as parts from (select height, a, min(b) as least from reach group by 1, 2) group by height""",
         "m5_kmeans_three_rounds": THREE_ROUNDS + f" select cluster, count(*) as n, {each('round(avg({c}), 4) as {c}')} from k group by 1",
         "m9_convergence": CLUSTERED + " select iter::int as iter, round(inertia, 3) as inertia from lloyd where iter > 0",
         "a21_inertia": CLUSTERED + " select round(sum(d2), 3) as inertia from k",

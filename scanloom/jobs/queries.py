@@ -24,6 +24,8 @@ from scanloom.streaming import score
 FEATURES = [f"f{i}" for i in range(10)]
 #: Digits that queries and their SQL are rounded to.
 DIGITS = 5
+#: Heights at which parts of a tree are counted.
+PART_HEIGHTS = (1.0, 1.4, 1.7)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -274,6 +276,37 @@ def w7_cah_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.adjusted_rand(counts).join(mean).withColumn("accuracy", F.lit(share))  # one row each
 
 
+def w1_ward_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ward's tree with rounds on Spark until 64 clusters are left. Half the squared heights add up to all squared distances
+    from the mean."""
+    points = checkpointed(hierarchy.numbered_points(scaled_matrix(spark, sf_dir), "vec_id", FEATURES))
+    sums = hierarchy.ward(points, 64).agg(F.count(F.lit(1)).alias("merges"), (F.sum(F.col("height") * F.col("height")) / 2).alias("spread"), F.max(F.col("size_left") + F.col("size_right")).alias("points"))
+    return rounded(sums, "spread", digits=4)
+
+
+def w2_single_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single linkage of all rows: how many parts are left at some heights."""
+    points = checkpointed(hierarchy.numbered_points(scaled_matrix(spark, sf_dir), "vec_id", FEATURES))
+    merges = hierarchy.linkage(points, "single", 64)
+    below = [F.count(F.when(F.col("height") <= t, 1)).alias(f"h{i}") for i, t in enumerate(PART_HEIGHTS)]
+    sums = merges.agg((F.count(F.lit(1)) + 1).alias("n"), *below)
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(t).alias("height"), (F.col("n") - F.col(f"h{i}")).alias("parts")) for i, t in enumerate(PART_HEIGHTS)])).alias("x")).select("x.*")
+
+
+def a13_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best one-to-one map of clusters to classes, by the assignment for any number of them."""
+    order, share = evaluate.align_clusters_assignment(evaluate.contingency(clustered(spark, sf_dir)[2]))
+    return rounded(spark.createDataFrame([(len(order), share)], "clusters int, accuracy double"), "accuracy")
+
+
+def m3_center_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centers on all axes: their squared distances from the mean stay what they are."""
+    df, run, _ = clustered(spark, sf_dir)
+    projected = scale.project_centers(kmeans.center_table(df, run), FEATURES, df, len(FEATURES))
+    norm = sum((F.col(f"pc{i + 1}") * F.col(f"pc{i + 1}") for i in range(len(FEATURES))), F.lit(0.0))
+    return rounded(projected.select("cluster", norm.alias("square")), "square", digits=4)
+
+
 # --- evaluation ---------------------------------------------------------------------------------------------------------
 
 
@@ -591,7 +624,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "a21_inertia": a21_inertia,
         "x9_cluster_scores": x9_cluster_scores,
         "w1_ward": w1_ward,
+        "w1_ward_rounds": w1_ward_rounds,
         "w2_average_linkage": w2_average_linkage,
+        "w2_single_parts": w2_single_parts,
+        "a13_assignment": a13_assignment,
+        "m3_center_norms": m3_center_norms,
         "w4_cut_tree": w4_cut_tree,
         "w5_cluster_count": w5_cluster_count,
         "w7_cah_eval": w7_cah_eval,
