@@ -74,6 +74,8 @@ def test_topk_on_odd_rows(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, v array<float>")
     found = [tuple(r) for r in topk.top_k(vectors, "vec_id", "v", F.col("vec_id") == 0).orderBy("rank").collect()]
     assert found == [(0, 1, 1, 64 * 64 + 128 * 128), (0, 2, 1, 64 * 64 + 128 * 128), (0, 3, 7, 64 * 192), (0, 4, 6, 0)]
+    clashing = vectors.select("*", *[F.lit("x").alias(c) for c in ("id", "asks", "square", "n", "block", "bar", "rank", "score", "query_id", "embedding")])
+    assert [tuple(r) for r in topk.top_k(clashing, "vec_id", "v", F.col("vec_id") == 0).orderBy("rank").collect()] == found
     assert topk.top_k(vectors.limit(0), "vec_id", "v", F.col("vec_id") == 0).count() == 0
 
 
