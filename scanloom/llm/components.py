@@ -22,19 +22,21 @@ def _settled(links: DataFrame) -> bool:
     return ends.filter((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("least") == 0))).isEmpty()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """links: two columns of nodes of one ordered type. Gives (node, root), root the least node of the component, for
-    each node that has a link to another; links of a node to itself, repeated and null links count for nothing."""
+    each node that has a link to another; links of a node to itself, repeated and null links count for nothing.
+    After `rounds` rounds, if given, the search ends: root is then some lesser node of the component, or the node itself."""
     a, b = links.columns
     links = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     with LoopTables(links.sparkSession) as kept:
         links = kept.put("links", links)
-        while not _settled(links):
+        while rounds != 0 and not _settled(links):
+            rounds = rounds and rounds - 1
             both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
             large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
             least = large.groupBy("u").agg(F.min("v").alias("m"))
             small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
             links = kept.put("links", small.filter("u != v").distinct())
-        nodes = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        return checkpointed(nodes.unionAll(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+        nodes = links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(links.select(F.col("v").alias("node"), F.col("v").alias("root")))
+        return checkpointed(nodes.groupBy("node").agg(F.min("root").alias("root")))

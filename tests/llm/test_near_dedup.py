@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from scanloom.llm import near_dedup
+from scanloom.llm.components import components
 
 
 def shingles(text):
@@ -74,3 +75,12 @@ def test_dense_group_in_several_homes(spark, monkeypatch):
     by_id = dict(enumerate(texts))
     docs = spark.createDataFrame(list(by_id.items()), "doc_id long, text string").repartition(7)
     assert {r.doc_id for r in near_dedup.keep_one_of_each_group(docs).collect()} == kept_by_brute_force(by_id)
+
+
+def test_components_that_end_early_join_only_what_is_linked(spark):
+    links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100), (102, 101), (7, 7)], "a long, b long")
+    whole = {r.node: r.root for r in components(links).collect()}
+    assert whole == dict.fromkeys(range(41), 0) | dict.fromkeys((100, 101, 102), 100)
+    for rounds in (0, 1, 2):
+        found = components(links, rounds).collect()
+        assert len(found) == len(whole) and all(whole[r.node] == whole[r.root] and r.root <= r.node for r in found)
