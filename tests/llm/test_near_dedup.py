@@ -84,3 +84,30 @@ def test_components_that_end_early_join_only_what_is_linked(spark):
     for rounds in (0, 1, 2):
         found = components(links, rounds).collect()
         assert len(found) == len(whole) and all(whole[r.node] == whole[r.root] and r.root <= r.node for r in found)
+
+
+def test_ends_within_two_links(spark):
+    """Each end goes to the least one within two links, itself and repeated links included; one root means one component."""
+    generator = random.Random(11)
+    links = [(i + 1, i) for i in range(12)] + [(generator.randrange(20, 60), generator.randrange(20, 60)) for _ in range(30)] + [(90, 90), (95, 99), (95, 99)]
+    near = {}
+    for a, b in links:
+        near.setdefault(a, {a}).add(b)
+        near.setdefault(b, {b}).add(a)
+    expected = {x: min(z for y in near[x] for z in near[y]) for x in near}
+    found = near_dedup._nearby(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(found) == len(expected) and {r.old: r.new for r in found} == expected
+
+
+def test_members_carry_their_buckets_and_home(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOME_SETS", 4)
+    pairs = [(1, n) for n in range(10)] + [(2, n) for n in (0, 1, 2)] + [(3, 50), (4, 60), (4, 61)]
+    found = near_dedup._members(spark.createDataFrame(pairs, "key long, node long")).collect()
+    assert {r.node for r in found} == {*range(10), 60, 61}  # 50 shares no bucket
+    sizes = {1: (10, 9), 2: (3, 2), 4: (2, 61)}
+    for r in found:
+        own = {key for key, node in pairs if node == r.node}
+        assert {(b.key, b.n, b.top) for b in r.buckets} == {(k, *sizes[k]) for k in own}
+        assert r.weight == sum(sizes[k][0] for k in own)
+    homes = {r.node: r.home for r in found}
+    assert homes[60] == homes[61] and 1 <= len({homes[n] for n in range(10)}) <= 3
