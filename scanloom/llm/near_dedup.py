@@ -1,12 +1,16 @@
-"""Near duplicates by the Jaccard similarity of word shingles: candidates by MinHash bands, each one verified.
+"""Near duplicates by SimHash with multi-index hashing, each candidate verified by the Jaccard similarity of shingles.
 
 Two texts are linked if the sets of their 5-word shingles have similarity 0.8 or more; a group is all that is linked,
-over any number of links. Candidates agree in one of 30 bands of 5 minima. A pair of similarity 0.8 does so with a
-chance of 1 - (1 - 0.8**5)**30, all but 7 in a million, and a closer pair with a greater one. A 64-bit SimHash can't
-give these candidates: such a pair differs in 10 bits on average and in up to 17 or so, and the balls of that radius hold
-more places than there are documents.
-
-Texts with one set of shingles become one row first. In a bucket, pairs of one group need no look. Where many pairs are
+over any number of links. A set's fingerprint has 1,024 bits, each the majority of that bit over its shingles. Two sets of
+0.8 differ in 15 % of the bits (arccos(8/9) / pi), so 64 bits with a small radius, as `simhash` has them, miss most such
+pairs. Here segments of a fingerprint are looked up whole, so many of them that a pair of 0.8 agrees in none with a chance
+of 1 in 100,000; a segment has the more bits the more texts there are, so that a bucket of unlike ones holds 512 or fewer
+on average. In a bucket the first 192 bits, which are in no segment, are compared, and those within 58 are candidates: 5
+standard deviations above a pair of 0.8, and 5 below unlike texts. Sets of four and of five shingles differ in more bits,
+as four make many ties, so a set of five is looked up by each four of its shingles too.
+
+Texts with one set of shingles become one row first. Of a bucket only candidates go on, those that are joined by close
+fingerprints, in one bucket again, which is meant from here on. In a bucket, pairs of one group need no look. Where many pairs are
 left, the members are held against a few leaders, those that share most with others, more of them in each round, and what
 that links is grouped before the next, by a search of two links only; when few are left, each is verified. Sets of one
 dense group lie together, and another's set goes by them once, not once a pair; there, pairs of groups that have been
@@ -19,6 +23,7 @@ nothing in A to Z; rows with one id and one text stay or go together; an empty t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +38,16 @@ from scanloom.llm.simhash import keep_least_of_each
 from scanloom.sources.tables import LoopTables
 
 SHINGLE_WORDS, SIMILARITY, SEED = 5, 0.8, 42
-BANDS, BAND_ROWS = 30, 5
-#: Shingles whose minima are taken at once.
-AT_ONCE = 1 << 12
+#: Bits of a fingerprint, how many of them, the first, are compared, and at how many that differ two sets are candidates.
+BITS, COMPARED, MAX_DISTANCE = 1024, 192, 58
+#: The share of bits in which two sets of SIMILARITY differ, and the chance that such sets agree in no segment.
+DIFFERENT, MISSED = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi, 1e-5
+#: Texts that share a segment by chance, at most, as a power of two; and the bits of a segment at least.
+BUCKET_BITS, LEAST_BITS = 9, 4
+#: Different sets of SIMILARITY share so many shingles at least.
+LEAST_SHARED = 4
+#: Shingles whose bits are counted at once, in a byte; segments that are made at once; fingerprints compared at once.
+COUNTED, SEGMENTS_AT_ONCE, SOME, OTHERS = 255, 1 << 15, 256, 1 << 12
 #: Pairs in buckets for each distinct text, at most, that are verified without another round of leaders.
 PAIRS_A_TEXT = 60
 #: Leaders of a bucket in the first round, and how many times as many in each next one: a round reads all open buckets.
@@ -44,7 +56,8 @@ LEADERS, MORE_LEADERS = 16, 16
 HOME_SETS = 2048
 LINKS = "a long, b long, a_root long, b_root long"
 
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A shingle's hash times each of these gives 32 bits.
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BITS // 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -54,14 +67,52 @@ def shingles(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray
     return np.unique(np.fromiter((hash_of(join(words[i : i + shingle_words]), SEED) for i in range(n)), np.uint64, n))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """The keys of a set's bands, as signed numbers; none for an empty set."""
-    if not hashes.size:
-        return []
-    least = np.full(_FACTORS.size, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, hashes.size, AT_ONCE):
-        np.minimum(least, (_FACTORS[:, None] * hashes[None, at : at + AT_ONCE]).min(axis=1), out=least)
-    return [_signed(xxhash.xxh64_intdigest(band.tobytes(), nth)) for nth, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+def fingerprint(hashes: np.ndarray) -> bytes:
+    """Of a set of shingles: each bit is 1 if it is set in over half of them."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, hashes.size, COUNTED):
+        words = ((hashes[at : at + COUNTED, None] * _FACTORS) >> np.uint64(32)).astype(np.uint32)
+        counts += np.unpackbits(words.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > hashes.size).tobytes()
+
+
+def fingerprints(hashes: np.ndarray) -> bytes | None:
+    """All fingerprints under which a set is looked up, end to end: its own; and, as a set of four makes many ties, that of
+    each four of a set of five. None if it is too small for a different one of SIMILARITY."""
+    if hashes.size < LEAST_SHARED:
+        return None
+    fours = [np.delete(hashes, i) for i in range(hashes.size)] if hashes.size == LEAST_SHARED + 1 else []
+    return b"".join(map(fingerprint, [hashes, *fours]))
+
+
+def segment_places(texts: int) -> np.ndarray:
+    """The bits of each segment for so many different sets, one row a segment. All bits beyond those that are compared are
+    used before one is used again, then with other ones."""
+    width = max(LEAST_BITS, (texts - 1).bit_length() - BUCKET_BITS)
+    count = math.ceil(math.log(MISSED) / math.log1p(-((1 - DIFFERENT) ** width)))
+    generator, a_turn = np.random.default_rng(SEED), (BITS - COMPARED) // width
+    turns = [generator.permutation(np.arange(COMPARED, BITS))[: a_turn * width] for _ in range(-(-count // a_turn))]
+    return np.concatenate(turns).reshape(-1, width)[:count]
+
+
+def parts(prints: np.ndarray) -> np.ndarray:
+    """prints: the compared bits as unsigned numbers, one row a set. A number for each row, the same for those that are
+    joined by prints within MAX_DISTANCE, over any number of them. Rows of one part aren't held against each other again
+    and small parts come first, so very many close prints cost little more than their rows."""
+    part, todo = np.arange(len(prints)), np.arange(len(prints))
+    while todo.size > 1 and (part[todo] != part[todo[0]]).any():
+        some = todo[:SOME]
+        for at in range(0, todo.size, OTHERS):
+            others = todo[at : at + OTHERS]
+            near = sum(np.bitwise_count(x[some, None] ^ x[others]) for x in prints.T) <= MAX_DISTANCE
+            near &= part[some, None] != part[others]
+            for nth in np.flatnonzero(near.any(axis=1)).tolist():
+                joined = np.unique(part[np.append(others[near[nth]], some[nth])])
+                if joined.size > 1:
+                    part[np.isin(part, joined)] = joined[0]
+        todo = todo[SOME:]
+        todo = todo[np.argsort(np.bincount(part)[part[todo]], kind="stable")]
+    return part
 
 
 def _signed(n: int) -> int:
@@ -73,18 +124,78 @@ def _node(hashes: np.ndarray) -> int:
 
 
 def _sketches(rows: DataFrame, shingle_words: int) -> DataFrame:
-    """rows: id, h and text. id, h, node (of the set of shingles) and keys."""
+    """rows: id, h and text. id, h, node (of the set of shingles) and print, its fingerprints."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches, 2):
-            nodes, keys = [], []
+            nodes, prints = [], []
             for text in batch.column(2):
                 own = shingles(text.as_py(), shingle_words)
                 nodes.append(_node(own))
-                keys.append(bands(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "h", "node", "keys"])
+                prints.append(fingerprints(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.binary())], ["id", "h", "node", "print"])
+
+    return rows.mapInArrow(sketch, f"id {dict(rows.dtypes)['id']}, h long, node long, print binary")
+
+
+def _buckets(nodes: DataFrame, texts: int) -> DataFrame:
+    """nodes: node and print, each once, texts in number. key and node of all candidates: those of one segment whose compared
+    bits are close, or joined by close ones, have one key."""
+    places = segment_places(texts)
+    weights, words = 1 << np.arange(places.shape[1]), COMPARED // 64
 
-    return rows.mapInArrow(sketch, f"id {dict(rows.dtypes)['id']}, h long, node long, keys array<long>")
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, SEGMENTS_AT_ONCE // len(places))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                own = batch.slice(at, step)
+                of_each = own.column(1).to_pylist()
+                node = np.repeat(own.column(0).to_numpy(), [len(p) * 8 // BITS for p in of_each])
+                prints = np.frombuffer(b"".join(of_each), np.uint8).reshape(-1, BITS // 8)
+                bits = np.unpackbits(prints, axis=1)
+                keys = np.concatenate([bits[:, p] @ weights + (nth << p.size) for nth, p in enumerate(places)])
+                compared = np.ascontiguousarray(prints[:, : COMPARED // 8]).view(np.int64)
+                columns = [keys, *(np.tile(x, len(places)) for x in (node, *compared.T))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    def candidates(keys: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+        found_keys, found_nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        cuts = np.flatnonzero(np.diff(keys)) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), keys.size], strict=True):
+            part = parts(np.stack([c[low:high] for c in columns[1:]], axis=1).view(np.uint64))
+            if np.unique(part).size == part.size:
+                continue
+            order = np.lexsort((columns[0][low:high], part))
+            part, node = part[order], columns[0][low:high][order]
+            once = np.append(True, (np.diff(part) > 0) | (np.diff(node) != 0))
+            part, node = part[once], node[once]
+            begins = np.flatnonzero(np.diff(part, prepend=-1))
+            sizes = np.diff(np.append(begins, part.size))
+            own = [_signed(xxhash.xxh64_intdigest(np.array([keys[low], x]).tobytes(), SEED)) for x in node[begins].tolist()]
+            several = np.repeat(sizes > 1, sizes)
+            found_keys.append(np.repeat(np.array(own, np.int64), sizes)[several])
+            found_nodes.append(node[several])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_keys)), pa.array(np.concatenate(found_nodes))], ["key", "node"])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([c.to_numpy() for c in batch.columns])
+            first, last = held[0][0][0], held[-1][0][-1]
+            if first != last:  # all but the last key are whole
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                cut = int(np.searchsorted(columns[0], last))
+                held = [[c[cut:] for c in columns]]
+                yield candidates(columns[0][:cut], [c[:cut] for c in columns[1:]])
+        if held:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            yield candidates(columns[0], columns[1:])
+
+    names = ["key", "node", *(f"bits{i}" for i in range(words))]
+    rows = nodes.filter("print IS NOT NULL").select("node", "print").mapInArrow(segments, ", ".join(f"{n} long" for n in names))
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(close, "key long, node long")
 
 
 def _sets(rows: DataFrame, shingle_words: int) -> DataFrame:
@@ -104,7 +215,7 @@ def _alike(few: DataFrame, rows: DataFrame, sets: DataFrame, similarity: float)
     bucket; that of an a goes to each home of a member of its buckets once, and streams by. Which members it meets is seen
     there: pairs are never rows."""
     root = F.first("root").alias("root")
-    members = rows.groupBy("node").agg(F.first("home").alias("home"), F.lit(False).alias("asks"), root, F.collect_list("key").alias("keys"))  # BANDS keys
+    members = rows.groupBy("node").agg(F.first("home").alias("home"), F.lit(False).alias("asks"), root, F.collect_list("key").alias("keys"))  # a key a segment at most
     visits = few.join(rows.select("key", "home").distinct(), "key").groupBy("home", F.col("a").alias("node")).agg(root, F.collect_list("key").alias("keys"))
     met = members.unionByName(visits.withColumn("asks", F.lit(True))).join(sets, "node").select("home", "asks", "node", "root", "keys", "hashes")
     met = met.repartition("home").sortWithinPartitions("home", "asks", "node")  # in every home the same leader comes first
@@ -236,15 +347,16 @@ def keep_one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_colu
     """docs with one document of each group of near duplicates, the one with the least id; all columns stay."""
     require(docs, id_column, text_column)
     if not SIMILARITY <= similarity <= 1:
-        raise ValueError(f"the bands are made for a similarity of {SIMILARITY} or more")
+        raise ValueError(f"the segments are made for a similarity of {SIMILARITY} or more")
     texts = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.col(text_column)).alias("h"), F.col(text_column).alias("text"))
     rows = checkpointed(_sketches(texts, shingle_words))
-    nodes = rows.groupBy("node").agg(F.first("keys").alias("keys"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("of"))
+    nodes = rows.groupBy("node").agg(F.first("print").alias("print"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("of"))
     nodes = checkpointed(nodes)
-    members = checkpointed(_members(nodes.select(F.explode("keys").alias("key"), "node")))
+    different = nodes.count()
+    members = checkpointed(_members(checkpointed(_buckets(nodes, different))))
     wanted = nodes.join(members.select("node"), "node").select("node", F.col("of.id").alias("of_id"), F.col("of.h").alias("of_h"))
     sets = texts.join(wanted, (F.col("h") == F.col("of_h")) & F.col("id").eqNullSafe(F.col("of_id"))).select("node", "text")
     sets = checkpointed(_sets(sets, shingle_words).dropDuplicates(["node"]))
-    roots = _linked(members, sets, nodes.count(), similarity)
-    found = rows.drop("keys").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = _linked(members, sets, different, similarity)
+    found = rows.drop("print").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return keep_least_of_each(docs, found, id_column, text_column)

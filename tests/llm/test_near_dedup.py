@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from scanloom.llm import near_dedup
 from scanloom.llm.components import components
@@ -111,3 +113,86 @@ def test_members_carry_their_buckets_and_home(spark, monkeypatch):
         assert r.weight == sum(sizes[k][0] for k in own)
     homes = {r.node: r.home for r in found}
     assert homes[60] == homes[61] and 1 <= len({homes[n] for n in range(10)}) <= 3
+
+
+def bits_of(hashes):
+    return np.unpackbits(np.frombuffer(near_dedup.fingerprint(hashes), np.uint8))
+
+
+def random_set(generator, n):
+    return np.sort(generator.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+
+
+def test_fingerprint_is_the_majority_of_each_bit():
+    generator = np.random.default_rng(1)
+    for n in (1, 2, 5, 255, 256, 700):
+        own = random_set(generator, n)
+        words = [[(int(h) * int(f) % (1 << 64)) >> 32 for f in near_dedup._FACTORS] for h in own]
+        plain = ["".join(f"{w.to_bytes(4, 'little')[i]:08b}" for w in row for i in range(4)) for row in words]
+        expected = [int(2 * sum(row[i] == "1" for row in plain) > n) for i in range(near_dedup.BITS)]
+        assert bits_of(own).tolist() == expected
+
+
+def test_simhash_segments_find_pairs_of_the_least_similarity():
+    """Of 3,000 pairs of 0.8 to 0.82 each agrees in a segment and is close in the other bits, whatever the number of texts."""
+    generator = np.random.default_rng(2)
+    assert near_dedup.segment_places(100).shape == (16, 4)
+    for shared, more, others in ((4, 0, 1), (5, 0, 1), (8, 1, 1), (16, 2, 2), (80, 10, 10), (82, 0, 20)):
+        pairs = []
+        for _ in range(500):
+            both = random_set(generator, shared)
+            x, y = (np.sort(np.append(both, random_set(generator, n))) for n in (more, others))
+            looked_up = [np.frombuffer(near_dedup.fingerprints(s), np.uint8).reshape(-1, near_dedup.BITS // 8) for s in (x, y)]
+            a, b = (np.unpackbits(s, axis=1) for s in looked_up)
+            pairs.append(min((i != j for i in a for j in b), key=np.sum))
+        pairs = np.array(pairs)
+        assert pairs[:, : near_dedup.COMPARED].sum(axis=1).max() <= near_dedup.MAX_DISTANCE
+        for texts in (1_000, 200_000):
+            places = near_dedup.segment_places(texts)
+            assert places.min() >= near_dedup.COMPARED
+            assert np.any([~pairs[:, p].any(axis=1) for p in places], axis=0).all()
+
+
+def test_parts_are_components_of_close_prints(monkeypatch):
+    monkeypatch.setattr(near_dedup, "SOME", 7)
+    monkeypatch.setattr(near_dedup, "OTHERS", 11)
+    generator = np.random.default_rng(3)
+    centers = generator.integers(0, 2, (6, 192))
+    bits = [centers[generator.integers(6)] ^ (generator.random(192) < rate) for rate in generator.uniform(0.05, 0.3, 150)]
+    prints = np.packbits(np.array([*bits, *generator.integers(0, 2, (40, 192))]), axis=1).view(np.uint64)
+    root = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if sum(int(a ^ b).bit_count() for a, b in zip(prints[i], prints[j], strict=True)) <= 58 and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    found = near_dedup.parts(prints).tolist()
+    assert len(set(found)) == len(set(root)) == len(set(zip(found, root, strict=True)))
+
+
+def test_candidates_share_a_key(spark):
+    """Near copies, in one very large bucket among others, and no text alone; small batches cut buckets."""
+    generator = np.random.default_rng(4)
+    base = random_set(generator, 300)
+    sets = [np.unique(np.append(np.delete(base, generator.integers(300, size=8)), random_set(generator, 5))) for _ in range(150)]
+    sets += [random_set(generator, 300) for _ in range(100)]
+    nodes = spark.createDataFrame([(i, bytearray(near_dedup.fingerprints(s))) for i, s in enumerate(sets)], "node long, print binary").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        rows = near_dedup._buckets(nodes, 100_000).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(rows) == len({(r.key, r.node) for r in rows}) and {r.node for r in rows} == set(range(150))
+    keys = {i: {r.key for r in rows if r.node == i} for i in range(150)}
+    assert all(keys[i] & keys[j] for i in range(150) for j in range(i))
+
+
+def test_eight_words_and_nine(spark):
+    """Sets of four and of five shingles, 0.8 alike."""
+    generator = random.Random(5)
+    texts = []
+    for _ in range(300):
+        words = ["".join(generator.choice("abcdefgh") for _ in range(6)) for _ in range(9)]
+        texts += [" ".join(words), " ".join(words[1:] if generator.random() < 0.5 else words[:-1])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in near_dedup.keep_one_of_each_group(docs).collect()} == set(range(0, 600, 2))
