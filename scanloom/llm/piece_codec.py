@@ -9,8 +9,8 @@ order that is known beforehand, and the pair holds if no merge over the border e
 Runs: no piece holds a word separator after another character, so a text is cut before each separator that follows
 one, and short runs that come again are looked up. New runs of a batch are encoded together, array by array, one
 position at a time; long ones one by one, prefix by prefix, so their cost grows with their length only. Texts of any
-length are handled in parts, cut where a run begins, and what is remembered has a bound in bytes. Texts are decoded from
-their ids alone.
+length are handled in parts, cut where a run begins, and what is remembered has a bound in bytes: when half of it is full,
+the other half is forgotten, but for the runs that have come again meanwhile. Texts are decoded from their ids alone.
 
 Normalisation is that of the model: blanks become separators and one is put in front. Characters outside the
 vocabulary become their bytes. Models with other normalisation rules, with user-defined pieces, or of another kind
@@ -38,7 +38,7 @@ from scanloom.llm.common import require
 SEPARATOR = "▁"
 #: Longer runs are encoded one by one.
 LONG_RUN = 48
-#: Bytes of the runs that a worker remembers, about, and runs it encodes together.
+#: Bytes of the runs that a worker remembers, about, if nothing else is asked for, and runs it encodes together.
 REMEMBERED_BYTES, TOGETHER = 24 << 20, 20_000
 #: Bytes that a remembered run takes besides its characters and ids.
 OVERHEAD = 200
@@ -109,9 +109,11 @@ class PieceCodec:
         self.tokens = max(self.id.values()) + 1
         self._timelines()
         self._trie()
-        #: ids, joined by commas, of runs; and how many bytes they take
+        #: ids, joined by commas, of the runs that came last; how many bytes they take; and those of the runs before them, of
+        #: which the ones that come again are taken over
         self._memory: dict[str, str] = {}
-        self._bytes = 0
+        self._bytes, self.remembered = 0, REMEMBERED_BYTES
+        self._before: dict[str, str] = {}
         self._followers: dict[int, bool] = {}
         self._timeline: dict[int, tuple[list[int], list[int], list[int]]] = {}
         #: the last tested pair of each slot, and its result
@@ -331,14 +333,14 @@ class PieceCodec:
     def encode_parts(self, parts: list[tuple[str, bool]]) -> list[str]:
         """Ids, joined by commas, of each part of a text; each with whether it is the text's first."""
         cut = [self.runs.findall((SEPARATOR if first else "") + t.replace(" ", SEPARATOR)) if t else [] for t, first in parts]
-        if self._bytes > REMEMBERED_BYTES:
-            self._memory.clear()
-            self._bytes = 0
-        memory = self._memory
-        new = {r for runs in cut for r in runs if r not in memory}
-        if new:
-            self._learn(list(new))
-        found = [",".join([memory[r] for r in runs]) for runs in cut]
+        if self._bytes > self.remembered // 2:
+            self._before, self._memory, self._bytes = self._memory, {}, 0
+        memory, before = self._memory, self._before
+        new = set().union(*cut).difference(memory)
+        memory.update([(r, before[r]) for r in new if r in before])
+        if unknown := [r for r in new if r not in before]:
+            self._learn(unknown)
+        found = [",".join(map(memory.__getitem__, runs)) for runs in cut]
         for r in new:
             if len(r) > LONG_RUN:
                 del memory[r]
@@ -379,9 +381,9 @@ def parts_of(text: str | None) -> Iterator[str]:
     yield text[at:]
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = True, keep_decoded: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = True, keep_decoded: bool = True, remembered: int = REMEMBERED_BYTES) -> DataFrame:
     """One row per row of docs: id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the
-    decoded text), and if kept also ids (array<int>) and decoded."""
+    decoded text), and if kept also ids (array<int>) and decoded. A worker remembers runs of so many bytes, about."""
     require(docs, id_column, text_column)
     kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
     kinds |= ({"ids": pa.list_(pa.int32())} if keep_ids else {}) | ({"decoded": pa.string()} if keep_decoded else {})
@@ -411,6 +413,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_column: str = "doc_id"
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
+        own.remembered = remembered
 
         def finished(ids: pa.Array, rows: list[Row]) -> pa.RecordBatch:
             values = [r.values() for r in rows]

@@ -56,7 +56,7 @@ def piece_model() -> str:
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.encode_documents(read_table(spark, sf_dir, "documents"), piece_model(), keep_ids=False, keep_decoded=False)
+    return piece_codec.encode_documents(read_table(spark, sf_dir, "documents"), piece_model(), keep_ids=False, keep_decoded=False, remembered=96 << 20)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,17 @@ def test_pair_tests_agree(own):
     tokens = np.array(sorted(own.reached))
     a, b = generator.choice(tokens, 3000), generator.choice(tokens, 3000)
     assert [own._may_follow(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)] == own._compatible(a, b).tolist()
+
+
+def test_runs_that_come_again_stay_remembered(library, monkeypatch):
+    """Runs in each text are learned once, though others fill the memory many times over; both halves keep their bound."""
+    own, learned = piece_codec.PieceCodec(piece_model()), []
+    own.remembered = 200_000
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda runs: (learned.extend(runs), learn(runs)))
+    generator = random.Random(4)
+    for _ in range(40):
+        text = "the words that come again " + " ".join("".join(generator.choice("etaoinsr") for _ in range(9)) for _ in range(300))
+        assert own.encode(text) == library.encode(text)
+        assert sum(map(len, own._memory)) <= own._bytes <= 200_000 and len(own._memory) + len(own._before) <= 2000
+    assert len(learned) > 10_000 and learned.count(piece_codec.SEPARATOR + "again") == 1
