@@ -10,12 +10,19 @@ standard deviations above a pair of 0.8, and 5 below unlike texts. Sets of four
 as four make many ties, so a set of five is looked up by each four of its shingles too.
 
 Texts with one set of shingles become one row first. Of a bucket only candidates go on, those that are joined by close
-fingerprints, in one bucket again, which is meant from here on. In a bucket, pairs of one group need no look. Where many pairs are
-left, the members are held against a few leaders, those that share most with others, more of them in each round, and what
-that links is grouped before the next, by a search of two links only; when few are left, each is verified. Sets of one
-dense group lie together, and another's set goes by them once, not once a pair; there, pairs of groups that have been
-linked already need no look. So a bucket of very many near copies costs little more than its rows, and no pair of a bucket
-is left out unless both are in one group already. All links together are joined to whole groups at the end.
+fingerprints; what buckets join, over any number of them, is a crowd, and only within it are sets held against each other.
+A crowd may be large and have few links, so its members don't all meet: in the order of how many sets of the crowd have a
+shingle, rarest first, two sets of 0.8 share one of the first fifth of their shingles, or else they couldn't share enough of
+the rest, and the smaller one has it in its first ninth. Those who have a shingle among their first ones make a list, if one
+has it in its first ninth, and only a list's members meet. Of a small crowd all meet. So no link of a crowd is lost, and the
+rows of lists are first shingles, in proportion to the texts.
+
+In a list, pairs of one group need no look. Where many pairs are left, the members are held against a few leaders, those
+that share most with others, more of them in each round, and what that links is grouped before the next, by a search of two
+links only; when few are left, each is verified. Sets of one dense group lie together, and another's set goes by them once,
+not once a pair; there, pairs of groups that have been linked already need no look. So a list of very many near copies costs
+little more than its rows, and no pair of a list is left out unless both are in one group already. All links together are
+joined to whole groups at the end. `linked` calls lists buckets, as any will do for it.
 
 Defined results: texts without words are one group; a text of fewer than five words is one shingle; case counts for
 nothing in A to Z; rows with one id and one text stay or go together; an empty table gives an empty result.
@@ -54,6 +61,8 @@ PAIRS_A_TEXT = 60
 LEADERS, MORE_LEADERS = 16, 16
 #: Sets that lie together while others are held against them.
 HOME_SETS = 2048
+#: Members of a crowd, at most, that all meet: their pairs are few.
+SMALL_CROWD = 16
 LINKS = "a long, b long, a_root long, b_root long"
 
 #: A shingle's hash times each of these gives 32 bits.
@@ -209,6 +218,35 @@ def _sets(rows: DataFrame, shingle_words: int) -> DataFrame:
     return rows.mapInArrow(sets, "node long, hashes array<long>")
 
 
+def _crowds(buckets: DataFrame) -> DataFrame:
+    """buckets: key and node, each once. node, crowd, the least node that buckets join it to, and members, how many it has,
+    of all nodes that share a bucket."""
+    least = buckets.groupBy("key").agg(F.min("node").alias("least"))
+    # a node is linked to the least of the least ones of its buckets, and so are those: in a dense crowd they are few
+    of = buckets.join(least, "key").groupBy("node").agg(F.collect_set("least").alias("ends"), F.min("least").alias("least"))
+    found = components(of.select(F.explode(F.array_union("ends", F.array("node"))).alias("end"), "least")).withColumnRenamed("root", "crowd")
+    return checkpointed(found.join(found.groupBy("crowd").agg(F.count(F.lit(1)).alias("members")), "crowd").select("node", "crowd", "members"))
+
+
+def _lists(crowds: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """crowds: node, crowd and members; sets: node and hashes. key and node, each once: any two of a crowd that are similar
+    enough have a key in common, that of a shingle which is among the rarest of both, or, if it is small, that of the crowd."""
+    small = crowds.filter(F.col("members") <= SMALL_CROWD).select(F.col("crowd").alias("key"), "node")
+    large = crowds.filter(F.col("members") > SMALL_CROWD).select("node", "crowd")
+    each = sets.join(large, "node").select("node", "crowd", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
+    shared = each.groupBy("crowd", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    own = each.join(shared, ["crowd", "h"]).groupBy("node", "crowd", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("rarest"))
+    # two similar sets share one of the first shingles of each, in the smaller set one of the fewer that are meant by short;
+    # those that no other set has come before the rarest
+    own = own.withColumn("alone", F.col("size") - F.size("rarest"))
+    long, short = (F.col("size") - F.ceil(F.col("size") * share - 1e-6) + 1 - F.col("alone") for share in (similarity, 2 * similarity / (1 + similarity)))
+    own = own.withColumn("long", long.cast("int")).withColumn("short", short).filter("long > 0")
+    own = own.select("node", "crowd", "short", F.posexplode(F.slice("rarest", F.lit(1), F.col("long"))).alias("nth", "x"))
+    own = checkpointed(own.select(F.xxhash64("crowd", "x.h").alias("key"), "node", (F.col("nth") < F.col("short")).alias("short")))
+    of_smaller = own.groupBy("key").agg(F.max("short").alias("short"), F.count(F.lit(1)).alias("n")).filter("short AND n > 1")
+    return small.unionByName(own.join(of_smaller.select("key"), "key").select("key", "node"))
+
+
 def _alike(few: DataFrame, rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """few: key, a and root, of some members of the buckets; rows: key, node, root and home of all. The pairs (a, b) of one
     bucket and two roots whose sets are similar enough, with a_root and b_root. Sets lie at home, with those of their largest
@@ -313,11 +351,7 @@ def _nearby(links: DataFrame) -> DataFrame:
 def linked(buckets: DataFrame, sets: DataFrame, texts: int, similarity: float = SIMILARITY) -> DataFrame:
     """buckets: key and node, each once; sets: node and hashes. Gives (node, root) of all nodes with a link: no pair of
     a bucket that is similar enough is in two groups."""
-    return _linked(_members(buckets), sets, texts, similarity)
-
-
-def _linked(members: DataFrame, sets: DataFrame, texts: int, similarity: float) -> DataFrame:
-    leaders = LEADERS
+    members, leaders = checkpointed(_members(buckets)), LEADERS
     with LoopTables(members.sparkSession) as kept:
         rows = members.select("node", F.col("node").alias("root"), "home", "weight", F.inline("buckets"))
         rows = kept.put("rows", rows.select("key", "node", "root", "home", "weight", "top", ((F.col("n") - 1) / 2).alias("pairs")))
@@ -353,10 +387,10 @@ def keep_one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_colu
     nodes = rows.groupBy("node").agg(F.first("print").alias("print"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("of"))
     nodes = checkpointed(nodes)
     different = nodes.count()
-    members = checkpointed(_members(checkpointed(_buckets(nodes, different))))
-    wanted = nodes.join(members.select("node"), "node").select("node", F.col("of.id").alias("of_id"), F.col("of.h").alias("of_h"))
+    crowds = _crowds(checkpointed(_buckets(nodes, different)))
+    wanted = nodes.join(crowds.select("node"), "node").select("node", F.col("of.id").alias("of_id"), F.col("of.h").alias("of_h"))
     sets = texts.join(wanted, (F.col("h") == F.col("of_h")) & F.col("id").eqNullSafe(F.col("of_id"))).select("node", "text")
     sets = checkpointed(_sets(sets, shingle_words).dropDuplicates(["node"]))
-    roots = _linked(members, sets, different, similarity)
+    roots = linked(_lists(crowds, sets, similarity), sets, different, similarity)
     found = rows.drop("print").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return keep_least_of_each(docs, found, id_column, text_column)

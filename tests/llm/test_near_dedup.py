@@ -196,3 +196,67 @@ def test_eight_words_and_nine(spark):
         texts += [" ".join(words), " ".join(words[1:] if generator.random() < 0.5 else words[:-1])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in near_dedup.keep_one_of_each_group(docs).collect()} == set(range(0, 600, 2))
+
+
+def crowd_of_texts(generator, n):
+    """n texts of one base, most of them apart: each has 15 of 400 words of its own; every fifth is a near copy of the one before."""
+    word = lambda: "".join(generator.choice("abcdefgh") for _ in range(7))
+    base, texts = [word() for _ in range(400)], []
+    for i in range(n):
+        own = list(texts[-1] if i % 5 == 4 else base)
+        for at in [generator.randrange(400)] if i % 5 == 4 else generator.sample(range(0, 400, 5), 15):
+            own[at] = word()
+        texts.append(own)
+    return {i: " ".join(t) for i, t in enumerate(texts)}
+
+
+def test_rows_grow_with_a_crowd_and_not_with_its_square(spark, monkeypatch):
+    """Sets that are sent to the homes of others, of one crowd of candidates that are apart but for a few."""
+    monkeypatch.setattr(near_dedup, "HOME_SETS", 8)
+    sent, alike = [], near_dedup._alike
+
+    def counted(few, rows, *others):
+        sent[-1] += few.join(rows.select("key", "home").distinct(), "key").select("home", "a").distinct().count()
+        return alike(few, rows, *others)
+
+    monkeypatch.setattr(near_dedup, "_alike", counted)
+    for n in (40, 120):
+        by_id = crowd_of_texts(random.Random(13), n)
+        sent.append(0)
+        docs = spark.createDataFrame(list(by_id.items()), "doc_id long, text string")
+        kept = {r.doc_id for r in near_dedup.keep_one_of_each_group(docs).collect()}
+        assert kept == kept_by_brute_force(by_id) == {i for i in by_id if i % 5 != 4}
+    assert 8 <= sent[0] <= 80 and 24 <= sent[1] <= 240, sent
+
+
+def test_lists_hold_all_similar_pairs_of_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL_CROWD", 4)
+    generator = np.random.default_rng(6)
+    sets = {}
+    for crowd, n in ((0, 60), (100, 4), (200, 25)):
+        base = np.arange(crowd * 1000, crowd * 1000 + 50)
+        for i in range(n):
+            out, own = generator.integers(0, 9), generator.integers(0, 6)
+            sets[crowd + i] = {*generator.permutation(base)[out:].tolist(), *generator.integers(10**9, 10**12, own).tolist()}
+    sets |= {300 + i: {5, 6, 7, 8, *([9] if i else [])} for i in range(6)}  # sets of four and of five
+    crowds = spark.createDataFrame([(i, i // 100 * 100, sum(j // 100 == i // 100 for j in sets)) for i in sets], "node long, crowd long, members long")
+    rows = near_dedup._lists(crowds, spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "node long, hashes array<long>"), 0.8).collect()
+    assert len(rows) == len({(r.key, r.node) for r in rows})
+    keys = {i: {r.key for r in rows if r.node == i} for i in sets}
+    similar = [(i, j) for i in sets for j in sets if i < j and i // 100 == j // 100 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(similar) > 100 and all(keys[i] & keys[j] for i, j in similar)
+    assert not any(keys[i] & keys[j] for i in sets for j in sets if i // 100 != j // 100)
+
+
+def test_crowds_are_what_buckets_join(spark):
+    generator = random.Random(17)
+    pairs = sorted({(generator.randrange(60), generator.randrange(150)) for _ in range(160)} | {(100 + i, 200 + i + j) for i in range(30) for j in (0, 1)})
+    root = {node: node for _, node in pairs}
+    for _ in root:
+        for key in {k for k, _ in pairs}:
+            least = min(root[n] for k, n in pairs if k == key)
+            root |= {n: least for k, n in pairs if k == key}
+    expected = {n: r for n, r in root.items() if list(root.values()).count(r) > 1}
+    found = near_dedup._crowds(spark.createDataFrame(pairs, "key long, node long")).collect()
+    assert len(found) == len(expected) and {r.node: r.crowd for r in found} == expected
+    assert all(r.members == list(root.values()).count(r.crowd) for r in found)
