@@ -2,6 +2,7 @@
 
 import struct
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -127,3 +128,22 @@ def test_feature_table(spark, folder):
     images = to_gray(read_images(spark, folder))
     table = J.feature_table(images, "class_name", "file_name", 2).orderBy("index").collect()
     assert [r["index"] for r in table] == [1, 2, 3, 4, 5] and table[0].mean_text == f"{table[0]['mean']:.4f}"
+
+
+def test_threshold_of_equal_variances():
+    """Two levels of one variance, whose last bits differ: the first, as SQL and exact fractions have it."""
+    levels = [
+        [0, 110, 119, 152, 195, 148, 225, 75, 216, 103, 187, 111, 171, 203, 255, 189, 199, 50, 45, 157, 85, 167, 198, 61, 196, 94, 138, 118, 53, 75, 229, 164]
+        + [240, 217, 145, 160, 48, 202, 50, 213, 140, 153, 119, 170, 154, 80, 36, 220, 111, 51, 195, 160, 65, 142, 206, 159, 103, 201, 93, 118, 55, 117, 135, 130],
+        [65, 150, 100, 206, 113, 192, 9, 174, 139, 153, 112, 155, 198, 125, 210, 142, 111, 231, 167, 199, 87, 255, 150, 206, 150, 49, 114, 195, 129, 165, 131, 0]
+        + [70, 231, 133, 38, 164, 100, 133, 144, 111, 161, 99, 224, 218, 132, 88, 85, 203, 89, 113, 228, 165, 57, 171, 81, 160, 146, 169, 96, 149, 130, 209, 105],
+    ]
+    images = K.preprocess(np.array(levels, np.uint8).reshape(-1, 8, 8))
+    assert [round(t * 255) for t in K.otsu_threshold(images)] == [120, 116]
+    for image, found in zip((images * 255).astype(np.uint8).reshape(-1, 64).astype(int).tolist(), K.otsu_threshold(images), strict=True):
+        spread = {}
+        for t in range(max(image)):
+            below = [v for v in image if v <= t]
+            if below and len(below) < 64:
+                spread[t] = Fraction((sum(below) * 64 - sum(image) * len(below)) ** 2, len(below) * (64 - len(below)))
+        assert min(t for t, v in spread.items() if v == max(spread.values())) == round(found * 255)
