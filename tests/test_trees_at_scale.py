@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scanloom.operators import features, hierarchy, kmeans, spatial
+from scanloom.operators import features, held, hierarchy, kmeans, spatial
 from scanloom.sources.tables import LoopTables, checkpointed
 
 POINT = "id long, size long, center array<double>"
@@ -45,6 +45,36 @@ def test_ward_in_rounds(spark, x, small_blocks):
     assert few == many
 
 
+@pytest.mark.parametrize("ways", [{"MOST_VALUES": 0}, {"AT_HOME": 0}, {}])
+def test_ward_by_tables_and_arrays(spark, x, small_blocks, monkeypatch, ways):
+    """Rounds on tables, on arrays by jobs, and on arrays at the driver give the merges of the one-by-one rule."""
+    expected = set(rows(hierarchy.ward(table(spark, x), few=1000), len(x)))
+    for name, value in {"BLOCK": 16, **ways}.items():
+        monkeypatch.setattr(held, name, value)
+    assert set(rows(hierarchy.ward(table(spark, x), few=6), len(x))) == expected
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_nearest_of_other_owners(spark, monkeypatch, k):
+    """Lists of the nearest, by leaves and by jobs, equal brute force; points far from zero and points of one place included."""
+    monkeypatch.setattr(held, "BLOCK", 16)
+    random = np.random.default_rng(5)
+    x = np.concatenate([random.normal(0, 1, (150, 3)), random.integers(0, 3, (50, 3))]) + 1e4
+    own, size = random.integers(0, 20, 200), random.integers(1, 5, 200).astype(float)
+    for ward in (False, True):
+        h = held.Held(np.arange(200), size, x, own)
+        d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+        d = np.sqrt(2 * size[:, None] * size[None] / (size[:, None] + size[None]) * d2) if ward else np.sqrt(d2)
+        d[own[:, None] == own[None]] = np.inf
+        expected = np.argsort(d, axis=1, kind="stable")[:, :k]
+        for home in (0, held.AT_HOME):
+            monkeypatch.setattr(held, "AT_HOME", home)
+            other, found = held.search(spark, h, np.arange(200), k, ward)
+            assert (h.ids[other] == expected[h.ids]).all() and np.allclose(found, np.take_along_axis(d, expected, axis=1)[h.ids])
+    bounded, found = held.search(spark, h, np.arange(200), k, True, np.full(200, 0.5))
+    assert ((bounded < 0) == (np.take_along_axis(d, expected, axis=1)[h.ids] > 0.5)).all() and (found[bounded < 0] == np.inf).all()
+
+
 def prim(x):
     d, inside, best, to, total = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), np.zeros(len(x), bool), np.full(len(x), np.inf), np.zeros(len(x), int), []
     best[0] = 0
