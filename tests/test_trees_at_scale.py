@@ -54,6 +54,18 @@ def test_ward_by_tables_and_arrays(spark, x, small_blocks, monkeypatch, ways):
     assert set(rows(hierarchy.ward(table(spark, x), few=6), len(x))) == expected
 
 
+def test_visits_are_no_rows(spark, monkeypatch):
+    """In ten dimensions most blocks are visited, so a tree of 5,000 points must not make a row of each visit."""
+    def refused(*_):
+        raise AssertionError("visits as rows")
+
+    monkeypatch.setattr(spatial, "_search", refused)
+    x = np.random.default_rng(3).normal(size=(5000, 10))
+    merges = hierarchy.ward(table(spark, x), few=64)
+    sums = merges.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("height") ** 2) / 2).alias("spread")).first()
+    assert sums.n == 4999 and sums.spread == pytest.approx(((x - x.mean(axis=0)) ** 2).sum())
+
+
 @pytest.mark.parametrize("k", [1, 4])
 def test_nearest_of_other_owners(spark, monkeypatch, k):
     """Lists of the nearest, by leaves and by jobs, equal brute force; points far from zero and points of one place included."""
