@@ -66,6 +66,16 @@ def test_visits_are_no_rows(spark, monkeypatch):
     assert sums.n == 4999 and sums.spread == pytest.approx(((x - x.mean(axis=0)) ** 2).sum())
 
 
+def test_two_clusters_of_many_points(spark, monkeypatch):
+    """What w7_cah_eval asks of a tree: the cut that leaves two clusters, here two groups far apart."""
+    monkeypatch.setattr(spatial, "_search", None)
+    random = np.random.default_rng(4)
+    x = random.permutation(np.concatenate([random.normal(0, 1, (1500, 9)), random.normal(4, 1, (1000, 9))]))
+    cut = hierarchy.cut_tree(hierarchy.ward(table(spark, x)), len(x), 2).orderBy("id").collect()
+    labels = np.array([r.cluster for r in cut])
+    assert [r.id for r in cut] == list(range(2500)) and np.ptp(labels[x.mean(axis=1) > 2]) == np.ptp(labels[x.mean(axis=1) < 2]) == 0 < np.ptp(labels)
+
+
 @pytest.mark.parametrize("k", [1, 4])
 def test_nearest_of_other_owners(spark, monkeypatch, k):
     """Lists of the nearest, by leaves and by jobs, equal brute force; points far from zero and points of one place included."""
