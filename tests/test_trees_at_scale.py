@@ -97,6 +97,25 @@ def test_nearest_of_other_owners(spark, monkeypatch, k):
     assert ((bounded < 0) == (np.take_along_axis(d, expected, axis=1)[h.ids] > 0.5)).all() and (found[bounded < 0] == np.inf).all()
 
 
+@pytest.mark.parametrize("home", [0, 1 << 24])
+@pytest.mark.parametrize("method", ["average", "complete"])
+def test_linkage_keeps_no_pairs(spark, x, monkeypatch, method, home):
+    """Pairs are measured when they are asked for: rounds by jobs or at the driver, to the end or to a matrix, give the
+    merges of the one-by-one rule, and no table of pairs is made."""
+    monkeypatch.setattr(held, "AT_HOME", home)
+    monkeypatch.setattr(hierarchy, "_all_pairs", None)
+    distinct = np.unique(x, axis=0)
+    d = np.sqrt(((distinct[:, None] - distinct[None]) ** 2).sum(axis=2))
+    n, points = len(distinct), {i: frozenset([i]) for i in range(len(distinct))}
+    expected = set()
+    for i, j, height, _, _, new in hierarchy._finish(list(range(n)), [1] * n, d.copy(), method, n):
+        points[new] = points[i] | points[j]
+        expected.add((round(height, 9), *sorted((points[i], points[j]), key=min)))
+    for few in (3, 40) if home else (60,):
+        assert set(rows(hierarchy.linkage(table(spark, distinct), method, few), n)) == expected
+    assert [r[0] for r in rows(hierarchy.linkage(table(spark, x), method, n), len(x)) if r[0] == 0] == [0.0] * (len(x) - n)
+
+
 def prim(x):
     d, inside, best, to, total = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), np.zeros(len(x), bool), np.full(len(x), np.inf), np.zeros(len(x), int), []
     best[0] = 0
