@@ -144,6 +144,35 @@ def test_spanning_tree(spark, x, small_blocks, few):
         parts[root(e.i)] = root(e.j)
 
 
+@pytest.mark.parametrize("home", [0, 1 << 24])
+def test_spanning_edges(spark, monkeypatch, home):
+    """Points at random, in two groups far apart, with many equal distances and along a growing path, without a row for each
+    visit: the edges of the greedy rule, in the order of lengths and ids."""
+    monkeypatch.setattr(held, "AT_HOME", home)
+    monkeypatch.setattr(held, "BLOCK", 16)
+    monkeypatch.setattr(spatial, "_search", None)
+    random = np.random.default_rng(6)
+    many = random.normal(size=(160, 3))
+    kinds = [many, many + np.repeat([0, 50], 80)[:, None], random.permutation(np.unique(random.integers(0, 5, (150, 3)).astype(float), axis=0)), np.cumsum(np.arange(40.0))[:, None], many[:1]]
+    for x in kinds[1:3] if home == 0 else kinds:
+        i, j = np.triu_indices(len(x), 1)
+        d, roots, expected = np.sqrt(((x[i] - x[j]) ** 2).sum(axis=1)), np.arange(len(x)), []
+        for e in np.lexsort((j, i, d)):
+            if roots[i[e]] != roots[j[e]]:
+                roots[roots == roots[j[e]]] = roots[i[e]]
+                expected.append((i[e], j[e]))
+        low, high, apart = held.spanning_edges(spark, np.arange(len(x)), x)
+        assert sorted(zip(low, high)) == sorted(expected) and np.allclose(apart, np.sqrt(((x[low] - x[high]) ** 2).sum(axis=1)))
+
+
+@pytest.mark.parametrize("method", ["single", "average"])
+def test_linkage_of_what_is_too_much_to_be_held(spark, x, small_blocks, monkeypatch, method):
+    some = np.unique(x, axis=0)[:40]
+    expected = rows(hierarchy.linkage(table(spark, some), method), 40)
+    monkeypatch.setattr(held, "MOST_VALUES", 0)
+    assert set(rows(hierarchy.linkage(table(spark, some), method, 16), 40)) == set(expected)
+
+
 def test_single_linkage_in_rounds(spark, x, small_blocks):
     few, many = (rows(hierarchy.linkage(table(spark, x), "single", n), len(x)) for n in (8, 1000))
     assert {r for r in few if r[0] > 0} == {r for r in many if r[0] > 0}
